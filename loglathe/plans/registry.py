@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loglathe.plans import parser_queries
+from loglathe.plans import flow_queries, parser_queries
 
-_GROUPS = [parser_queries]
+_GROUPS = [parser_queries, flow_queries]
 
 QUERIES = {name: run for group in _GROUPS for name, run in group.QUERIES.items()}
 ORACLES = {name: sql for group in _GROUPS for name, sql in group.ORACLES.items()}

@@ -350,10 +350,10 @@ _SQL_RUNNING = (
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = corpus.read(spark, sf_dir, "lineitem")
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
-    micros = (F.lit(694224000) + day) * 1_000_000 + F.col("l_linenumber") * 1000
+    micros = (F.lit(694224000) + day).cast("bigint") * 1_000_000 + F.col("l_linenumber") * 1000
     return items.select(
         F.concat(F.lit("t"), (F.col("l_suppkey") % 5).cast("string")).alias("tenant_id"),
-        F.timestamp_micros(micros.cast("bigint")).alias("arrival"),
+        F.timestamp_micros(micros).alias("arrival"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"),
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("request_id"),
         (F.col("l_quantity").cast("bigint") - 1).alias("n_logs"),
@@ -786,10 +786,10 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     limiter.use_rocksdb(spark)
     items = inputs.table_files(spark, sf_dir, "lineitem.parquet", stream=True)
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
-    micros = (F.lit(694224000) + day) * 1_000_000 + F.col("l_linenumber") * 1000
+    micros = (F.lit(694224000) + day).cast("bigint") * 1_000_000 + F.col("l_linenumber") * 1000
     flow = items.select(
         F.concat(F.lit("t"), (F.col("l_suppkey") % 5).cast("string")).alias("tenant_id"),
-        F.timestamp_micros(micros.cast("bigint")).alias("arrival"),
+        F.timestamp_micros(micros).alias("arrival"),
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("request_id"),
         (F.col("l_quantity").cast("bigint") - 1).alias("n_logs"),
     )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loglathe import fixed
 from loglathe.operators.admission import second_of
@@ -16,51 +16,43 @@ OUTPUT = "tenant_id string, second timestamp, arrival timestamp, request_id stri
 _COLUMNS = ["tenant_id", "second", "arrival", "request_id", "n_logs", "allowed"]
 
 
-class TenantSecondLimiter(StatefulProcessor):
-    """Lets batches in, by (arrival, request id), while the total is within the limit.
-
-    The rows of a group arrive in chunks and are never held as a whole: a row
-    over the limit stays over it whatever comes later, so it leaves at once,
-    and at most ``limit`` rows can still be within it.
-    """
-
-    def __init__(self, limit: int, ttl_seconds: int) -> None:
-        self.limit = limit
-        self.ttl_seconds = ttl_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState(
-            "total", "total bigint", ttlDurationMs=self.ttl_seconds * 1000
-        )
+def _limiter(limit: int, ttl_seconds: int) -> Callable:
+    def marked(key, rows: pd.DataFrame, allowed: bool) -> pd.DataFrame:
+        return rows.assign(tenant_id=key[0], second=key[1], allowed=allowed)[_COLUMNS]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = self.total.get()
-        start = int(state[0]) if state is not None else 0
-        added = 0
+    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Let batches in, by (arrival, request id), while the total is within the limit.
+
+        The chunks of a group are never held as a whole: a row over the limit
+        stays over it whatever comes later, so it leaves at once, and at most
+        ``limit`` rows can still be within it.
+        """
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start = state.get[0] if state.exists else 0
+        added, seen = 0, 0
         kept: pd.DataFrame | None = None
-        for chunk in rows:
+        for chunk in chunks:
             added += int(chunk["n_logs"].sum())
+            seen = max(seen, int(chunk["seen_at"].max().timestamp() * 1000))
             empty = chunk[chunk["n_logs"] <= 0]
             if len(empty):
                 # adds nothing: judged by the total before this micro-batch
-                yield self._marked(key, empty, start <= self.limit)
+                yield marked(key, empty, start <= limit)
             counted = chunk[chunk["n_logs"] > 0]
             pool = counted if kept is None else pd.concat([kept, counted])
             pool = pool.sort_values(["arrival", "request_id"])
-            over = (start + pool["n_logs"].cumsum()) > self.limit
+            over = (start + pool["n_logs"].cumsum()) > limit
             if over.any():
-                yield self._marked(key, pool[over], False)
+                yield marked(key, pool[over], False)
             kept = pool[~over]
-        self.total.update((start + added,))
+        state.update((start + added,))
+        state.setTimeoutTimestamp(seen + ttl_seconds * 1000)
         if kept is not None and len(kept):
-            yield self._marked(key, kept, True)
-
-    def close(self) -> None:
-        pass
+            yield marked(key, kept, True)
 
-    @staticmethod
-    def _marked(key, rows: pd.DataFrame, allowed: bool) -> pd.DataFrame:
-        return rows.assign(tenant_id=key[0], second=key[1], allowed=allowed)[_COLUMNS]
+    return step
 
 
 def limit_stream(
@@ -70,24 +62,32 @@ def limit_stream(
 ) -> DataFrame:
     """Streaming ``allowed`` decisions for ``tenant_id, arrival, request_id, n_logs``.
 
-    The state of a tenant-second is dropped ``ttl_seconds`` after its last
-    batch.  A live flow needs no more than the second itself plus two
-    (``fixed.LIMIT_STATE_TTL_SECONDS``); the default leaves room for a replay
-    that runs slower.  State is keyed by tenant and second, never by tenant
-    alone, and needs the RocksDB state store.
+    State is keyed by tenant and second, never by tenant alone.  It is dropped
+    ``ttl_seconds`` after the last batch of its key.  A live flow needs no more
+    than the second itself plus two (``fixed.LIMIT_STATE_TTL_SECONDS``); the
+    default leaves room for a replay that runs slower.  The watermark follows
+    the time a row is first seen, which never runs backwards, so no row is late
+    and none is dropped.
     """
     keyed = requests.select(
-        "tenant_id", second_of(F.col("arrival")).alias("second"), "arrival", "request_id", "n_logs"
-    )
-    return keyed.groupBy("tenant_id", "second").transformWithStateInPandas(
-        statefulProcessor=TenantSecondLimiter(limit, ttl_seconds),
-        outputStructType=OUTPUT,
-        outputMode="Append",
-        timeMode="ProcessingTime",
+        "tenant_id",
+        second_of(F.col("arrival")).alias("second"),
+        "arrival",
+        "request_id",
+        "n_logs",
+        F.current_timestamp().alias("seen_at"),
+    ).withWatermark("seen_at", "1 second")
+    return keyed.groupBy("tenant_id", "second").applyInPandasWithState(
+        _limiter(limit, ttl_seconds),
+        OUTPUT,
+        "total bigint",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
 def use_rocksdb(spark) -> None:
+    """Keep streaming state on disk instead of in executor memory."""
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -337,8 +337,8 @@ _DEPTH = 600
 _DAY = "date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))"
 _SQL_ARRIVALS = (
     "arrivals AS (SELECT 't' || CAST(l_suppkey % 5 AS VARCHAR) AS tenant_id,"
-    f" 694224000 + {_DAY} AS sec, l_linenumber AS ms, l_orderkey * 10 + l_linenumber AS line_id,"
-    " CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS request_id,"
+    f" 694224000 + {_DAY} AS sec, l_linenumber AS ms, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-'"
+    " || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS request_id,"
     " CAST(l_quantity AS BIGINT) - 1 AS n_logs, l_partkey FROM lineitem)"
 )
 _SQL_RUNNING = (
@@ -347,6 +347,10 @@ _SQL_RUNNING = (
 )
 
 
+# order and line number repeat in the table; with part and supplier they do not
+_LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = corpus.read(spark, sf_dir, "lineitem")
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
@@ -354,8 +358,7 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(
         F.concat(F.lit("t"), (F.col("l_suppkey") % 5).cast("string")).alias("tenant_id"),
         F.timestamp_micros(micros).alias("arrival"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"),
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("request_id"),
+        F.concat_ws("-", *[F.col(c).cast("string") for c in _LINE_KEY]).alias("request_id"),
         (F.col("l_quantity").cast("bigint") - 1).alias("n_logs"),
         "l_partkey",
     )
@@ -363,20 +366,20 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "rate_limit",
-    f"WITH {_SQL_ARRIVALS}, {_SQL_RUNNING} SELECT line_id, running_total <= {_LIMIT} AS allowed FROM running",
+    f"WITH {_SQL_ARRIVALS}, {_SQL_RUNNING} SELECT request_id, running_total <= {_LIMIT} AS allowed FROM running",
 )
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     session.configure(spark)
-    return admission.rate_limit(arrivals(spark, sf_dir), limit=_LIMIT).select("line_id", "allowed")
+    return admission.rate_limit(arrivals(spark, sf_dir), limit=_LIMIT).select("request_id", "allowed")
 
 
 @query(
     "rate_limit_running",
-    f"WITH {_SQL_ARRIVALS}, {_SQL_RUNNING} SELECT line_id, running_total, running_total <= {_LIMIT} AS allowed FROM running",
+    f"WITH {_SQL_ARRIVALS}, {_SQL_RUNNING} SELECT request_id, running_total, running_total <= {_LIMIT} AS allowed FROM running",
 )
 def rate_limit_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = admission.running_totals(arrivals(spark, sf_dir), limit=_LIMIT)
-    return totals.select("line_id", "running_total", "allowed")
+    return totals.select("request_id", "running_total", "allowed")
 
 
 @query(
@@ -397,7 +400,7 @@ def rate_limit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     " AND fits THEN n_logs ELSE 0 END) AS added FROM running GROUP BY sec), levels AS (SELECT sec,"
     " coalesce(sum(added) OVER (ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
     f" - {_DRAIN} * sec AS lvl FROM seconds), depths AS (SELECT sec, lvl - min(lvl) OVER (ORDER BY"
-    " sec ROWS UNBOUNDED PRECEDING) AS depth FROM levels) SELECT line_id, status, CASE WHEN status"
+    " sec ROWS UNBOUNDED PRECEDING) AS depth FROM levels) SELECT request_id, status, CASE WHEN status"
     " = 202 THEN CAST(depth + n_logs AS VARCHAR) END AS buffer_depth FROM (SELECT *, CASE WHEN NOT"
     f" valid THEN 422 WHEN NOT allowed THEN 429 WHEN depth > {_DEPTH} THEN 503 WHEN NOT fits THEN"
     " 500 ELSE 202 END AS status FROM running JOIN depths USING (sec))",
@@ -412,7 +415,7 @@ def admission_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         max_depth=_DEPTH,
         drain_per_second=_DRAIN,
     )
-    return judged.select("line_id", "status", F.col("buffer_depth").cast("string").alias("buffer_depth"))
+    return judged.select("request_id", "status", F.col("buffer_depth").cast("string").alias("buffer_depth"))
 
 
 # --- processing ---------------------------------------------------------------------
@@ -790,7 +793,7 @@ def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = items.select(
         F.concat(F.lit("t"), (F.col("l_suppkey") % 5).cast("string")).alias("tenant_id"),
         F.timestamp_micros(micros).alias("arrival"),
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("request_id"),
+        F.concat_ws("-", *[F.col(c).cast("string") for c in _LINE_KEY]).alias("request_id"),
         (F.col("l_quantity").cast("bigint") - 1).alias("n_logs"),
     )
     limited = limiter.limit_stream(flow, limit=_LIMIT)

@@ -57,11 +57,10 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", str(workers))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        # one small file per table: let the scan use every core
-        .config("spark.sql.files.openCostInBytes", "65536")
-        .config("spark.sql.files.maxPartitionBytes", "1048576")
-        .getOrCreate()
     )
+    for key, value in session.STATIC_SETTINGS.items():
+        spark = spark.config(key, value)
+    spark = spark.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     session.configure(spark)
     times: dict[str, float] = {}

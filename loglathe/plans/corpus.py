@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglathe import session
+
 
 def s(expression: str) -> str:
     return f"CAST({expression} AS STRING)"
@@ -307,8 +309,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_for_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``events`` that lines are made of, spread over the cores."""
+    events = read(spark, sf_dir, "events")
+    return session.spread(events.select("event_id", "ts", "user_id", "event_type", "value", "props"))
+
+
 def lines(spark: SparkSession, sf_dir: str, line: str, **more: str) -> DataFrame:
     """``event_id`` and the line of every event, plus more derived columns."""
     columns = [F.expr(v).alias(k) for k, v in more.items()]
-    events = read(spark, sf_dir, "events")
+    events = read_for_parsing(spark, sf_dir)
     return events.select("event_id", F.expr(line).alias("raw_payload"), *columns)

@@ -69,7 +69,7 @@ def _log_seconds(i: int) -> str:
     return f"CASE WHEN (event_id + {i}) % 6 = 0 THEN NULL WHEN (event_id + {i}) % 6 = 1 THEN 0 ELSE 1712314200 + event_id + {i} END"
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, **more: str) -> DataFrame:
     logs = [
         F.struct(
             F.expr(_log_message(i)).alias("message"),
@@ -80,9 +80,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         for i in range(4)
     ]
-    events = corpus.read(spark, sf_dir, "events")
+    events = corpus.read_for_parsing(spark, sf_dir)
     return events.select(
         "event_id",
+        *[F.expr(v).alias(k) for k, v in more.items()],
         F.expr(E).alias("request_id"),
         F.expr(_REQUEST_TENANT).alias("tenant_id"),
         F.expr(_REQUEST_SERVICE).alias("service"),
@@ -241,10 +242,7 @@ _BATCH_SOURCE = corpus.SOURCE
 
 
 def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = F.expr(_BATCH_SOURCE)
-    rows = requests(spark, sf_dir).join(
-        corpus.read(spark, sf_dir, "events").select("event_id", source.alias("source")), "event_id"
-    )
+    rows = requests(spark, sf_dir, source=_BATCH_SOURCE)
     return rows.withColumnRenamed("request_id", "batch_id")
 
 
@@ -352,7 +350,9 @@ _LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = corpus.read(spark, sf_dir, "lineitem")
+    items = corpus.read(spark, sf_dir, "lineitem").select(
+        *_LINE_KEY, "l_quantity", "l_shipdate"
+    )
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
     micros = (F.lit(694224000) + day).cast("bigint") * 1_000_000 + F.col("l_linenumber") * 1000
     return items.select(
@@ -466,7 +466,7 @@ _SQL_INDEXED = (
 
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.read(spark, sf_dir, "events").select(
+    return corpus.read_for_parsing(spark, sf_dir).select(
         "event_id", F.expr(_RAW_MESSAGE).alias("value")
     )
 
@@ -591,7 +591,11 @@ _SQL_ENVELOPES = (
 
 
 def envelopes(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
-    events = inputs.table_files(spark, sf_dir, "events.parquet", stream=stream)
+    events = (
+        inputs.table_files(spark, sf_dir, "events.parquet", stream=True)
+        if stream
+        else corpus.read_for_parsing(spark, sf_dir)
+    )
     return events.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("timestamp"),
@@ -676,9 +680,7 @@ _HOT_SELECT = (
 def hot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = session.run_folder(spark, "hot")
     parsed = transform.transform_logs(envelopes(spark, sf_dir))
-    outputs.write_hot(storage.hot_rows(parsed, NOW), path, batch_id=0)
-    # the same batch again leaves one copy
-    outputs.write_hot(storage.hot_rows(parsed, NOW), path, batch_id=0)
+    outputs.write_hot(storage.hot_rows(parsed, NOW), path)
     return _hot_columns(spark.read.parquet(path)).drop("entries")
 
 
@@ -786,7 +788,6 @@ def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = session.run_folder(spark, "stream-limit")
-    limiter.use_rocksdb(spark)
     items = inputs.table_files(spark, sf_dir, "lineitem.parquet", stream=True)
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
     micros = (F.lit(694224000) + day).cast("bigint") * 1_000_000 + F.col("l_linenumber") * 1000

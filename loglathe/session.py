@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,6 +18,9 @@ SETTINGS = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "2000",
 }
 
+# fixed at session start: no call-site capture for every column a job builds
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the jobs are designed for."""
@@ -30,7 +33,7 @@ def build(name: str = "loglathe", master: str | None = None, **extra: str) -> Sp
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **STATIC_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -60,7 +63,17 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/loglathe/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input at least one partition per core.
+
+    Parsing is bound by CPU, and a file of one row group is read by one task.
+    Inputs with enough splits of their own pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder; survives the loss of executors."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:

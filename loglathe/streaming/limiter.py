@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,44 +14,50 @@ from loglathe import fixed
 from loglathe.operators.admission import second_of
 
 OUTPUT = "tenant_id string, second timestamp, arrival timestamp, request_id string, n_logs bigint, allowed boolean"
-_COLUMNS = ["tenant_id", "second", "arrival", "request_id", "n_logs", "allowed"]
-
 
 def _limiter(limit: int, ttl_seconds: int) -> Callable:
-    def marked(key, rows: pd.DataFrame, allowed: bool) -> pd.DataFrame:
-        return rows.assign(tenant_id=key[0], second=key[1], allowed=allowed)[_COLUMNS]
+    def judged(key, rows: pd.DataFrame, allowed: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame(
+            {
+                "tenant_id": key[0],
+                "second": key[1],
+                "arrival": rows["arrival"],
+                "request_id": rows["request_id"],
+                "n_logs": rows["n_logs"],
+                "allowed": allowed,
+            }
+        )
 
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         """Let batches in, by (arrival, request id), while the total is within the limit.
 
         The chunks of a group are never held as a whole: a row over the limit
-        stays over it whatever comes later, so it leaves at once, and at most
-        ``limit`` rows can still be within it.
+        stays over it whatever comes later, so it leaves with its chunk, and at
+        most ``limit`` rows can still be within it.  A batch without logs adds
+        nothing and is judged by the total before this micro-batch.
         """
         if state.hasTimedOut:
             state.remove()
             return
         start = state.get[0] if state.exists else 0
         added, seen = 0, 0
-        kept: pd.DataFrame | None = None
+        rows, allowed = None, None
         for chunk in chunks:
             added += int(chunk["n_logs"].sum())
             seen = max(seen, int(chunk["seen_at"].max().timestamp() * 1000))
-            empty = chunk[chunk["n_logs"] <= 0]
-            if len(empty):
-                # adds nothing: judged by the total before this micro-batch
-                yield marked(key, empty, start <= limit)
-            counted = chunk[chunk["n_logs"] > 0]
-            pool = counted if kept is None else pd.concat([kept, counted])
-            pool = pool.sort_values(["arrival", "request_id"])
-            over = (start + pool["n_logs"].cumsum()) > limit
-            if over.any():
-                yield marked(key, pool[over], False)
-            kept = pool[~over]
+            if rows is not None:
+                open_rows = allowed & (rows["n_logs"].to_numpy() > 0)
+                yield judged(key, rows[~open_rows], allowed[~open_rows])
+                chunk = pd.concat([rows[open_rows], chunk])
+            rows = chunk
+            counts = rows["n_logs"].to_numpy()
+            order = np.lexsort((rows["request_id"].to_numpy(str), rows["arrival"].to_numpy()))
+            allowed = np.empty(len(rows), dtype=bool)
+            allowed[order] = start + np.cumsum(counts[order]) <= limit
+            allowed[counts <= 0] = start <= limit
         state.update((start + added,))
         state.setTimeoutTimestamp(seen + ttl_seconds * 1000)
-        if kept is not None and len(kept):
-            yield marked(key, kept, True)
+        yield judged(key, rows, allowed)
 
     return step
 

@@ -322,3 +322,42 @@ def test_plans_stay_in_the_engine(spark):
 
 def test_scratch_folder_is_named_by_the_session(spark):
     assert session.run_folder(spark, "x") != session.run_folder(spark, "x")
+
+
+class FakeState:
+    def __init__(self, total):
+        self.value, self.hasTimedOut, self.removed = (total,), False, False
+        self.exists = total is not None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def setTimeoutTimestamp(self, ms):
+        self.timeout = ms
+
+    def remove(self):
+        self.removed = True
+
+
+@pytest.mark.parametrize("start, limit", [(None, 100), (40, 100), (100, 100), (101, 100)])
+def test_limiter_step_over_chunks(start, limit):
+    import pandas as pd
+
+    rng = random.Random(limit + (start or 0))
+    rows = [(pd.Timestamp(rng.randrange(9), unit="us"), f"r{i:03d}", rng.choice([0, 1, 1, 3])) for i in range(200)]
+    frame = pd.DataFrame(rows, columns=["arrival", "request_id", "n_logs"])
+    frame["seen_at"] = pd.Timestamp("2026-01-01")
+    chunks = [frame[i : i + 30] for i in range(0, 200, 30)]
+    state = FakeState(start)
+    out = pd.concat(list(limiter._limiter(limit, 5)(("t", pd.Timestamp(0)), iter(chunks), state)))
+    assert len(out) == 200 and out["request_id"].is_unique
+    total, want = start or 0, {}
+    for _, request, n in sorted(rows, key=lambda r: (r[0], r[1])):
+        total += n
+        want[request] = total <= limit if n else (start or 0) <= limit
+    assert dict(zip(out["request_id"], out["allowed"])) == want
+    assert state.value == (total,)

@@ -18,9 +18,9 @@ _STRICT = {"allowSingleQuotes": "false"}
 _NO_NAN = {"allowNonNumericNumbers": "false"}
 _OBJECT_HEAD = r"^[ \t\n\r]*\{"
 _FALSY_JSON = ["null", "false", "0", "0.0", "-0.0", '""', "{}", "[]"]
-_SCALAR_JSON = (
-    r"^[ \t\n\r]*(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
-    r'|"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*"'
+_LIST_OR_TEXT_HEAD = r"^[ \t\n\r]*[\[\"]"
+_NUMBER_OR_WORD = (
+    r"^[ \t\n\r]*(-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?"
     r"|true|false|null|NaN|-?Infinity)[ \t\n\r]*$"
 )
 
@@ -59,15 +59,14 @@ def whole_document(parsed: Column) -> Column:
 
 def non_object_kind(text: Column) -> Column:
     """Kind of a valid JSON value that is not an object; NULL for anything else."""
-    head = F.substring(F.ltrim(text), 1, 1)
-    array_size = F.size(
-        F.from_json(F.concat(F.lit("["), text, F.lit(",true]")), "array<variant>", _STRICT)
+    head = F.regexp_extract(text, r"^[ \t\n\r]*(.)", 1)
+    wrapped = F.concat(F.lit("["), text, F.lit(",true]"))
+    parsed = F.from_json(
+        F.when(text.rlike(_LIST_OR_TEXT_HEAD), wrapped), "array<variant>", _STRICT
     )
-    scalar = text.rlike(_SCALAR_JSON)
     return (
-        F.when(text.rlike(r"^[ \t\n\r]*\["), F.when(array_size == 2, "list"))
-        .when(~scalar, F.lit(None).cast("string"))
-        .when(head == '"', "str")
+        F.when(F.size(parsed) == 2, F.when(head == "[", "list").otherwise("str"))
+        .when(~text.rlike(_NUMBER_OR_WORD), F.lit(None).cast("string"))
         .when(head.isin("t", "f"), "bool")
         .when(head == "n", "NoneType")
         .when(text.rlike(r"[.eENI]"), "float")

@@ -150,7 +150,9 @@ DATABASE = Parser("storage", (_database_matches, _database_parts), _database)
 
 def _web_matches(line: Line, f: Found) -> Columns:
     return {
-        "request": text.first(line.raw, fixed.HTTP_REQUEST, icase=True),
+        "request": F.when(
+            line.raw.contains('"'), text.first(line.raw, fixed.HTTP_REQUEST, icase=True)
+        ),
         "status": text.first(line.raw, fixed.HTTP_STATUS, 1),
     }
 
@@ -233,8 +235,10 @@ CLOUD = Parser("cloud", (_cloud_json, _cloud_checked, _cloud_region), _cloud)
 
 
 def _security_matches(line: Line, f: Found) -> Columns:
+    # an identity holds one of these, and the search is slow on long dotted tokens
+    may_name = line.raw.contains("@") | line.raw.contains("\\")
     return {
-        "user": text.first(line.raw, fixed.USER_IDENTITY, 1),
+        "user": F.when(may_name, text.first(line.raw, fixed.USER_IDENTITY, 1)),
         "outcome": F.upper(text.first(line.raw, fixed.AUTH_OUTCOME, 1, icase=True)),
         "failed": text.has_any(line.upper, fixed.FAILURE_WORDS),
     }
@@ -268,8 +272,10 @@ SECURITY = Parser("security", (_security_matches,), _security)
 
 
 def _syslog_matches(line: Line, f: Found) -> Columns:
+    # every header ends like this, and the search is slow on long dotted tokens
+    may_have_header = line.raw.rlike(r"(?U)[\w.\[\]-]:\s")
     return {
-        "header": text.first(line.raw, fixed.SYSLOG_HEADER),
+        "header": F.when(may_have_header, text.first(line.raw, fixed.SYSLOG_HEADER)),
         "category": F.when(text.has_any(line.upper, fixed.MEMORY_WORDS), "MEMORY_CRITICAL")
         .when(
             line.upper.contains("DISK") & text.has_any(line.upper, ["FULL", "ERROR"]),

@@ -350,8 +350,8 @@ _LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = corpus.read(spark, sf_dir, "lineitem").select(
-        *_LINE_KEY, "l_quantity", "l_shipdate"
+    items = session.spread(
+        corpus.read(spark, sf_dir, "lineitem").select(*_LINE_KEY, "l_quantity", "l_shipdate")
     )
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
     micros = (F.lit(694224000) + day).cast("bigint") * 1_000_000 + F.col("l_linenumber") * 1000

@@ -88,6 +88,15 @@ def table_sink(path: str) -> BatchSink:
     return write
 
 
+def keyed_topic(servers: str, topic: str, **extra: str) -> BatchSink:
+    """Keyed messages of each micro-batch to a Kafka topic."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        outputs.publish_topic(storage.keyed_messages(batch, topic), servers, **extra)
+
+    return write
+
+
 def deduplicated(
     df: DataFrame, key: str = "event_id", time: str = "timestamp", within: str = "1 hour"
 ) -> DataFrame:

@@ -219,3 +219,30 @@ def test_process_batch_fallbacks(spark):
     assert by_message["tenant-123", ""]["attributes"]["error"] == "Empty log"
     assert "'list' object" in by_message["tenant-123", "[1]"]["attributes"]["error"]
     assert by_message["system", "x"]["source"] == "generic"
+
+
+def test_long_lines(spark):
+    """Whole texts of any length go through every parser of both dialects."""
+    from loglathe.operators import parsers_v1
+    from loglathe.operators.parsing import parse_one
+
+    n = 5_000
+    lines = [
+        '"' + "a" * n + '"',
+        '"' + "\\n" * n + '"',
+        "[" + "1," * n + "1]",
+        "k=v " * n,
+        "a.b-" * n,
+        'msg="' + "x " * n,
+        "é" * n + " 10.0.0.1",
+        " " * n,
+        '{"log":"' + "z" * n + '"}',
+    ]
+    df = spark.createDataFrame([(m,) for m in lines], "raw_payload string").repartition(9)
+    for parser in parsers_v2.PARSERS.values():
+        assert len(parse_one(df, parser).collect()) == len(lines)
+    for parser in parsers_v1.PARSERS.values():
+        rows = parsers_v1.parse_lines(df, {parser.family: parser}, None, df.raw_payload, None)
+        assert len(rows.collect()) == len(lines)
+    kinds = parse_one(df, parsers_v2.CONTAINER).where("parse_error is not null")
+    assert sorted(r.parse_error[1:5] for r in kinds.collect()) == ["list", "str'", "str'"]

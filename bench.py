@@ -1,4 +1,4 @@
-"""Headline timings: one JSON line with the median of three warm runs per query.
+"""Headline timings: one JSON line with the median of the warm runs (BENCH_RUNS, default 2) per query.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default all).
 """
@@ -49,7 +49,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "*")
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     workers = os.cpu_count() if cpus == "*" else int(cpus)
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")

@@ -18,8 +18,16 @@ from pyspark.sql import functions as F
 
 from loglathe import fixed
 from loglathe.functions import ids, json, maps, text
-from loglathe.operators.parsing import Columns, Found, Line, Parser, _found, _line
-from loglathe.operators.parsing import _run_stages, _without_helpers
+from loglathe.operators.parsing import (
+    Columns,
+    Found,
+    Line,
+    Parser,
+    current_line,
+    found_by,
+    run_stages,
+    without_helpers,
+)
 
 
 def _no_map() -> Column:
@@ -572,11 +580,11 @@ def parse_lines(
     ``timestamp`` is the ingest time, except where the line carries the time
     that its parser reports (cloud and structured custom lines).
     """
-    staged = _run_stages(df, line_text, parsers, family)
-    line = _line()
+    staged = run_stages(df, line_text, parsers, family)
+    line = current_line()
     chosen = None
     for name, parser in parsers.items():
-        outputs = _guarded(parser, line, _found(parser))
+        outputs = _guarded(parser, line, found_by(parser))
         packed = F.struct(*[c.alias(n) for n, c in outputs.items()])
         if family is None:
             chosen = packed
@@ -599,7 +607,7 @@ def parse_lines(
             ).otherwise(ingest),
         }
     )
-    return _without_helpers(staged)
+    return without_helpers(staged)
 
 
 def _parse_v1(df: DataFrame, parser: Parser, col: str, now) -> DataFrame:

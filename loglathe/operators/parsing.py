@@ -60,33 +60,33 @@ class Parser(NamedTuple):
         return self.attributes(outputs) if self.attributes else maps.text_map(outputs)
 
 
-def _line() -> Line:
+def current_line() -> Line:
     return Line(F.col("__raw"), F.col("__upper"), F.col("__lower"))
 
 
-def _found(parser: Parser) -> Found:
+def found_by(parser: Parser) -> Found:
     return Found(f"__{parser.family}_")
 
 
-def _run_stages(
+def run_stages(
     df: DataFrame, text: Column, parsers: Mapping[str, Parser], family: Column | None
 ) -> DataFrame:
     df = df.withColumns({"__raw": text})
     df = df.withColumns({"__upper": F.upper("__raw"), "__lower": F.lower("__raw")})
-    line = _line()
+    line = current_line()
     depth = max(len(p.stages) for p in parsers.values())
     for step in range(depth):
         columns: Columns = {}
         for name, parser in parsers.items():
             if step < len(parser.stages):
-                for key, value in parser.stages[step](line, _found(parser)).items():
+                for key, value in parser.stages[step](line, found_by(parser)).items():
                     guarded = value if family is None else F.when(family == name, value)
                     columns[f"__{parser.family}_{key}"] = guarded
         df = df.withColumns(columns)
     return df
 
 
-def _without_helpers(df: DataFrame) -> DataFrame:
+def without_helpers(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith("__")])
 
 
@@ -94,15 +94,15 @@ def parse_one(
     df: DataFrame, parser: Parser, text: str = "raw_payload", into: str = "attributes"
 ) -> DataFrame:
     """Typed result of one family as a struct column, plus ``parse_error``."""
-    staged = _run_stages(df, F.col(text), {parser.family: parser}, None)
-    line, found = _line(), _found(parser)
+    staged = run_stages(df, F.col(text), {parser.family: parser}, None)
+    line, found = current_line(), found_by(parser)
     outputs = parser.outputs(line, found)
     result = F.struct(*[c.alias(n) for n, c in outputs.items()])
     error = parser.error(line, found) if parser.error else F.lit(None).cast("string")
     staged = staged.withColumns({"parse_error": error})
     if parser.error:
         result = F.when(F.col("parse_error").isNull(), result)
-    return _without_helpers(staged.withColumns({into: result}))
+    return without_helpers(staged.withColumns({into: result}))
 
 
 def parse_mixed(
@@ -114,12 +114,12 @@ def parse_mixed(
 ) -> DataFrame:
     """String-map result of each row's own family, plus ``parse_error``."""
     source = F.col(text) if isinstance(text, str) else text
-    staged = _run_stages(df, source, parsers, F.col(family))
-    line = _line()
+    staged = run_stages(df, source, parsers, F.col(family))
+    line = current_line()
     result = F.lit(None).cast("map<string,string>")
     error = F.lit(None).cast("string")
     for name, parser in parsers.items():
-        found = _found(parser)
+        found = found_by(parser)
         mine = F.col(family) == name
         result = F.when(mine, parser.attribute_map(parser.outputs(line, found))).otherwise(result)
         if parser.error:
@@ -127,4 +127,4 @@ def parse_mixed(
     staged = staged.withColumns({"parse_error": error, into: result})
     if any(p.error for p in parsers.values()):
         staged = staged.withColumns({into: F.when(F.col("parse_error").isNull(), F.col(into))})
-    return _without_helpers(staged)
+    return without_helpers(staged)

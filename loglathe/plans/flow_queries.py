@@ -18,7 +18,7 @@ from loglathe.operators import (
 )
 from loglathe.plans import corpus, oracle_parsers
 from loglathe.plans.corpus import E, K, U, V, pick, q
-from loglathe.plans.parser_queries import NOW, V2_NAMES, map_text, _family_case, _mixed_v2_oracle
+from loglathe.plans.parser_queries import NOW, _family_case, _mixed_v2_oracle, map_text
 from loglathe.sinks import outputs
 from loglathe.sources import inputs
 from loglathe.streaming import jobs, limiter
@@ -427,7 +427,7 @@ _RAW_MESSAGE = (
     + " || ',\"service\":' || "
     + pick("user_id", "'\"Billing\"'", "'\"AUTH-api\"'", "'\"x\"'")
     + " || ',\"timestamp\":' || "
-    + pick("event_id", s1 := f"'17000' || {K}", "'\"42\"'", "'12.0'", "'1.5'", "'\"x\"'", "'true'", s1)
+    + pick("event_id", f"'17000' || {K}", "'\"42\"'", "'12.0'", "'1.5'", "'\"x\"'", "'true'", f"'17000' || {K}")
     + " || "
     + pick("user_id", f"',\"message\":\"' || event_type || ' ' || {V} || '\"'", "',\"message\":5'",
            "',\"message\":\"\"'", f"',\"message\":\"m' || {K} || '\"'")
@@ -614,13 +614,6 @@ def _stored_oracle(select: str) -> str:
     )
 
 
-# stored metadata is the k entry plus the parsed attributes, which win on a shared name
-_MERGED = (
-    "CASE WHEN coalesce(attributes, '') = '' THEN 'k=' || k ELSE"
-    " array_to_string(list_sort(list_append(string_split(attributes, '|'), 'k=' || k)), '|') END"
-)
-
-
 @query(
     "storage_rows",
     "SELECT event_id, coalesce(t, '0') AS tenant_id, coalesce(s, 'default') AS service,"
@@ -658,17 +651,10 @@ def _hot_columns(df: DataFrame) -> DataFrame:
         "level",
         "message",
         F.col("metadata")["k"].alias("k"),
-        F.size("metadata").cast("bigint").alias("entries"),
         F.date_format("event_date", "yyyy-MM-dd").alias("event_date"),
     )
 
 
-_ENTRY_COUNT = (
-    "CASE family WHEN 'networking' THEN 8 WHEN 'containers' THEN CASE WHEN parse_error IS NOT NULL"
-    " THEN 0 WHEN contains(attributes, 'container_id=') THEN 4 ELSE 1 END WHEN 'storage' THEN 5"
-    " WHEN 'web' THEN 6 WHEN 'cloud' THEN 6 WHEN 'security' THEN 6 WHEN 'system' THEN 5 WHEN"
-    " 'integrations' THEN 6 WHEN 'iot' THEN 6 END"
-)
 _HOT_SELECT = (
     f"{sql_time('ts')} AS timestamp, tenant_id, service_name AS service, coalesce(source, 'generic')"
     " AS source, 'INFO' AS level, raw_payload AS message, k, strftime(CAST(ts AS DATE), '%Y-%m-%d')"
@@ -681,7 +667,7 @@ def hot_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = session.run_folder(spark, "hot")
     parsed = transform.transform_logs(envelopes(spark, sf_dir))
     outputs.write_hot(storage.hot_rows(parsed, NOW), path)
-    return _hot_columns(spark.read.parquet(path)).drop("entries")
+    return _hot_columns(spark.read.parquet(path))
 
 
 @query(
@@ -762,7 +748,7 @@ def stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = jobs.transform_stream(envelopes(spark, sf_dir, stream=True))
     write = jobs.hot_and_cold(f"{path}/hot", f"{path}/cold", NOW)
     _finish(jobs.run(parsed, write, f"{path}/checkpoint"))
-    return _hot_columns(spark.read.parquet(f"{path}/hot")).drop("entries")
+    return _hot_columns(spark.read.parquet(f"{path}/hot"))
 
 
 @query(

@@ -607,7 +607,7 @@ def parse_lines(
             ).otherwise(ingest),
         }
     )
-    return without_helpers(staged)
+    return without_helpers(staged, df.columns)
 
 
 def _parse_v1(df: DataFrame, parser: Parser, col: str, now) -> DataFrame:

@@ -86,8 +86,9 @@ def run_stages(
     return df
 
 
-def without_helpers(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
+def without_helpers(df: DataFrame, given: list[str]) -> DataFrame:
+    """Drop the columns of the stages; those the caller came with stay."""
+    return df.drop(*[c for c in df.columns if c.startswith("__") and c not in given])
 
 
 def parse_one(
@@ -102,7 +103,7 @@ def parse_one(
     staged = staged.withColumns({"parse_error": error})
     if parser.error:
         result = F.when(F.col("parse_error").isNull(), result)
-    return without_helpers(staged.withColumns({into: result}))
+    return without_helpers(staged.withColumns({into: result}), df.columns)
 
 
 def parse_mixed(
@@ -127,4 +128,4 @@ def parse_mixed(
     staged = staged.withColumns({"parse_error": error, into: result})
     if any(p.error for p in parsers.values()):
         staged = staged.withColumns({into: F.when(F.col("parse_error").isNull(), F.col(into))})
-    return without_helpers(staged)
+    return without_helpers(staged, df.columns)

@@ -246,3 +246,9 @@ def test_long_lines(spark):
         assert len(rows.collect()) == len(lines)
     kinds = parse_one(df, parsers_v2.CONTAINER).where("parse_error is not null")
     assert sorted(r.parse_error[1:5] for r in kinds.collect()) == ["list", "str'", "str'"]
+
+
+def test_own_columns_stay(spark):
+    df = spark.createDataFrame([("a=1", 5)], "raw_payload string, __mine int")
+    row = parsers_v2.parse_custom(df).first()
+    assert row["__mine"] == 5 and set(row.asDict()) == {"raw_payload", "__mine", "attributes", "parse_error"}

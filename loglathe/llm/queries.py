@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglathe.llm import fingerprints, pieces
+from loglathe.llm import fingerprints, pieces, rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,17 @@ def piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(_table(spark, sf_dir, "documents"), pieces.read_model(pieces.default_path()))
 
 
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    learned = rules.learn_from(docs, _table(spark, sf_dir, "labels"))
+    return rules.judged(docs.select("doc_id", "text"), learned).select(
+        "doc_id", *rules.COUNTS, "base_failed", "kept", "rule"
+    )
+
+
 QUERIES = {
     "op1_fingerprints": fingerprint,
+    "op8_quality_rules": quality,
     "op4_sentencepiece": piece_coding,
 }
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglathe.llm import fingerprints, pieces, rules
+from loglathe.llm import fingerprints, pieces, quotes, rules, sharding
+
+
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +30,20 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(_table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "source", "n_chars", "slot", "shard")
+
+
+def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_fingerprints": fingerprint,
+    "op6_sharding": shards,
     "op8_quality_rules": quality,
+    "op9_chat_quotations": chat,
     "op4_sentencepiece": piece_coding,
 }
 

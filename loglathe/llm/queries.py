@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglathe.llm import fingerprints, pieces, quotes, rules, sharding
+from loglathe.llm import fingerprints, pieces, quotes, rules, sharding, warc
 
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -39,11 +39,17 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.linked(_table(spark, sf_dir, "conversations"))
 
 
+def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(_table(spark, sf_dir, "pages"))
+    return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_fingerprints": fingerprint,
     "op6_sharding": shards,
     "op8_quality_rules": quality,
     "op9_chat_quotations": chat,
+    "op10_warc": archive,
     "op4_sentencepiece": piece_coding,
 }
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loglathe.llm import fingerprints, pieces, quotes, rules, sharding, warc
+from loglathe.llm import fingerprints, mixing, pieces, quotes, rules, sharding, warc
 
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -44,9 +45,22 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+MIX = {"clean": 0.9, "low": 0.08, "toxic": 0.02}
+
+
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", mixing.domain_of_labels().alias("domain"))
+    domains = mixing.Domains(docs, labels)
+    rows = mixing.mixed(docs, domains, weights=MIX)
+    shares = [F.col("posteriors")[d].alias(f"p_{name}") for d, name in enumerate(domains.names)]
+    return rows.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 QUERIES = {
     "op1_fingerprints": fingerprint,
     "op6_sharding": shards,
+    "op7_mixing": mixture,
     "op8_quality_rules": quality,
     "op9_chat_quotations": chat,
     "op10_warc": archive,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm import fingerprints, mixing, pieces, quotes, rules, sharding, warc
+from loglathe.llm import fingerprints, mixing, ngram_join, pieces, quotes, rules, sharding, warc
 
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -57,8 +57,13 @@ def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", *shares, "rate", "copies")
 
 
+def jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": fingerprint,
+    "op3_ngram_jaccard": jaccard_groups,
     "op6_sharding": shards,
     "op7_mixing": mixture,
     "op8_quality_rules": quality,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm import fingerprints, mixing, ngram_join, pieces, quotes, rules, sharding, warc
+from loglathe.llm import fingerprints, line_dedup, mixing, ngram_join, pieces, quotes, rules, sharding, warc
 
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -61,8 +61,15 @@ def jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(_table(spark, sf_dir, "documents"))
 
 
+def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return rows.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), "dropped", digest.alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_fingerprints": fingerprint,
+    "op2_line_dedup": fuzzy_lines,
     "op3_ngram_jaccard": jaccard_groups,
     "op6_sharding": shards,
     "op7_mixing": mixture,

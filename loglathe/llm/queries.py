@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm import fingerprints, line_dedup, mixing, ngram_join, pieces, quotes, rules, sharding, warc
+from loglathe.llm import fingerprints, katz, line_dedup, mixing, ngram_join, pieces, quotes, rules, sharding, warc
 
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -67,10 +67,15 @@ def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), "dropped", digest.alias("kept_sha256"))
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scored(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_fingerprints": fingerprint,
     "op2_line_dedup": fuzzy_lines,
     "op3_ngram_jaccard": jaccard_groups,
+    "op5_lm_scoring": language_model,
     "op6_sharding": shards,
     "op7_mixing": mixture,
     "op8_quality_rules": quality,

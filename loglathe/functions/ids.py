@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 
 def stable_id(*parts: Column) -> Column:
-    """Identifier that a retry or a replay computes again unchanged."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+    """Identifier that a retry or a replay computes again unchanged.
+
+    Each part is written with its length in front, NULL without one, so that
+    no two different lists of parts read the same.
+    """
+    texts = [p.cast("string") for p in parts]
+    written = [F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.sha2(F.concat_ws("|", *written), 256)
 
 
 def event_id(mode: str, *parts: Column) -> Column:
@@ -38,5 +44,17 @@ def event_time(value: Column) -> Column:
     )
 
 
+LAST_SECOND = 253_402_300_799  # end of the year 9999
+
+
+def client_time(seconds: Column) -> Column:
+    """Timestamp of a client's epoch seconds; NULL beyond the year 9999, as for milli-, micro- and nanoseconds."""
+    return F.timestamp_seconds(F.when(seconds.between(-LAST_SECOND, LAST_SECOND), seconds))
+
+
+def client_time_problem(seconds: Column) -> Column:
+    return F.when(seconds.isNotNull() & client_time(seconds).isNull(), F.lit("timestamp is not in seconds"))
+
+
 def iso_utc(value: Column) -> Column:
     return F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

@@ -14,7 +14,6 @@ from loglathe import fixed
 from loglathe.session import checkpointed
 
 SALTS = 64
-CHUNK_SECONDS = 3600
 
 
 def second_of(arrival: Column) -> Column:
@@ -30,38 +29,57 @@ def window_counts(
     )
 
 
-def _cutoffs(
-    keyed: DataFrame, limit: int
-) -> DataFrame:
-    """For each tenant-second over the limit: the key of its first refused batch.
+def _same(left: str, right: str, names: tuple[str, ...] = ("__tenant", "__second")) -> Column:
+    """Join condition under which a NULL tenant is a tenant like any other."""
+    same = F.lit(True)
+    for name in names:
+        same = same & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
+    return same
+
+
+def _cutoffs(keyed: DataFrame, limit: int, carried: DataFrame | None = None) -> DataFrame:
+    """For each tenant-second over the limit: the key of its first refused batch, NULL when all are refused.
 
-    Only those groups are ordered at all.  Every counted batch adds at least
-    one log, so the first refused one is among the first ``limit + 1`` rows.
-    The rank is taken inside salts first, which splits a group that holds a
-    large part of all rows, and is pruned before the shuffle; what is left per
-    group is at most ``SALTS * (limit + 1)`` rows.
+    Only those groups are ordered at all.  The running total is taken inside
+    salts first, which splits a group that holds a large part of all rows: what
+    comes after a salt's own total has passed the limit cannot be the first
+    refused batch.  What is left per group is at most ``SALTS * (limit + 1)``
+    narrow rows, and far fewer when batches hold many logs.
     """
     group = ["__tenant", "__second"]
-    over = (
-        keyed.groupBy(*group).agg(F.sum("__n").alias("__total")).where(F.col("__total") > limit)
-    )
-    counted = keyed.where(F.col("__n") > 0).join(over.select(*group), group, "left_semi")
+    sums = keyed.groupBy(*group).agg(F.sum("__n").alias("__added"))
+    if carried is None:
+        sums = sums.withColumns({"__start": F.lit(0).cast("bigint")})
+    else:
+        before = carried.select(
+            F.col("tenant_id").alias("__tenant"), F.col("second").alias("__second"), F.col("logs").alias("__logs")
+        )
+        sums = sums.alias("s").join(before.alias("c"), _same("s", "c"), "left").select(
+            "s.*", F.coalesce("c.__logs", F.lit(0)).alias("__start")
+        )
+    over = sums.where(F.col("__start") + F.col("__added") > limit).select(*group, "__start")
+    counted = keyed.where(F.col("__n") > 0).alias("k").join(over.alias("o"), _same("k", "o")).select("k.*", "o.__start")
     salted = counted.withColumns({"__salt": F.pmod(F.xxhash64("__id"), F.lit(SALTS))})
     in_salt = Window.partitionBy(*group, "__salt").orderBy("__arrival", "__id")
-    first_rows = salted.withColumns({"__rank": F.row_number().over(in_salt)}).where(
-        F.col("__rank") <= limit + 1
+    earlier = F.sum("__n").over(in_salt.rowsBetween(Window.unboundedPreceding, -1))
+    first_rows = salted.withColumns({"__earlier": F.coalesce(earlier, F.lit(0))}).where(
+        F.col("__start") + F.col("__earlier") <= limit
     )
     in_group = (
         Window.partitionBy(*group)
         .orderBy("__arrival", "__id")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    totals = first_rows.withColumns({"__running": F.sum("__n").over(in_group)})
-    return (
+    totals = first_rows.withColumns({"__running": F.col("__start") + F.sum("__n").over(in_group)})
+    first = (
         totals.where(F.col("__running") > limit)
         .groupBy(*group)
         .agg(F.min(F.struct("__arrival", "__id")).alias("__first_refused"))
     )
+    found = over.alias("o").join(first.alias("f"), _same("o", "f"), "left")
+    # over before its first batch: nothing is let in, whatever its order
+    refused = F.when(F.col("o.__start") <= limit, F.col("f.__first_refused"))
+    return found.select("o.__tenant", "o.__second", refused.alias("__first_refused"), F.lit(True).alias("__over"))
 
 
 def rate_limit(
@@ -71,12 +89,14 @@ def rate_limit(
     arrival: str = "arrival",
     request_id: str = "request_id",
     count: str | Column = "n_logs",
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``allowed``.
 
     The rows themselves are only joined with the small table of tenant-seconds
     that went over the limit; adaptive execution broadcasts it when it fits and
-    splits a skewed tenant-second otherwise.
+    splits a skewed tenant-second otherwise.  ``carried`` (tenant_id, second,
+    logs) holds what earlier rows of a tenant-second have used already.
     """
     amount = F.col(count) if isinstance(count, str) else count
     named = df.withColumns({"__tenant": F.col(tenant), "__second": second_of(F.col(arrival))})
@@ -87,12 +107,10 @@ def rate_limit(
         F.col(request_id).alias("__id"),
         amount.alias("__n"),
     )
-    joined = named.join(_cutoffs(keyed, limit), ["__tenant", "__second"], "left")
-    key = F.struct(F.col(arrival).alias("__arrival"), F.col(request_id).alias("__id"))
-    allowed = F.col("__first_refused").isNull() | (key < F.col("__first_refused"))
-    return joined.withColumns({"allowed": allowed}).drop(
-        "__tenant", "__second", "__first_refused"
-    )
+    joined = named.alias("r").join(_cutoffs(keyed, limit, carried).alias("c"), _same("r", "c"), "left")
+    key = F.struct(F.col(f"r.{arrival}").alias("__arrival"), F.col(f"r.{request_id}").alias("__id"))
+    allowed = F.col("c.__over").isNull() | F.coalesce(key < F.col("c.__first_refused"), F.lit(False))
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], allowed.alias("allowed"))
 
 
 def running_totals(
@@ -103,17 +121,20 @@ def running_totals(
     request_id: str = "request_id",
     count: str = "n_logs",
 ) -> DataFrame:
-    """Add ``running_total`` (the total a batch sees on arrival) and ``allowed``.
-
-    Rows are range partitioned by (tenant, second, arrival, id), so even one
-    tenant-second with most of the rows spreads over many tasks.  Each part is
-    summed on its own and then lifted by the parts of its group before it.  The
-    part numbers are written to the checkpoint first: both branches must see
-    the same ones.  A part has at most two groups that reach beyond it, so the
-    table of lifts has at most two rows per partition.
+    """Narrow rows with ``running_total`` (the total a batch sees on arrival) and ``allowed``.
+
+    Only tenant, arrival, request id and count are moved; join by request id
+    for the rest.  Rows are range partitioned by (tenant, second, arrival, id),
+    so even one tenant-second with most of the rows spreads over many tasks.
+    Each part is summed on its own and then lifted by the parts of its group
+    before it.  The part numbers are written to the checkpoint first: both
+    branches must see the same ones.  A part has at most two groups that reach
+    beyond it, so the table of lifts has at most two rows per partition.
     """
-    keys = ["__tenant", "__second"]
-    named = df.withColumns({"__tenant": F.col(tenant), "__second": second_of(F.col(arrival))})
+    keys = ("__tenant", "__second")
+    named = df.select(tenant, arrival, request_id, count).withColumns(
+        {"__tenant": F.col(tenant), "__second": second_of(F.col(arrival))}
+    )
     ranged = named.repartitionByRange(*[F.col(k) for k in keys], F.col(arrival), F.col(request_id))
     parts = checkpointed(ranged.withColumns({"__part": F.spark_partition_id()}))
     in_part = (
@@ -132,45 +153,10 @@ def running_totals(
         .where(F.col("__parts") > 1)
         .select("__part", *keys, "__before")
     )
-    total = F.col("__local") + F.coalesce(F.col("__before"), F.lit(0))
-    lifted = local.join(lifts, ["__part", *keys], "left").withColumns({"running_total": total})
-    return lifted.withColumns({"allowed": F.col("running_total") <= limit}).drop(
-        "__part", *keys, "__local", "__before"
-    )
-
-
-def buffer_depth(
-    seconds: DataFrame, drain_per_second: int, second: str = "second", added: str = "added"
-) -> DataFrame:
-    """Add ``depth_before``: logs waiting just before each second.
-
-    With S the running sum of logs added before a second minus what has been
-    drained until then, the depth is S minus its minimum so far.  The scan runs
-    in two levels: inside chunks of an hour, then over one row per hour (about
-    8,800 rows a year, the only step without a partition key).
-    """
-    t = F.unix_seconds(F.col(second))
-    timed = seconds.withColumns({"__t": t, "__chunk": F.floor(t / CHUNK_SECONDS)})
-    in_chunk = Window.partitionBy("__chunk").orderBy("__t")
-    earlier = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    so_far = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = timed.withColumns({"__sum": F.coalesce(F.sum(added).over(earlier), F.lit(0))})
-    local = local.withColumns({"__level": F.col("__sum") - F.lit(drain_per_second) * F.col("__t")})
-    local = local.withColumns({"__low": F.min("__level").over(so_far)})
-
-    chunks = local.groupBy("__chunk").agg(
-        F.sum(added).alias("__added"), F.min("__level").alias("__chunk_low")
-    )
-    past = Window.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumns({"__base": F.coalesce(F.sum("__added").over(past), F.lit(0))})
-    chunks = chunks.withColumns(
-        {"__past_low": F.min(F.col("__base") + F.col("__chunk_low")).over(past)}
-    )
-    joined = local.join(chunks.select("__chunk", "__base", "__past_low"), "__chunk")
-    low = F.least(F.col("__past_low"), F.col("__base") + F.col("__low"))
-    depth = F.col("__base") + F.col("__level") - low
-    return joined.withColumns({"depth_before": depth}).select(
-        *seconds.columns, "depth_before"
+    lifted = local.alias("r").join(lifts.alias("l"), _same("r", "l", ("__part", *keys)), "left")
+    total = F.col("r.__local") + F.coalesce(F.col("l.__before"), F.lit(0))
+    return lifted.select(*[F.col(f"r.{c}") for c in (tenant, arrival, request_id, count)], total.alias("running_total")).withColumns(
+        {"allowed": F.col("running_total") <= limit}
     )
 
 
@@ -178,41 +164,38 @@ def admission_status(
     df: DataFrame,
     valid: Column,
     envelopable: Column,
+    depth: Column,
     limit: int = fixed.RATE_LIMIT_PER_SECOND,
     max_depth: int = fixed.MAX_BUFFER_DEPTH,
-    drain_per_second: int = 20 * fixed.WORKER_BATCH,
     tenant: str = "tenant_id",
     arrival: str = "arrival",
     request_id: str = "request_id",
     count: str = "n_logs",
 ) -> DataFrame:
-    """Add ``status`` (422, 429, 503, 500 or 202) and ``buffer_depth`` of each request.
+    """Add ``status`` (422, 429, 503, 500 or 202) and, for 202, the ``buffer_depth`` after the request.
 
-    Order of the checks: validity, rate limit, backpressure, enveloping.  The
-    depth of a second counts what the limiter and the enveloping let through
-    before that second, drained at a fixed rate; logs refused with 503 are not
-    taken out of it again.
+    Order of the checks: validity, rate limit, backpressure, enveloping.
+    ``depth`` is the measured depth of the buffer that the request met, given
+    with the row or joined from samples (``with_depth``); unknown counts as 0.
     """
-    judged = df.withColumns({"__valid": valid, "__fits": envelopable})
+    known = F.coalesce(depth, F.lit(0))
+    judged = df.withColumns({"__valid": valid, "__fits": envelopable, "__depth": known})
     counted = F.when(F.col("__valid"), F.col(count)).otherwise(F.lit(0))
     limited = rate_limit(judged, limit, tenant, arrival, request_id, counted)
-    limited = limited.withColumns({"__second": second_of(F.col(arrival))})
-    adds = F.col("__valid") & F.col("allowed") & F.col("__fits")
-    seconds = limited.groupBy(F.col("__second").alias("second")).agg(
-        F.sum(F.when(adds, F.col(count)).otherwise(F.lit(0))).alias("added")
-    )
-    depths = buffer_depth(seconds, drain_per_second).select(
-        F.col("second").alias("__second"), "depth_before"
-    )
     status = (
         F.when(~F.col("__valid"), 422)
         .when(~F.col("allowed"), 429)
-        .when(F.col("depth_before") > max_depth, 503)
+        .when(F.col("__depth") > max_depth, 503)
         .when(~F.col("__fits"), 500)
         .otherwise(202)
     )
-    joined = limited.join(depths, "__second", "left").withColumns({"status": status})
-    depth = F.when(F.col("status") == 202, F.col("depth_before") + F.col(count))
-    return joined.withColumns({"buffer_depth": depth}).drop(
-        "__valid", "__fits", "__second", "allowed", "depth_before"
+    after = F.when(F.col("status") == 202, F.col("__depth") + F.col(count))
+    return limited.withColumns({"status": status}).withColumns({"buffer_depth": after}).drop(
+        "__valid", "__fits", "__depth", "allowed"
     )
+
+
+def with_depth(df: DataFrame, samples: DataFrame, arrival: str = "arrival") -> DataFrame:
+    """Add ``depth`` from samples (``second``, ``depth``), one per second; seconds without one get NULL."""
+    at = samples.select(F.col("second").alias("__second"), F.col("depth"))
+    return df.join(at, second_of(F.col(arrival)) == F.col("__second"), "left").drop("__second")

@@ -121,8 +121,13 @@ def envelope(
 ) -> DataFrame:
     """One envelope per log of the valid requests; a bad log drops its whole request.
 
-    The client's own time is kept as ``event_ts`` beside the ingest ``timestamp``.
+    The client's own time is kept as ``event_ts`` beside the ingest ``timestamp``; a
+    number that is no time in seconds gives a NULL ``event_ts`` and a problem, and
+    is kept as given in ``client_time``.  Stable ids need a ``request_id``, since
+    nothing else tells two requests of a tenant and service apart.
     """
+    if id_mode == "stable" and "request_id" not in df.columns:
+        raise ValueError("stable ids need a request_id column")
     ingest = ids.now_or(now)
     request_id = F.col("request_id") if "request_id" in df.columns else F.lit(None).cast("string")
     request_source = F.col("source") if "source" in df.columns else F.lit(None).cast("string")
@@ -151,7 +156,9 @@ def envelope(
         ).alias("source"),
         "origin_ip",
         ingest.alias("timestamp"),
-        F.timestamp_seconds("log.timestamp").alias("event_ts"),
+        ids.client_time(F.col("log.timestamp")).alias("event_ts"),
+        F.col("log.timestamp").alias("client_time"),
+        ids.client_time_problem(F.col("log.timestamp")).alias("client_time_problem"),
         F.coalesce(F.col("log.message"), F.lit("")).alias("raw_payload"),
         F.coalesce(F.col("log.metadata"), F.expr("map()").cast("map<string,string>")).alias(
             "metadata"

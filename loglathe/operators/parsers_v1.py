@@ -475,6 +475,11 @@ def _iot_map(line: Line, f: Found) -> Columns:
     }
 
 
+def _reading(value: Column) -> Column:
+    """Number of digits and a dot; a cast alone would also take nan and infinity."""
+    return F.when(value.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), value.try_cast("double"))
+
+
 def _iot_health(line: Line, f: Found) -> Columns:
     temp = F.try_element_at(f.telemetry, F.lit("temp"))
     return {
@@ -482,8 +487,8 @@ def _iot_health(line: Line, f: Found) -> Columns:
             F.try_element_at(f.telemetry, F.lit("status")).isin(fixed.V1_BAD_DEVICE_STATUS),
             F.lit(False),
         ),
-        "hot": F.coalesce(temp.try_cast("double") > fixed.V1_OVERHEAT_ABOVE, F.lit(False)),
-        "unreadable": temp.isNotNull() & temp.try_cast("double").isNull(),
+        "hot": F.coalesce(_reading(temp) > fixed.V1_OVERHEAT_ABOVE, F.lit(False)),
+        "unreadable": temp.isNotNull() & _reading(temp).isNull(),
     }
 
 
@@ -584,7 +589,7 @@ def parse_lines(
     line = current_line()
     chosen = None
     for name, parser in parsers.items():
-        outputs = _guarded(parser, line, found_by(parser))
+        outputs = _guarded(parser, line, found_by(name))
         packed = F.struct(*[c.alias(n) for n, c in outputs.items()])
         if family is None:
             chosen = packed

@@ -298,7 +298,7 @@ def _syslog_parts(line: Line, f: Found) -> Columns:
 def _syslog(line: Line, f: Found) -> Columns:
     return {
         "system_service": F.coalesce(f.service, F.lit("kernel")),
-        "pid": f.pid.try_cast("bigint"),
+        "pid": F.regexp_replace(f.pid, "^0+([0-9])", "$1"),  # text: it may be longer than any number type
         "is_os_internal": text.has_any(line.lower, fixed.OS_INTERNAL_WORDS),
         "event_category": f.category,
         "is_system_error": (f.category != "GENERAL") | line.upper.contains("ERROR"),

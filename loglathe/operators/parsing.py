@@ -21,6 +21,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglathe import session
 from loglathe.functions import maps
 
 Columns = dict[str, Column]
@@ -64,13 +65,15 @@ def current_line() -> Line:
     return Line(F.col("__raw"), F.col("__upper"), F.col("__lower"))
 
 
-def found_by(parser: Parser) -> Found:
-    return Found(f"__{parser.family}_")
+def found_by(key: str) -> Found:
+    """Columns that the stages of the parser with this key have made."""
+    return Found(f"__{key}_")
 
 
 def run_stages(
     df: DataFrame, text: Column, parsers: Mapping[str, Parser], family: Column | None
 ) -> DataFrame:
+    session.require(df.sparkSession)
     df = df.withColumns({"__raw": text})
     df = df.withColumns({"__upper": F.upper("__raw"), "__lower": F.lower("__raw")})
     line = current_line()
@@ -79,9 +82,9 @@ def run_stages(
         columns: Columns = {}
         for name, parser in parsers.items():
             if step < len(parser.stages):
-                for key, value in parser.stages[step](line, found_by(parser)).items():
+                for key, value in parser.stages[step](line, found_by(name)).items():
                     guarded = value if family is None else F.when(family == name, value)
-                    columns[f"__{parser.family}_{key}"] = guarded
+                    columns[f"__{name}_{key}"] = guarded
         df = df.withColumns(columns)
     return df
 
@@ -96,7 +99,7 @@ def parse_one(
 ) -> DataFrame:
     """Typed result of one family as a struct column, plus ``parse_error``."""
     staged = run_stages(df, F.col(text), {parser.family: parser}, None)
-    line, found = current_line(), found_by(parser)
+    line, found = current_line(), found_by(parser.family)
     outputs = parser.outputs(line, found)
     result = F.struct(*[c.alias(n) for n, c in outputs.items()])
     error = parser.error(line, found) if parser.error else F.lit(None).cast("string")
@@ -120,7 +123,7 @@ def parse_mixed(
     result = F.lit(None).cast("map<string,string>")
     error = F.lit(None).cast("string")
     for name, parser in parsers.items():
-        found = found_by(parser)
+        found = found_by(name)
         mine = F.col(family) == name
         result = F.when(mine, parser.attribute_map(parser.outputs(line, found))).otherwise(result)
         if parser.error:

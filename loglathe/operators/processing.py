@@ -165,8 +165,14 @@ def replay(
     key: str = "event_id",
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """Run dead letters again and keep what now passes and is not indexed yet."""
+    """Run dead letters again and keep what now passes and is not indexed yet.
+
+    A dead letter that is stored several times is replayed once.  Of the index
+    only the keys of dead letters are looked at further.
+    """
+    once = dead.dropDuplicates([key])
     text = F.col("raw")
-    again = dead.select(key, (repair(text) if repair else text).alias("value"))
+    again = once.select(key, (repair(text) if repair else text).alias("value"))
     passed = indexed_rows(process_logs(again, schema=schema))
-    return passed.join(indexed.select(key), key, "left_anti")
+    known = indexed.select(key).join(once.select(key), key, "left_semi")
+    return passed.join(known, key, "left_anti")

@@ -18,27 +18,32 @@ BROADCAST_KEYS = 10_000
 
 @dataclass(frozen=True)
 class Registry:
-    """Routing table of one dialect together with its parsers."""
+    """Routing table of one dialect together with its parsers.
+
+    Sources lead to parser keys.  The key of a built-in parser is its family; a
+    registered one has a key of its own, so that it serves its source only.
+    """
 
     sources: Mapping[str, str]
     default: str
     parsers: Mapping[str, Parser] = field(repr=False)
 
     def register(self, source: str, parser: Parser) -> Registry:
-        """New registry in which ``source`` goes to ``parser``; the last one wins.
+        """New registry in which ``source``, and no other, goes to ``parser``; the last one wins.
 
         A parser may wrap a user's ``pandas_udf``: its stages are only Columns.
         """
-        return Registry(
-            {**self.sources, source.lower(): parser.family},
-            self.default,
-            {**self.parsers, parser.family: parser},
-        )
+        held = [k for k, p in self.parsers.items() if p is parser]
+        key = held[0] if held else f"{parser.family}_{len(self.parsers)}"
+        return Registry({**self.sources, source.lower(): key}, self.default, {**self.parsers, key: parser})
+
+    def family(self, key: str) -> str:
+        return self.parsers[key].family if key in self.parsers else key
 
     def table(self, df: DataFrame) -> DataFrame:
-        """The routing table as a DataFrame (``route_key``, ``family``)."""
-        rows = [(k, f) for k, f in self.sources.items()]
-        return df.sparkSession.createDataFrame(rows, "route_key string, family string")
+        """The routing table as a DataFrame (``route_key``, ``parser_key``, ``family``)."""
+        rows = [(source, key, self.family(key)) for source, key in self.sources.items()]
+        return df.sparkSession.createDataFrame(rows, "route_key string, parser_key string, family string")
 
 
 def _flat(groups: Mapping[str, list[str]]) -> dict[str, str]:
@@ -50,13 +55,18 @@ V1 = Registry(_flat(fixed.V1_SOURCES), fixed.V1_DEFAULT_FAMILY, parsers_v1.PARSE
 
 
 def route(df: DataFrame, key: Column, registry: Registry = V2) -> DataFrame:
-    """Add ``family`` for the routing key; empty, NULL and unknown keys go to the default."""
+    """Add ``family`` and ``parser_key`` for the routing key; empty, NULL and unknown keys go to the default."""
     table = registry.table(df)
     if len(registry.sources) <= BROADCAST_KEYS:
         table = F.broadcast(table)
     routed = df.withColumns({"route_key": F.lower(key)}).join(table, "route_key", "left")
-    family = F.coalesce(F.col("family"), F.lit(registry.default))
-    return routed.withColumns({"family": family}).drop("route_key")
+    default = F.lit(registry.default)
+    return routed.withColumns(
+        {
+            "family": F.coalesce(F.col("family"), F.lit(registry.family(registry.default))),
+            "parser_key": F.coalesce(F.col("parser_key"), default),
+        }
+    ).drop("route_key")
 
 
 def route_v2(df: DataFrame, source: str = "source", registry: Registry = V2) -> DataFrame:

@@ -34,7 +34,9 @@ def transform_logs(
     key = F.coalesce(F.col(source), F.lit("generic"))
     routed = route(df, key, registry)
     # a missing payload is the empty text, as in the envelope
-    parsed = parse_mixed(routed, registry.parsers, text=F.coalesce(F.col(payload), F.lit("")))
+    parsed = parse_mixed(
+        routed, registry.parsers, "parser_key", text=F.coalesce(F.col(payload), F.lit(""))
+    ).drop("parser_key")
     if on_error == "drop":
         parsed = parsed.where(F.col("parse_error").isNull()).drop("parse_error")
     return parsed
@@ -62,8 +64,8 @@ def transform_logs_v1(
     kept = routed.withColumnsRenamed({"__line": "line_text"}).withColumns(
         {"source": F.col("__source"), "service": F.coalesce(F.col("__service"), F.lit("unknown"))}
     ).drop("__source", "__service")
-    parsed = parse_lines(kept, registry.parsers, F.col("family"), F.col("line_text"), now)
-    return parsed.withColumns({"ingested_at": ids.now_or(now)}).drop("line_text")
+    parsed = parse_lines(kept, registry.parsers, F.col("parser_key"), F.col("line_text"), now)
+    return parsed.withColumns({"ingested_at": ids.now_or(now)}).drop("line_text", "parser_key")
 
 
 def _entries(df: DataFrame, logs: str) -> DataFrame:
@@ -71,9 +73,9 @@ def _entries(df: DataFrame, logs: str) -> DataFrame:
 
 
 def _entry_time(now: Column) -> Column:
-    """The entry's own epoch seconds, or now when it is missing or zero."""
+    """The entry's own epoch seconds, or now when it is missing, zero or no time in seconds."""
     own = F.nullif(F.col("entry.timestamp"), F.lit(0))
-    return F.coalesce(F.timestamp_seconds(own), now)
+    return F.coalesce(ids.client_time(own), now)
 
 
 def process_batch(
@@ -96,7 +98,7 @@ def process_batch(
             "message": F.coalesce(F.col("entry.message"), F.lit("")),
         }
     )
-    parsed = parse_mixed(route(rows, F.col("source"), registry), registry.parsers, text="message")
+    parsed = parse_mixed(route(rows, F.col("source"), registry), registry.parsers, "parser_key", text="message")
     reason = F.when(~text.not_blank(F.col("message")), "Empty log").otherwise(F.col("parse_error"))
     failed = F.col("reason").isNotNull()
     return parsed.withColumns({"reason": reason}).select(
@@ -133,7 +135,7 @@ def process_batch_v1(
             "message": F.coalesce(F.col("entry.message"), F.lit("")),
         }
     )
-    parsed = parse_mixed(route(rows, F.col("source"), registry), registry.parsers, text="message")
+    parsed = parse_mixed(route(rows, F.col("source"), registry), registry.parsers, "parser_key", text="message")
     reason = F.when(~text.not_blank(F.col("message")), "Empty or Null input").otherwise(
         F.concat(F.lit("Parsing Error: "), F.col("parse_error"))
     )

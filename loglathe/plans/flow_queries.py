@@ -18,7 +18,7 @@ from loglathe.operators import (
 )
 from loglathe.plans import corpus, oracle_parsers
 from loglathe.plans.corpus import E, K, U, V, pick, q
-from loglathe.plans.parser_queries import NOW, _family_case, _mixed_v2_oracle, map_text
+from loglathe.plans.parser_queries import NOW, _family_case, _mixed_v2_oracle, _v2_oracle, map_text
 from loglathe.sinks import outputs
 from loglathe.sources import inputs
 from loglathe.streaming import jobs, limiter
@@ -45,13 +45,25 @@ def sql_time(expression: str) -> str:
     return f"strftime(CAST({expression} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%g')"
 
 
+def sql_id(*parts: str) -> str:
+    """Identifier of the parts, each with its length in front."""
+    texts = [f"coalesce(CAST(length(CAST({p} AS VARCHAR)) AS VARCHAR) || ':' || CAST({p} AS VARCHAR), '-')" for p in parts]
+    return f"sha256({' || chr(124) || '.join(texts)})"
+
+
 # --- requests ---------------------------------------------------------------
 # One request per event with one to four logs; some requests are not valid and
 # some hold a log that cannot be enveloped.
 
 _LOG_COUNT = "(1 + event_id % 4)"
-_REQUEST_TENANT = f"CASE WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 23 = 0 THEN '' ELSE {corpus.TENANT} END"
-_REQUEST_SERVICE = f"CASE WHEN event_id % 29 = 0 THEN NULL ELSE {corpus.SERVICE} END"
+_REQUEST_TENANT = (
+    "CASE WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 23 = 0 THEN '' WHEN event_id % 31 = 0 THEN 'a|b'"
+    f" WHEN event_id % 37 = 0 THEN 'a' ELSE {corpus.TENANT} END"
+)
+_REQUEST_SERVICE = (
+    "CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 31 = 0 THEN 'c' WHEN event_id % 37 = 0 THEN 'b|c'"
+    f" ELSE {corpus.SERVICE} END"
+)
 
 
 def _log_message(i: int) -> str:
@@ -66,7 +78,12 @@ def _log_source(i: int) -> str:
 
 
 def _log_seconds(i: int) -> str:
-    return f"CASE WHEN (event_id + {i}) % 6 = 0 THEN NULL WHEN (event_id + {i}) % 6 = 1 THEN 0 ELSE 1712314200 + event_id + {i} END"
+    # some clients send milli-, micro- or nanoseconds
+    return (
+        f"CASE WHEN (event_id + {i}) % 6 = 0 THEN NULL WHEN (event_id + {i}) % 6 = 1 THEN 0 WHEN (event_id + {i}) % 41 = 2"
+        f" THEN 1712314200000 WHEN (event_id + {i}) % 41 = 3 THEN 1712314200000000 WHEN (event_id + {i}) % 41 = 4 THEN"
+        f" 1712314200000000000 ELSE 1712314200 + event_id + {i} END"
+    )
 
 
 def requests(spark: SparkSession, sf_dir: str, **more: str) -> DataFrame:
@@ -127,10 +144,11 @@ def intake_split_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_ENVELOPE = (
-    "SELECT sha256(ingestion_id || '|' || CAST(pos AS VARCHAR)) AS event_id, ingestion_id,"
+    f"SELECT {sql_id('ingestion_id', 'pos')} AS event_id, ingestion_id,"
     " tenant_id, service AS service_name, lower(coalesce(source, 'generic')) AS source,"
-    " '10.1.1.1' AS origin_ip, secs AS event_seconds, coalesce(message, '') AS raw_payload, k"
-    " FROM (SELECT *, sha256(tenant_id || '|' || service || '|' || CAST(event_id AS VARCHAR))"
+    " '10.1.1.1' AS origin_ip, CASE WHEN secs < 253402300800 THEN secs END AS event_seconds, secs AS client_time,"
+    " coalesce(message, '') AS raw_payload, k"
+    f" FROM (SELECT *, {sql_id('tenant_id', 'service', 'event_id')}"
     " AS ingestion_id FROM logs WHERE tenant_id IS NOT NULL AND service IS NOT NULL)"
 )
 
@@ -144,6 +162,7 @@ def _flat_envelopes(df: DataFrame) -> DataFrame:
         "source",
         "origin_ip",
         F.unix_seconds("event_ts").alias("event_seconds"),
+        "client_time",
         "raw_payload",
         F.col("metadata")["k"].alias("k"),
     )
@@ -169,12 +188,10 @@ def intake_all_or_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "intake_single",
-    f"SELECT event_id AS source_event, sha256(sha256('0|' || {corpus.SERVICE} || '|' || {E}) ||"
-    f" '|0') AS event_id, '0' AS tenant_id, {corpus.SERVICE} AS service_name,"
-    f" lower({_log_source(0)}) AS source, {_log_message(0)} AS raw_payload FROM events WHERE false"
-    f" UNION ALL SELECT event_id, sha256(sha256('0|' || coalesce({_REQUEST_SERVICE}, 'default') ||"
-    f" '|' || {E}) || '|0'), '0', coalesce({_REQUEST_SERVICE}, 'default'),"
-    f" lower(coalesce({_log_source(0)}, 'generic')), coalesce({_log_message(0)}, '') FROM events",
+    f"SELECT event_id AS source_event, {sql_id('ingestion_id', '0')} AS event_id, '0' AS tenant_id, service_name,"
+    f" source, raw_payload FROM (SELECT event_id, {sql_id(q('0'), f'coalesce({_REQUEST_SERVICE}, {q('default')})', 'event_id')}"
+    f" AS ingestion_id, coalesce({_REQUEST_SERVICE}, 'default') AS service_name, lower(coalesce({_log_source(0)},"
+    f" 'generic')) AS source, coalesce({_log_message(0)}, '') AS raw_payload FROM events)",
 )
 def intake_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = F.col("logs")[0]
@@ -274,9 +291,9 @@ def _batch_oracle(v1: bool) -> str:
     )
     tenant_out = f"CASE WHEN {failed} THEN NULL ELSE tenant_id END" if v1 else "tenant_id"
     return (
-        f"WITH {_SQL_LOGS}, {base}, parsed AS ({parts}) SELECT sha256(CAST(batch AS VARCHAR) || '|'"
-        f" || CAST(pos AS VARCHAR)) AS log_id, {tenant_out} AS tenant_id, CASE WHEN {failed} THEN"
-        f" NULL ELSE source END AS source, CASE WHEN {failed} OR coalesce(secs, 0) = 0 THEN"
+        f"WITH {_SQL_LOGS}, {base}, parsed AS ({parts}) SELECT {sql_id('batch', 'pos')} AS log_id,"
+        f" {tenant_out} AS tenant_id, CASE WHEN {failed} THEN"
+        f" NULL ELSE source END AS source, CASE WHEN {failed} OR coalesce(secs, 0) = 0 OR secs >= 253402300800 THEN"
         " 1775347200 ELSE secs END AS seconds, line AS message, CASE WHEN"
         f" {failed} THEN 'error=' || reason || '|raw_captured=true' ELSE attributes END AS"
         f" attributes{extra} FROM (SELECT *, CASE WHEN trim(line) = '' THEN '{blank}' WHEN"
@@ -330,11 +347,10 @@ def container_metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Each line item is a request; one ship day is one second, so groups are dense.
 
 _LIMIT = 90
-_DRAIN = 400
 _DEPTH = 600
 _DAY = "date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE))"
 _SQL_ARRIVALS = (
-    "arrivals AS (SELECT 't' || CAST(l_suppkey % 5 AS VARCHAR) AS tenant_id,"
+    "arrivals AS (SELECT CASE WHEN l_suppkey % 5 > 0 THEN 't' || CAST(l_suppkey % 5 AS VARCHAR) END AS tenant_id,"
     f" 694224000 + {_DAY} AS sec, l_linenumber AS ms, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-'"
     " || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS request_id,"
     " CAST(l_quantity AS BIGINT) - 1 AS n_logs, l_partkey FROM lineitem)"
@@ -350,18 +366,18 @@ _LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = session.spread(
-        corpus.read(spark, sf_dir, "lineitem").select(*_LINE_KEY, "l_quantity", "l_shipdate")
-    )
+    items = corpus.read(spark, sf_dir, "lineitem").select(*_LINE_KEY, "l_quantity", "l_shipdate")
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
     micros = (F.lit(694224000) + day).cast("bigint") * 1_000_000 + F.col("l_linenumber") * 1000
+    tenant = F.concat(F.lit("t"), (F.col("l_suppkey") % 5).cast("string"))
     return items.select(
-        F.concat(F.lit("t"), (F.col("l_suppkey") % 5).cast("string")).alias("tenant_id"),
+        F.when(F.col("l_suppkey") % 5 > 0, tenant).alias("tenant_id"),  # a fifth names no tenant
         F.timestamp_micros(micros).alias("arrival"),
         F.concat_ws("-", *[F.col(c).cast("string") for c in _LINE_KEY]).alias("request_id"),
         (F.col("l_quantity").cast("bigint") - 1).alias("n_logs"),
+        "l_linenumber",
         "l_partkey",
-    )
+    )
 
 
 @query(
@@ -369,7 +385,6 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_SQL_ARRIVALS}, {_SQL_RUNNING} SELECT request_id, running_total <= {_LIMIT} AS allowed FROM running",
 )
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    session.configure(spark)
     return admission.rate_limit(arrivals(spark, sf_dir), limit=_LIMIT).select("request_id", "allowed")
 
 
@@ -391,31 +406,35 @@ def rate_limit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("tenant_id", F.unix_seconds("second").alias("second"), "logs", "batches")
 
 
+# measured depth of the buffer, sampled for most seconds
+_SQL_DEPTH = "CASE WHEN sec % 7 > 0 THEN (sec * 37) % 900 END"
+
+
 @query(
     "admission_status",
     f"WITH {_SQL_ARRIVALS}, judged AS (SELECT *, l_partkey % 17 <> 0 AS valid, l_partkey % 13 <> 0"
-    " AS fits FROM arrivals), running AS (SELECT *, sum(CASE WHEN valid THEN n_logs ELSE 0 END)"
-    " OVER (PARTITION BY tenant_id, sec ORDER BY ms, request_id ROWS UNBOUNDED PRECEDING) <="
-    f" {_LIMIT} AS allowed FROM judged), seconds AS (SELECT sec, sum(CASE WHEN valid AND allowed"
-    " AND fits THEN n_logs ELSE 0 END) AS added FROM running GROUP BY sec), levels AS (SELECT sec,"
-    " coalesce(sum(added) OVER (ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-    f" - {_DRAIN} * sec AS lvl FROM seconds), depths AS (SELECT sec, lvl - min(lvl) OVER (ORDER BY"
-    " sec ROWS UNBOUNDED PRECEDING) AS depth FROM levels) SELECT request_id, status, CASE WHEN status"
-    " = 202 THEN CAST(depth + n_logs AS VARCHAR) END AS buffer_depth FROM (SELECT *, CASE WHEN NOT"
-    f" valid THEN 422 WHEN NOT allowed THEN 429 WHEN depth > {_DEPTH} THEN 503 WHEN NOT fits THEN"
-    " 500 ELSE 202 END AS status FROM running JOIN depths USING (sec))",
+    f" AS fits, coalesce({_SQL_DEPTH}, 0) AS depth FROM arrivals), running AS (SELECT *, sum(CASE WHEN valid THEN"
+    " n_logs ELSE 0 END) OVER (PARTITION BY tenant_id, sec ORDER BY ms, request_id ROWS UNBOUNDED PRECEDING) <="
+    f" {_LIMIT} AS allowed FROM judged) SELECT request_id, status, CASE WHEN status = 202 THEN depth + n_logs END AS"
+    " buffer_depth FROM (SELECT *, CASE WHEN NOT valid THEN 422 WHEN NOT allowed THEN 429 WHEN depth >"
+    f" {_DEPTH} THEN 503 WHEN NOT fits THEN 500 ELSE 202 END AS status FROM running)",
 )
 def admission_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    session.configure(spark)
+    flow = arrivals(spark, sf_dir)
+    second = F.col("second")
+    seconds = flow.select(admission.second_of(F.col("arrival")).alias("second")).distinct()
+    samples = seconds.where(F.unix_seconds(second) % 7 > 0).select(
+        "second", (F.unix_seconds(second) * 37 % 900).alias("depth")
+    )
     judged = admission.admission_status(
-        arrivals(spark, sf_dir),
+        admission.with_depth(flow, samples),
         valid=F.col("l_partkey") % 17 != 0,
         envelopable=F.col("l_partkey") % 13 != 0,
+        depth=F.col("depth"),
         limit=_LIMIT,
         max_depth=_DEPTH,
-        drain_per_second=_DRAIN,
     )
-    return judged.select("request_id", "status", F.col("buffer_depth").cast("string").alias("buffer_depth"))
+    return judged.select("request_id", "status", "buffer_depth")
 
 
 # --- processing ---------------------------------------------------------------------
@@ -560,6 +579,7 @@ def process_logs_dlq(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dlq_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = raw_messages(spark, sf_dir)
     dead = processing.dead_letters(processing.process_logs(raw), now=NOW)
+    dead = dead.unionByName(dead.where("event_id % 2 = 0"))  # a retry has stored some twice
     replayed_before = corpus.read(spark, sf_dir, "events").where("user_id % 7 = 0")
 
     def repair(text: Column) -> Column:
@@ -732,6 +752,14 @@ def _finish(stream_query) -> None:
     stream_query.awaitTermination()
 
 
+def in_batches(df: DataFrame, path: str, part: Column, parts: int = 3) -> DataFrame:
+    """The rows as a stream of one micro-batch per part, in the order of the parts."""
+    spark = df.sparkSession
+    for n in range(parts):
+        df.where(part == n).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("stream_transform", _mixed_v2_oracle())
 def stream_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = session.run_folder(spark, "stream-transform")
@@ -742,13 +770,20 @@ def stream_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("stream_sink", _stored_oracle(_HOT_SELECT))
+@query(
+    "stream_sink",
+    _stored_oracle(f"'hot' AS place, {_HOT_SELECT}").replace("WITH env", "WITH stored AS (WITH env", 1)
+    + ") SELECT * FROM stored UNION ALL SELECT 'cold', * EXCLUDE (place) FROM stored",
+)
 def stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = session.run_folder(spark, "stream-sink")
-    parsed = jobs.transform_stream(envelopes(spark, sf_dir, stream=True))
+    flow = in_batches(envelopes(spark, sf_dir), f"{path}/in", F.hour("timestamp") % 3)
     write = jobs.hot_and_cold(f"{path}/hot", f"{path}/cold", NOW)
-    _finish(jobs.run(parsed, write, f"{path}/checkpoint"))
-    return _hot_columns(spark.read.parquet(f"{path}/hot"))
+    _finish(jobs.run(jobs.transform_stream(flow), write, f"{path}/checkpoint"))
+    cold = spark.read.parquet(f"{path}/cold").withColumns({"event_date": F.to_date("timestamp")})
+    tables = {"hot": spark.read.parquet(f"{path}/hot"), "cold": cold}
+    hot, cold = (_hot_columns(t).withColumns({"place": F.lit(name)}) for name, t in tables.items())
+    return hot.unionByName(cold)
 
 
 @query(
@@ -769,30 +804,24 @@ def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stream_rate_limit",
-    f"WITH {_SQL_ARRIVALS}, {_SQL_RUNNING} SELECT request_id, running_total <= {_LIMIT} AS allowed"
-    " FROM running WHERE n_logs > 0 UNION ALL SELECT request_id, true FROM arrivals WHERE n_logs = 0",
+    f"WITH {_SQL_ARRIVALS}, {_SQL_RUNNING} SELECT request_id, l_partkey, running_total <= {_LIMIT} AS allowed FROM running",
 )
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests come in three micro-batches, by line number, so every second is spread over all of them."""
     path = session.run_folder(spark, "stream-limit")
-    items = inputs.table_files(spark, sf_dir, "lineitem.parquet", stream=True)
-    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
-    micros = (F.lit(694224000) + day).cast("bigint") * 1_000_000 + F.col("l_linenumber") * 1000
-    flow = items.select(
-        F.concat(F.lit("t"), (F.col("l_suppkey") % 5).cast("string")).alias("tenant_id"),
-        F.timestamp_micros(micros).alias("arrival"),
-        F.concat_ws("-", *[F.col(c).cast("string") for c in _LINE_KEY]).alias("request_id"),
-        (F.col("l_quantity").cast("bigint") - 1).alias("n_logs"),
-    )
-    limited = limiter.limit_stream(flow, limit=_LIMIT)
-    _finish(jobs.run(limited, jobs.table_sink(f"{path}/table"), f"{path}/checkpoint"))
-    return spark.read.parquet(f"{path}/table").select("request_id", "allowed")
+    number = F.col("l_linenumber")
+    part = F.when(number <= 2, 0).when(number <= 4, 1).otherwise(2)
+    flow = in_batches(arrivals(spark, sf_dir), f"{path}/in", part)
+    write = limiter.limit_batches(f"{path}/totals", f"{path}/table", limit=_LIMIT)
+    _finish(jobs.run(flow, write, f"{path}/checkpoint"))
+    return spark.read.parquet(f"{path}/table").select("request_id", "l_partkey", "allowed")
 
 
 @query("stream_dedup", "SELECT event_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is delivered one to three times, and the older ones come last."""
     path = session.run_folder(spark, "stream-dedup")
-    events = inputs.table_files(spark, sf_dir, "events.parquet", stream=True)
-    # every event is delivered one to three times
+    events = corpus.read(spark, sf_dir, "events")
     copies = F.sequence(F.lit(1), (F.col("event_id") % 3 + 1).cast("int"))
     delivered = events.select(
         "event_id",
@@ -800,7 +829,9 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("timestamp"),
         F.explode(copies).alias("copy"),
     )
-    unique = jobs.deduplicated(delivered)
+    late = F.when(F.dayofmonth("timestamp") > 20, 0).when(F.dayofmonth("timestamp") > 10, 1).otherwise(2)
+    flow = in_batches(delivered, f"{path}/in", F.pmod(late + F.col("copy") - 1, F.lit(3)))
+    unique = jobs.deduplicated(flow)
     _finish(jobs.run(unique, jobs.table_sink(f"{path}/table"), f"{path}/checkpoint"))
     return spark.read.parquet(f"{path}/table").select("event_id", "event_type")
 
@@ -812,16 +843,20 @@ _SQL_RATES = (
 )
 
 
+def _late_days(time: str) -> Column:
+    """Newest days first, so that most rows of the later micro-batches are old."""
+    return F.when(F.dayofmonth(time) > 20, 0).when(F.dayofmonth(time) % 3 > 0, 1).otherwise(2)
+
+
 @query("stream_rates", _SQL_RATES.format(every="1 hour"))
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = session.run_folder(spark, "stream-rates")
-    flow = envelopes(spark, sf_dir, stream=True).withColumnRenamed("service_name", "service")
-    rates = jobs.rate_stream(flow, every="1 hour")
-    sink = jobs.table_sink(f"{path}/table")
-    _finish(jobs.run(rates, sink, f"{path}/checkpoint", mode="update"))
-    table = spark.read.parquet(f"{path}/table")
-    newest = jobs.latest(table, ["window_start", "tenant_id", "service"])
-    return newest.withColumns({"window_start": text_time(F.col("window_start"))})
+    rows = envelopes(spark, sf_dir).withColumnRenamed("service_name", "service")
+    flow = in_batches(rows, f"{path}/in", _late_days("timestamp"))
+    sink = jobs.counted_into(f"{path}/table", jobs.rate_counts(every="1 hour"))
+    _finish(jobs.run(flow, sink, f"{path}/checkpoint"))
+    rates = jobs.summed(spark.read.parquet(f"{path}/table"), ["logs"])
+    return rates.withColumns({"window_start": text_time(F.col("window_start"))})
 
 
 # --- reports -------------------------------------------------------------------------------
@@ -858,6 +893,21 @@ def error_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "stream_errors",
+    "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, family, count(*) AS logs, sum(CASE WHEN"
+    f" {_IS_ERROR} THEN 1 ELSE 0 END) AS errors FROM (" + _stored_oracle("ts, family, attributes") + ") GROUP BY ALL",
+)
+def stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = session.run_folder(spark, "stream-errors")
+    flow = in_batches(envelopes(spark, sf_dir), f"{path}/in", _late_days("timestamp"))
+    count = jobs.error_counts(analytics.is_error_row(F.col("attributes")), every="1 day")
+    sink = jobs.counted_into(f"{path}/table", count)
+    _finish(jobs.run(jobs.transform_stream(flow), sink, f"{path}/checkpoint"))
+    totals = jobs.summed(spark.read.parquet(f"{path}/table"), ["logs", "errors"])
+    return totals.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "family", "logs", "errors")
+
+
 @query("ingestion_rate", _SQL_RATES.format(every="1 minute"))
 def ingestion_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow = envelopes(spark, sf_dir).withColumnRenamed("service_name", "service")
@@ -873,7 +923,9 @@ def ingestion_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     " DESC, tenant_id, service_name, raw_payload LIMIT 50",
 )
 def log_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = storage.hot_rows(envelopes(spark, sf_dir), NOW)
+    path = session.run_folder(spark, "search")
+    outputs.write_hot(storage.hot_rows(envelopes(spark, sf_dir), NOW), path)
+    table = spark.read.parquet(path)
     found = analytics.search(
         table,
         tenant_id="t3",
@@ -945,7 +997,16 @@ def domain_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.domain_report(rows)
 
 
-@query("duration_summary")
+def _duration_oracle() -> str:
+    parsed = _v2_oracle("storage")
+    measured = f"SELECT operation, TRY_CAST(duration AS DOUBLE) AS d FROM ({parsed}) WHERE duration IS NOT NULL"
+    return (
+        "SELECT operation, count(d) AS n, round(avg(d), 4) AS mean, max(d) AS longest, quantile_disc(d, 0.5) AS p50,"
+        f" quantile_disc(d, 0.95) AS p95 FROM ({measured}) GROUP BY operation"
+    )
+
+
+@query("duration_summary", _duration_oracle())
 def duration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loglathe.operators.parsers_v2 import parse_database
 
@@ -956,11 +1017,4 @@ def duration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("duration"),
         ["operation"],
     )
-    return summary.select(
-        "operation",
-        "n",
-        F.round("mean", 6).alias("mean"),
-        "longest",
-        F.col("p50_p95")[0].alias("p50"),
-        F.col("p50_p95")[1].alias("p95"),
-    )
+    return summary.select("operation", "n", F.round("mean", 4).alias("mean"), "longest", "p50", "p95")

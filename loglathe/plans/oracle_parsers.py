@@ -179,7 +179,7 @@ _v2(
     " FROM (SELECT *, upper(line) AS up FROM lines))",
     {
         "system_service": f"coalesce({rx(fixed.SYSLOG_HEADER, 1)}, 'kernel')",
-        "pid": f"CAST(TRY_CAST({rx(fixed.SYSLOG_HEADER, 2)} AS BIGINT) AS VARCHAR)",
+        "pid": f"nullif(regexp_replace({rx(fixed.SYSLOG_HEADER, 2)}, '^0+([0-9])', '\\1'), '')",
         "is_os_internal": "(lower(line) LIKE '%kernel%' OR lower(line) LIKE '%systemd%')",
         "event_category": "category",
         "is_system_error": "(category <> 'GENERAL' OR up LIKE '%ERROR%')",

@@ -38,6 +38,8 @@ ENVELOPE = T.StructType(
         T.StructField("origin_ip", T.StringType()),
         T.StructField("timestamp", T.TimestampType()),
         T.StructField("event_ts", T.TimestampType()),
+        T.StructField("client_time", T.LongType()),
+        T.StructField("client_time_problem", T.StringType()),
         T.StructField("raw_payload", T.StringType()),
         T.StructField("metadata", _METADATA),
     ]

@@ -14,8 +14,6 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     # parser projections above the JIT limit run as split methods instead
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # lets the rate limiter prune candidates before the shuffle for limits up to this
-    "spark.sql.optimizer.windowGroupLimitThreshold": "2000",
 }
 
 # fixed at session start: no call-site capture for every column a job builds
@@ -29,6 +27,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# results depend on these: a job that finds them otherwise must not go on
+NEEDED = ("spark.sql.session.timeZone", "spark.sql.variant.allowDuplicateKeys")
+
+
+def require(spark: SparkSession) -> None:
+    """Raise if a setting that decides results is not as the jobs need it."""
+    for key in NEEDED:
+        if spark.conf.get(key, None) != SETTINGS[key]:
+            raise ValueError(f"{key} must be {SETTINGS[key]}: call session.configure(spark) first")
+
+
 def build(name: str = "loglathe", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
     if master:

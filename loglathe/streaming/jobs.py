@@ -44,12 +44,10 @@ def hot_and_cold(hot_path: str, cold_path: str, now=None) -> BatchSink:
     """Write each micro-batch to the log table and to the archive."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = storage.hot_rows(batch, now).persist()
-        try:
-            outputs.write_hot(rows, hot_path, batch_id=batch_id)
-            outputs.write_archive(rows, cold_path, batch_id=batch_id)
-        finally:
-            rows.unpersist()
+        outputs.write_hot(storage.hot_rows(batch, now), hot_path, batch_id=batch_id)
+        # the archive is made of the rows just written, so nothing is parsed twice or cached
+        written = batch.sparkSession.read.parquet(hot_path).where(F.col("batch_id") == batch_id)
+        outputs.write_archive(written.drop("batch_id"), cold_path, batch_id=batch_id)
 
     return write
 
@@ -97,28 +95,43 @@ def keyed_topic(servers: str, topic: str, **extra: str) -> BatchSink:
     return write
 
 
-def deduplicated(
-    df: DataFrame, key: str = "event_id", time: str = "timestamp", within: str = "1 hour"
-) -> DataFrame:
-    """Drop repeats of an event that arrive within the given time of each other."""
-    return df.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
+def deduplicated(df: DataFrame, key: str = "event_id", within: str = "1 hour") -> DataFrame:
+    """Drop repeats of an event that are received within the given time of each other.
 
+    The watermark follows the time a row is received, which never runs
+    backwards: an old event is not late, and none is lost.
+    """
+    received = df.withColumns({"__received": F.current_timestamp()}).withWatermark("__received", within)
+    return received.dropDuplicatesWithinWatermark([key]).drop("__received")
 
-def rate_stream(
-    df: DataFrame, by=("tenant_id", "service"), every: str = "1 minute", late: str = "10 minutes"
-) -> DataFrame:
-    """Ingestion rate per window as a stream; run it in ``update`` mode."""
-    return analytics.ingestion_rate(df.withWatermark("timestamp", late), by, every)
 
+def counted_into(path: str, count: Callable[[DataFrame], DataFrame]) -> BatchSink:
+    """Counts of each micro-batch as rows of their own; ``summed`` adds them up.
 
-def error_stream(
-    df: DataFrame,
-    is_error: Column,
-    by=("family",),
-    every: str = "1 hour",
-    late: str = "10 minutes",
-) -> DataFrame:
-    return analytics.error_frequency(df.withWatermark("timestamp", late), is_error, by, every)
+    No state and no watermark: a row that comes late, however late, adds to its
+    window like any other, and a micro-batch that runs again replaces its counts.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        outputs.write_index(count(batch), path, batch_id=batch_id)
+
+    return write
+
+
+def rate_counts(by=("tenant_id", "service"), every: str = "1 minute") -> Callable[[DataFrame], DataFrame]:
+    return lambda df: analytics.ingestion_rate(df, by, every)
+
+
+def error_counts(
+    is_error: Column, by=("family",), every: str = "1 hour"
+) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: analytics.error_frequency(df, is_error, by, every).drop("error_rate")
+
+
+def summed(df: DataFrame, counts: list[str]) -> DataFrame:
+    """Totals of the counts of all micro-batches."""
+    keys = [c for c in df.columns if c not in counts and c != "batch_id"]
+    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
 
 
 def latest(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,101 +1,73 @@
-"""Stateful rate limiter: a running total per tenant and second across micro-batches."""
+"""Streaming rate limiter: the batch limiter per micro-batch, with the totals of earlier micro-batches carried over.
+
+Each micro-batch is judged by ``admission.rate_limit``, so a hot second is split
+like in a batch job and all columns of the requests stay.  What a tenant-second
+has used is kept as a small table, one partition per micro-batch; running a
+micro-batch again overwrites its own partition and sees only earlier ones.
+
+Totals are read for the seconds of the micro-batch only.  They are never
+forgotten by themselves: ``compact`` folds the partitions into one and may drop
+seconds that no request can belong to any more.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
 from loglathe import fixed
-from loglathe.operators.admission import second_of
-
-OUTPUT = "tenant_id string, second timestamp, arrival timestamp, request_id string, n_logs bigint, allowed boolean"
-
-def _limiter(limit: int, ttl_seconds: int) -> Callable:
-    def judged(key, rows: pd.DataFrame, allowed: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "tenant_id": key[0],
-                "second": key[1],
-                "arrival": rows["arrival"],
-                "request_id": rows["request_id"],
-                "n_logs": rows["n_logs"],
-                "allowed": allowed,
-            }
-        )
-
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Let batches in, by (arrival, request id), while the total is within the limit.
-
-        The chunks of a group are never held as a whole: a row over the limit
-        stays over it whatever comes later, so it leaves with its chunk, and at
-        most ``limit`` rows can still be within it.  A batch without logs adds
-        nothing and is judged by the total before this micro-batch.
-        """
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start = state.get[0] if state.exists else 0
-        added, seen = 0, 0
-        rows, allowed = None, None
-        for chunk in chunks:
-            added += int(chunk["n_logs"].sum())
-            seen = max(seen, int(chunk["seen_at"].max().timestamp() * 1000))
-            if rows is not None:
-                open_rows = allowed & (rows["n_logs"].to_numpy() > 0)
-                yield judged(key, rows[~open_rows], allowed[~open_rows])
-                chunk = pd.concat([rows[open_rows], chunk])
-            rows = chunk
-            counts = rows["n_logs"].to_numpy()
-            order = np.lexsort((rows["request_id"].to_numpy(str), rows["arrival"].to_numpy()))
-            allowed = np.empty(len(rows), dtype=bool)
-            allowed[order] = start + np.cumsum(counts[order]) <= limit
-            allowed[counts <= 0] = start <= limit
-        state.update((start + added,))
-        state.setTimeoutTimestamp(seen + ttl_seconds * 1000)
-        yield judged(key, rows, allowed)
-
-    return step
-
-
-def limit_stream(
-    requests: DataFrame,
-    limit: int = fixed.RATE_LIMIT_PER_SECOND,
-    ttl_seconds: int = 3600,
-) -> DataFrame:
-    """Streaming ``allowed`` decisions for ``tenant_id, arrival, request_id, n_logs``.
-
-    State is keyed by tenant and second, never by tenant alone.  It is dropped
-    ``ttl_seconds`` after the last batch of its key.  A live flow needs no more
-    than the second itself plus two (``fixed.LIMIT_STATE_TTL_SECONDS``); the
-    default leaves room for a replay that runs slower.  The watermark follows
-    the time a row is first seen, which never runs backwards, so no row is late
-    and none is dropped.
+from loglathe.operators import admission
+from loglathe.sinks import outputs
+
+TOTALS = T.StructType(
+    [
+        T.StructField("tenant_id", T.StringType()),
+        T.StructField("second", T.TimestampType()),
+        T.StructField("logs", T.LongType()),
+        T.StructField("batches", T.LongType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
+)
+FOLDED = -1  # the partition of compacted totals
+
+
+def totals(spark: SparkSession, path: str) -> DataFrame:
+    """The table of totals; an empty one is laid down first."""
+    empty = spark.createDataFrame([], TOTALS)
+    empty.write.mode("ignore").partitionBy("batch_id").parquet(path)
+    return spark.read.schema(TOTALS).parquet(path)
+
+
+def limit_batches(
+    totals_path: str, table_path: str, limit: int = fixed.RATE_LIMIT_PER_SECOND
+) -> Callable[[DataFrame, int], None]:
+    """Sink for ``jobs.run``: requests with ``allowed`` go to the table, what they used to the totals."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        counts = admission.window_counts(batch)
+        span = counts.agg(F.min("second").alias("low"), F.max("second").alias("high")).first()
+        earlier = totals(spark, totals_path).where(F.col("batch_id") < batch_id)
+        if span.low is not None:
+            earlier = earlier.where(F.col("second").between(F.lit(span.low), F.lit(span.high)))
+        carried = earlier.groupBy("tenant_id", "second").agg(F.sum("logs").alias("logs"))
+        judged = admission.rate_limit(batch, limit, carried=carried)
+        outputs.write_index(judged, table_path, batch_id=batch_id)
+        outputs.write_index(counts, totals_path, batch_id=batch_id)
+
+    return write
+
+
+def compact(spark: SparkSession, path: str, into: str, keep_from=None) -> None:
+    """Write the totals as one partition into a new folder; seconds before ``keep_from`` are dropped.
+
+    Run it between two runs of the job and go on with the new folder.
     """
-    keyed = requests.select(
-        "tenant_id",
-        second_of(F.col("arrival")).alias("second"),
-        "arrival",
-        "request_id",
-        "n_logs",
-        F.current_timestamp().alias("seen_at"),
-    ).withWatermark("seen_at", "1 second")
-    return keyed.groupBy("tenant_id", "second").applyInPandasWithState(
-        _limiter(limit, ttl_seconds),
-        OUTPUT,
-        "total bigint",
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-
-
-def use_rocksdb(spark) -> None:
-    """Keep streaming state on disk instead of in executor memory."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+    rows = totals(spark, path)
+    if keep_from is not None:
+        rows = rows.where(F.col("second") >= F.lit(keep_from).cast("timestamp"))
+    folded = rows.groupBy("tenant_id", "second").agg(F.sum("logs").alias("logs"), F.sum("batches").alias("batches"))
+    outputs.write_index(folded, into, batch_id=FOLDED)

@@ -120,39 +120,30 @@ def test_rate_limit_boundary(spark):
     assert {r.request_id: r.allowed for r in got.collect()} == {
         "1": True, "2": True, "3": False, "4": True, "5": False, "6": False,
     }
-    # only tenant-seconds over the limit are ranked, with pruning before the shuffle
-    assert "WindowGroupLimit" in plan_of(got)
 
 
-def test_buffer_depth_against_recurrence(spark):
-    rng = random.Random(1)
-    seconds = sorted(rng.sample(range(40_000), 600))
-    added = [rng.randrange(0, 900) for _ in seconds]
-    df = spark.createDataFrame(list(zip(seconds, added)), "s bigint, added bigint").select(
-        F.timestamp_seconds("s").alias("second"), "added"
-    )
-    got = {
-        r.s: r.depth_before
-        for r in admission.buffer_depth(df, 5).select(F.unix_seconds("second").alias("s"), "depth_before").collect()
-    }
-    depth, last = 0, seconds[0]
-    for s, a in zip(seconds, added):
-        depth = max(0, depth - 5 * (s - last))
-        assert got[s] == depth
-        depth, last = depth + a, s
+def test_rate_limit_null_tenant_and_carried_totals(spark):
+    rows = [(None, i, f"{i:03d}", 30) for i in range(100)] + [("a", 1, "x", 10), ("a", 2, "y", 0), ("b", 1, "z", 0)]
+    df = make_arrivals(spark, rows)
+    got = {r.request_id: r.allowed for r in admission.rate_limit(df, limit=90).collect()}
+    assert [k for k, v in got.items() if v and k.isdigit()] == ["000", "001", "002"] and got["x"] and got["z"]
+    totals = {r.request_id: r.running_total for r in admission.running_totals(df).collect()}
+    assert max(totals.values()) == 3000
+    second = F.timestamp_seconds(F.lit(0))
+    carried = spark.createDataFrame([(None, 70), ("a", 81), ("b", 91)], "tenant_id string, logs bigint").withColumn("second", second)
+    got = {r.request_id: r.allowed for r in admission.rate_limit(df, limit=90, carried=carried).collect()}
+    assert not any(v for k, v in got.items() if k.isdigit())
+    assert (got["x"], got["y"], got["z"]) == (False, False, False)
 
 
 def test_admission_order_of_outcomes(spark):
-    rows = [("a", 0, "1", 10_001 - 9000), ("b", 0, "2", 9000), ("c", 1_000_000, "3", 5),
-            ("c", 2_000_000, "4", 5)]
+    rows = [("a", 0, "1", 1001), ("b", 0, "2", 9000), ("c", 1_000_000, "3", 5), ("c", 2_000_000, "4", 5)]
     df = make_arrivals(spark, rows).withColumns(
-        {"ok": F.col("request_id") != "4", "fits": F.lit(True)}
-    )
-    got = admission.admission_status(
-        df, F.col("ok"), F.col("fits"), limit=10**6, max_depth=10_000, drain_per_second=0
+        {"ok": F.col("request_id") != "4", "depth": F.when(F.col("request_id") == "3", 10_001).when(F.col("request_id") == "2", 10_000)}
     )
+    got = admission.admission_status(df, F.col("ok"), F.lit(True), F.col("depth"), limit=10**6, max_depth=10_000)
     status = {r.request_id: (r.status, r.buffer_depth) for r in got.collect()}
-    assert status["1"] == (202, 1001) and status["2"] == (202, 9000)
+    assert status["1"] == (202, 1001) and status["2"] == (202, 19_000)
     assert status["3"] == (503, None) and status["4"] == (422, None)
 
 
@@ -289,13 +280,16 @@ def test_stream_limiter_across_batches(spark, tmp_path):
     make_arrivals(spark, rows[:1]).coalesce(1).write.mode("append").parquet(str(src))
     def go():
         flow = inputs.table_files(spark, str(src), stream=True)
-        limited = limiter.limit_stream(flow, limit=1000)
-        jobs.run(limited, jobs.table_sink(str(tmp_path / "out")), str(tmp_path / "cp")).awaitTermination(120)
+        write = limiter.limit_batches(str(tmp_path / "totals"), str(tmp_path / "out"), limit=1000)
+        jobs.run(flow, write, str(tmp_path / "cp")).awaitTermination(120)
     go()
     make_arrivals(spark, rows[1:]).coalesce(1).write.mode("append").parquet(str(src))
     go()
     got = {r.request_id: r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {"1": True, "2": False, "3": False, "4": True, "0": True}
+    assert got == {"1": True, "2": False, "3": False, "4": True, "0": False}
+    limiter.compact(spark, str(tmp_path / "totals"), str(tmp_path / "folded"))
+    folded = {r.tenant_id: r.logs for r in limiter.totals(spark, str(tmp_path / "folded")).collect()}
+    assert folded == {"a": 1101, "b": 5}
 
 
 # --- routing and plans ----------------------------------------------------------------------
@@ -308,6 +302,12 @@ def test_routing_and_registration(spark):
     mine = routing.V2.register("What", parsers_v2.IOT)
     got = {r.source: r.family for r in routing.route_v2(df, registry=mine).collect()}
     assert got["what"] == "iot"
+    own = parsers_v2.WEB._replace(family="containers")
+    lines = spark.createDataFrame([("docker", "plain"), ("mydocker", "plain")], "source string, raw_payload string")
+    before = transform.transform_logs(lines.where("source = 'docker'")).first()
+    after = {r.source: r for r in transform.transform_logs(lines, registry=routing.V2.register("mydocker", own)).collect()}
+    assert after["docker"].attributes == before.attributes and after["docker"].family == after["mydocker"].family
+    assert after["mydocker"].attributes != before.attributes
     missing = transform.transform_logs(df.withColumn("raw_payload", F.lit("a=1")))
     assert {r.source: r.family for r in missing.collect()}[None] == "custom"
 
@@ -324,40 +324,37 @@ def test_scratch_folder_is_named_by_the_session(spark):
     assert session.run_folder(spark, "x") != session.run_folder(spark, "x")
 
 
-class FakeState:
-    def __init__(self, total):
-        self.value, self.hasTimedOut, self.removed = (total,), False, False
-        self.exists = total is not None
-
-    @property
-    def get(self):
-        return self.value
-
-    def update(self, value):
-        self.value = value
-
-    def setTimeoutTimestamp(self, ms):
-        self.timeout = ms
-
-    def remove(self):
-        self.removed = True
-
-
-@pytest.mark.parametrize("start, limit", [(None, 100), (40, 100), (100, 100), (101, 100)])
-def test_limiter_step_over_chunks(start, limit):
-    import pandas as pd
-
-    rng = random.Random(limit + (start or 0))
-    rows = [(pd.Timestamp(rng.randrange(9), unit="us"), f"r{i:03d}", rng.choice([0, 1, 1, 3])) for i in range(200)]
-    frame = pd.DataFrame(rows, columns=["arrival", "request_id", "n_logs"])
-    frame["seen_at"] = pd.Timestamp("2026-01-01")
-    chunks = [frame[i : i + 30] for i in range(0, 200, 30)]
-    state = FakeState(start)
-    out = pd.concat(list(limiter._limiter(limit, 5)(("t", pd.Timestamp(0)), iter(chunks), state)))
-    assert len(out) == 200 and out["request_id"].is_unique
-    total, want = start or 0, {}
-    for _, request, n in sorted(rows, key=lambda r: (r[0], r[1])):
-        total += n
-        want[request] = total <= limit if n else (start or 0) <= limit
-    assert dict(zip(out["request_id"], out["allowed"])) == want
-    assert state.value == (total,)
+def test_client_time_and_ids(spark):
+    log = [("m", None, t, None, None) for t in (7, 1712314200000, 1712314200000000, 1712314200000000000, -(2**63))]
+    schema = schemas.REQUEST
+    rows = [("1", "a|b", "c", None, None, None, log), ("1", "a", "b|c", None, None, None, log[:1]), ("2", "a", "b|c", None, None, None, log[:1])]
+    out = intake.envelope(spark.createDataFrame(rows, schema), now=NOW).collect()
+    assert len({r.event_id for r in out}) == 7
+    assert [r.event_ts is None for r in out[:5]] == [False, True, True, True, True]
+    assert [r.client_time_problem for r in out[:2]] == [None, "timestamp is not in seconds"] and out[1].client_time == 1712314200000
+    with pytest.raises(ValueError):
+        intake.envelope(spark.createDataFrame(rows, schema).drop("request_id"))
+
+
+def test_settings_that_decide_results_are_required(spark):
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "false")
+    try:
+        with pytest.raises(ValueError):
+            transform.transform_logs(envelopes(spark))
+    finally:
+        session.configure(spark)
+
+
+def test_late_rows_are_counted_and_kept(spark, tmp_path):
+    src, times = tmp_path / "in", ["2026-04-03 10:00:00", "2026-04-03 10:00:30", "2026-01-01 00:00:00"]
+    for n, t in enumerate(times):
+        rows = [(f"{n}-{i}", "t", "s") for i in range(10)] + [(f"{n}-0", "t", "s")]
+        df = spark.createDataFrame(rows, "event_id string, tenant_id string, service string")
+        df.withColumn("timestamp", F.lit(t).cast("timestamp")).coalesce(1).write.mode("append").parquet(str(src))
+    flow = inputs.table_files(spark, str(src), stream=True, max_files=1)
+    jobs.run(jobs.deduplicated(flow), jobs.table_sink(str(tmp_path / "once")), str(tmp_path / "cp1")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "once")).count() == 30
+    sink = jobs.counted_into(str(tmp_path / "rates"), jobs.rate_counts())
+    jobs.run(flow, sink, str(tmp_path / "cp2")).awaitTermination(120)
+    rates = jobs.summed(spark.read.parquet(str(tmp_path / "rates")), ["logs"])
+    assert sorted(r.logs for r in rates.collect()) == [11, 22]

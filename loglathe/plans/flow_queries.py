@@ -610,13 +610,8 @@ _SQL_ENVELOPES = (
 )
 
 
-def envelopes(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
-    events = (
-        inputs.table_files(spark, sf_dir, "events.parquet", stream=True)
-        if stream
-        else corpus.read_for_parsing(spark, sf_dir)
-    )
-    return events.select(
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.read_for_parsing(spark, sf_dir).select(
         "event_id",
         F.col("ts").cast("timestamp").alias("timestamp"),
         F.expr(corpus.MIXED).alias("raw_payload"),
@@ -745,6 +740,37 @@ def landing_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_envelopes(inputs.envelope_files(spark, path))
 
 
+_PATH_JSON = (
+    f"'{{\"arrival\":\"2026-04-04 10:00:0' || CAST(event_id % 7 AS STRING) || '\",\"client_ip\":\"10.1.1.1\",' ||"
+    f" substr({_REQUEST_JSON}, 2)"
+)
+_PATH_LIMIT = 40
+
+
+@query(
+    "request_to_message",
+    "WITH r AS (SELECT event_id, CAST(doc AS JSON) AS d FROM (SELECT event_id, " + _REQUEST_JSON + " AS doc FROM events)),"
+    " v AS (SELECT event_id, d, json_extract_string(d, '$.tenant_id') AS tenant, json_array_length(d, '$.logs') AS n"
+    " FROM r WHERE json_type(d, '$.tenant_id') = 'VARCHAR' AND coalesce(json_type(d, '$.logs[1]'), '') <> 'UBIGINT'),"
+    " l AS (SELECT *, sum(n) OVER (PARTITION BY tenant, event_id % 7 ORDER BY CAST(event_id AS VARCHAR) ROWS UNBOUNDED"
+    f" PRECEDING) <= {_PATH_LIMIT} AS allowed FROM v) SELECT tenant || ':api' AS key, CAST(sum(n) AS BIGINT) AS messages"
+    " FROM l WHERE allowed AND coalesce(json_type(d, '$.logs[1].message'), '') <> 'NULL' AND"
+    " coalesce(json_type(d, '$.logs[1].metadata'), '') <> 'ARRAY' GROUP BY tenant",
+)
+def request_to_message(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole path: request lines, validation, rate limit, envelopes, landing, parsing, keyed messages."""
+    path = session.run_folder(spark, "path")
+    corpus.read(spark, sf_dir, "events").select(F.expr(_PATH_JSON).alias("value")).write.text(f"{path}/requests")
+    good, _ = intake.split_valid(inputs.request_files(spark, f"{path}/requests"))
+    counted = good.withColumns({"n_logs": F.size("logs").cast("bigint")})
+    let_in = admission.rate_limit(counted, limit=_PATH_LIMIT).where("allowed")
+    outputs.write_landing(intake.envelope(let_in, now=NOW), f"{path}/landing")
+    parsed = transform.transform_logs(inputs.envelope_files(spark, f"{path}/landing"))
+    outputs.publish_files(parsed, f"{path}/messages", order=["event_id"])
+    messages = inputs.message_text(inputs.message_files(spark, f"{path}/messages"))
+    return messages.groupBy("key").agg(F.count(F.lit(1)).alias("messages"))
+
+
 # --- streams ---------------------------------------------------------------------------
 
 
@@ -763,7 +789,8 @@ def in_batches(df: DataFrame, path: str, part: Column, parts: int = 3) -> DataFr
 @query("stream_transform", _mixed_v2_oracle())
 def stream_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = session.run_folder(spark, "stream-transform")
-    parsed = jobs.transform_stream(envelopes(spark, sf_dir, stream=True))
+    flow = in_batches(envelopes(spark, sf_dir), f"{path}/in", F.hour("timestamp") % 3)
+    parsed = jobs.transform_stream(flow)
     _finish(jobs.run(parsed, jobs.table_sink(f"{path}/table"), f"{path}/checkpoint"))
     return spark.read.parquet(f"{path}/table").select(
         "event_id", "family", map_text(F.col("attributes")).alias("attributes"), "parse_error"
@@ -793,8 +820,7 @@ def stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = session.run_folder(spark, "stream-dlq")
-    events = inputs.table_files(spark, sf_dir, "events.parquet", stream=True)
-    raw = events.select("event_id", F.expr(_RAW_MESSAGE).alias("value"))
+    raw = in_batches(raw_messages(spark, sf_dir).select("event_id", "value"), f"{path}/in", F.col("event_id") % 3)
     write = jobs.index_or_dead_letter(f"{path}/index", f"{path}/dlq", now=NOW)
     _finish(jobs.run(raw, write, f"{path}/checkpoint"))
     indexed = spark.read.parquet(f"{path}/index").select(F.lit("indexed").alias("outcome"))

@@ -53,6 +53,21 @@ def write_hot(df: DataFrame, path: str, mode: str = "append", batch_id: int | No
     _write(rows, path, ["event_date"], mode, batch_id)
 
 
+def compact(spark, path: str, into: str, partitions: Sequence[str] = (), sort: Sequence[str] = ()) -> None:
+    """Write a table of many micro-batches anew with few, evenly sized files per partition.
+
+    The batch numbers go: run it on partitions, or a table, that no micro-batch
+    can write any more, and let readers go on with the new folder.
+    """
+    rows = spark.read.parquet(path)
+    rows = rows.drop("batch_id")
+    if partitions:
+        rows = rows.hint("rebalance", *partitions)
+    if sort:
+        rows = rows.sortWithinPartitions(*partitions, *sort)
+    _write(rows, into, partitions, "overwrite", None)
+
+
 def write_archive(
     df: DataFrame,
     path: str,

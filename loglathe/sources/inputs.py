@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from loglathe import fixed, schemas
 from loglathe.operators import intake
 
+MAX_FILES = 256  # new files that a stream takes in one micro-batch; None lifts the bound
+
 
 def request_files(
-    spark: SparkSession, path: str, stream: bool = False, max_files: int | None = None
+    spark: SparkSession, path: str, stream: bool = False, max_files: int | None = MAX_FILES
 ) -> DataFrame:
     """Request batches from JSON lines, decoded to request columns.
 
@@ -42,7 +44,7 @@ def request_files(
 
 
 def envelope_files(
-    spark: SparkSession, path: str, stream: bool = False, max_files: int | None = None
+    spark: SparkSession, path: str, stream: bool = False, max_files: int | None = MAX_FILES
 ) -> DataFrame:
     """Landed envelopes (the buffer between intake and transform)."""
     reader = spark.readStream if stream else spark.read
@@ -56,7 +58,7 @@ def table_files(
     path: str,
     name: str | None = None,
     stream: bool = False,
-    max_files: int | None = None,
+    max_files: int | None = MAX_FILES,
 ) -> DataFrame:
     """Parquet table; ``name`` picks one file of a folder, also for a stream."""
     if not stream:
@@ -71,7 +73,7 @@ def table_files(
 
 
 def message_files(
-    spark: SparkSession, path: str, stream: bool = False, max_files: int | None = None
+    spark: SparkSession, path: str, stream: bool = False, max_files: int | None = MAX_FILES
 ) -> DataFrame:
     """Messages (``key``, ``value``, ``topic``) written by the offline message sink."""
     reader = spark.readStream.schema(schemas.MESSAGE) if stream else spark.read.schema(schemas.MESSAGE)

@@ -32,6 +32,7 @@ DATE = "1970-01-01T00:00:00Z"  # the pages carry no time of their own
 FILE_BYTES = 64 << 20  # a file is closed beyond this
 MIN_REVISIT_BYTES = 0  # smaller payloads are always written whole
 GAP_BYTES = 64 << 10  # a gap up to this is read along
+TASK_BYTES = 16 << 20  # archive bytes that a task reads, about
 READ_BYTES = 8 << 20  # most bytes joined into one read
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -176,7 +177,11 @@ _RECORD_NAMES = [c.split()[0] for c in RECORDS.split(", ")]
 
 def read(selected: DataFrame) -> DataFrame:
     """The records of the selected index rows; the payload of a revisit is null, its size and digest are the full ones'."""
-    dealt = selected.select("path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset")
+    rows = selected.select("path", "offset", "length")
+    total = rows.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    # by the bytes to read, as the index itself is far smaller than what it points to
+    tasks = max(1, -(-total // TASK_BYTES))
+    dealt = rows.repartition(tasks, "path").sortWithinPartitions("path", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]

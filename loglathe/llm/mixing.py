@@ -35,6 +35,7 @@ SAMPLE_ROWS = 20_000  # most labelled rows that the classifier is fitted on
 FEATURES = 1 << 16
 REGULARISATION = 1e-4
 FIT_ROUNDS = 60
+FIT_PARTS = 4
 RATE_ROUNDS = 40
 TOLERANCE = 1e-4  # of all tokens
 MAX_DOMAINS = 64
@@ -60,7 +61,9 @@ class Domains:
         picked = known.where(F.pmod(F.xxhash64("_labelled"), F.lit(step)) == 0).limit(2 * sample_rows)
         rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_labelled"))
         number = F.array_position(F.array(*[F.lit(n) for n in self.names] or [F.lit("")]), F.col("_domain")) - 1
-        rows = session.checkpointed(self._vectors(rows).select("_vector", number.cast("double").alias("_number")))
+        rows = self._vectors(rows).select("_vector", number.cast("double").alias("_number"))
+        # the sample is small whatever the table: a few partitions, or every round of the fit has a task per file
+        rows = session.checkpointed(rows.repartition(FIT_PARTS))
         present = sorted(r[0] for r in rows.select("_number").distinct().collect())
         if len(present) > 1:
             # domains without a fitted row keep the number that the model expects, with probability 0

@@ -28,7 +28,7 @@ from loglathe.llm import words as text_words
 
 SPACE = "▁"
 PLAIN = "\x00"  # marks a part that is given in full
-CACHE_WORDS = 250_000  # distinct parts remembered by a task
+CACHE_WORDS = 120_000  # distinct parts remembered by a task
 SLOT_BITS = 18  # size of the pair tables
 FAR = np.int64(1 << 40)  # rank of a pair that cannot merge
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm import fingerprints, katz, line_dedup, mixing, ngram_join, pieces, quotes, rules, sharding, warc
+from loglathe.llm import check_sql, fingerprints, katz, line_dedup, mixing, ngram_join, pieces, quotes, rules, sharding, warc
 
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -84,4 +84,4 @@ QUERIES = {
     "op4_sentencepiece": piece_coding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op3_ngram_jaccard": check_sql.JACCARD_GROUPS, "op10_warc": check_sql.WARC_RECORDS}

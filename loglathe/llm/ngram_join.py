@@ -23,15 +23,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loglathe.llm import linking, words
 from loglathe.llm.linking import stored
 
 SHINGLE_WORDS = 4
 PERCENT = 85  # 100 * intersection >= PERCENT * union
-HOT_DOCUMENTS = 64  # an element in the prefixes of so many texts counts as frequent
+HOT_DOCUMENTS = 16  # an element at the head of so many texts counts as frequent
 HOT_ELEMENTS = 1 << 19  # most frequent elements sent to all tasks: 4 MB
-TREE_SETS = 1024  # sets in one tree
+TREE_SETS = 1024  # sets in one tree, about
+TREE_PROBES = 256  # probes that go through one tree, about
+FAMILY_PART = 512  # sets of a family that are probes, or candidates, of one block, about
 
 
 def element_sets(texts: list[bytes], k: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +67,26 @@ def _digest(data: bytes) -> bytes:
 _PREFIXED = "doc_id long, n_shingles long, digest binary, prefix binary"
 
 
-def prefixed(docs: DataFrame, hot: np.ndarray, k: int, percent: int, whole: bool = False) -> DataFrame:
-    """Per text: size and digest of its set, and its prefix (or the whole set) packed in order."""
+def whole_sets(rows: DataFrame, hot: np.ndarray, k: int) -> DataFrame:
+    """The rows with the packed set (`data`) in place of `text`."""
+    kept = [c for c in rows.columns if c != "text"]
+    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("data", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = words.as_bytes(batch.column("text"))
+            for start, stop in words.pieces(map(len, texts)):
+                values, first = element_sets(texts[start:stop], k, hot)
+                data, at = values.astype(">u8").tobytes(), (first * 8).tolist()
+                part = batch.slice(start, stop - start).select(kept)
+                sets = pa.array([data[a:b] for a, b in zip(at[:-1], at[1:])], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, sets], names=[*kept, "data"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def prefixed(docs: DataFrame, hot: np.ndarray, k: int, percent: int) -> DataFrame:
+    """Per text: size and digest of its set, and its prefix packed in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +95,7 @@ def prefixed(docs: DataFrame, hot: np.ndarray, k: int, percent: int, whole: bool
                 values, first = element_sets(texts[start:stop], k, hot)
                 data = values.astype(">u8").tobytes()
                 sizes = np.diff(first)
-                take = sizes if whole else prefix_sizes(sizes, percent)
+                take = prefix_sizes(sizes, percent)
                 rows = list(zip((first[:-1] * 8).tolist(), (first[1:] * 8).tolist(), (take * 8).tolist()))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -90,16 +111,16 @@ def prefixed(docs: DataFrame, hot: np.ndarray, k: int, percent: int, whole: bool
 
 
 def frequent_elements(docs: DataFrame, k: int, percent: int) -> np.ndarray:
-    """Elements that stand in the prefixes of many texts, sorted; at most HOT_ELEMENTS of them."""
+    """Elements at the head (twice the prefix) of many texts, sorted; at most HOT_ELEMENTS of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = list({t for t in words.as_bytes(batch.column("text"))})
-            for start, stop in words.pieces(map(len, texts), 8 * words.PIECE_BYTES):
+            for start, stop in words.pieces(map(len, texts), 4 * words.PIECE_BYTES):
                 values, first = element_sets(texts[start:stop], k, np.zeros(0, dtype=np.uint64))
                 sizes = np.diff(first)
                 place = np.arange(len(values)) - np.repeat(first[:-1], sizes)
-                value, n = np.unique(values[place < np.repeat(prefix_sizes(sizes, percent), sizes)], return_counts=True)
+                value, n = np.unique(values[place < np.repeat(2 * prefix_sizes(sizes, percent), sizes)], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(value.view(np.int64)), pa.array(n, type=pa.int64())], names=["element", "n"]
                 )
@@ -162,64 +183,76 @@ def refine(percent: int):
 
 
 class PrefixTree:
-    """Candidate sets in the global order, sorted: the prefix tree in depth-first order.
+    """Sorted candidate sets are a prefix tree in depth-first order; all probes of a block walk it together.
 
-    The path to the present set is kept with the overlap with the probe at each depth. The next set starts where it leaves
-    that path; if the path was given up above this depth, the whole branch is, for sets of its size bound.
+    Along the path to the present set the overlaps with all probes are kept at each element that some probe has. The next
+    set goes on from where it leaves that path. A branch is left as soon as no probe's overlap, with all that can still
+    follow, reaches what a set of this size needs.
     """
 
-    def __init__(self, probe: np.ndarray, percent: int):
-        self.probe = probe
+    CHECK = 16  # elements between two looks at the bound
+
+    def __init__(self, probes: list[np.ndarray], percent: int):
         self.percent = percent
+        self.sizes = np.array([len(p) for p in probes], dtype=np.int64)
+        values = np.concatenate(probes)
+        owner = np.repeat(np.arange(len(probes)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        self.elements, first = np.unique(values[order], return_index=True)
+        self.owners, self.first = owner[order], np.append(first, len(values))
         self.path = np.zeros(0, dtype=np.uint64)
-        self.overlap = np.zeros(1, dtype=np.int64)
-        self.steps = 0  # elements looked at, to see what sharing saves
+        self.depths, self.overlaps = [0], [np.zeros(len(probes), dtype=np.int32)]
+        self.steps = 0  # elements looked at, to see what sharing and leaving early save
 
-    def similar(self, values: np.ndarray) -> bool:
-        """Whether the set, the next in the order, is similar to the probe."""
-        n, m = len(values), len(self.probe)
-        need = int(needed_overlap(n, m, self.percent))
+    def similar(self, values: np.ndarray) -> np.ndarray:
+        """Probes similar to the set, which is the next in the order."""
+        n = len(values)
+        need = needed_overlap(n, self.sizes, self.percent)
         depth = self._shared(values)
-        overlap = self.overlap[: depth + 1]
-        reached = len(overlap) - 1
-        # looked at in growing blocks, so that a hopeless branch is left early
-        block = 64
-        while reached < n:
-            bound = overlap[-1] + min(n - reached, m - self._below(values, reached))
-            if bound < need:
+        while self.depths[-1] > depth:
+            self.depths.pop()
+            self.overlaps.pop()
+        overlap = self.overlaps[-1]
+        at = np.minimum(np.searchsorted(self.elements, values[depth:]), len(self.elements) - 1)
+        hits = np.flatnonzero(self.elements[at] == values[depth:])
+        reached = n
+        for k, hit in enumerate(hits.tolist()):
+            if k % self.CHECK == 0 and not (overlap + (len(hits) - k) >= need).any():
+                reached = depth + hit
                 break
-            part = values[reached : reached + block]
-            at = np.minimum(np.searchsorted(self.probe, part), m - 1)
-            overlap = np.concatenate([overlap, overlap[-1] + np.cumsum(self.probe[at] == part)])
-            self.steps += len(part)
-            reached += len(part)
-            block *= 2
-        self.path, self.overlap = values[:reached], overlap
-        return reached == n and bool(overlap[-1] >= need)
+            element = at[hit]
+            overlap = overlap.copy()
+            overlap[self.owners[self.first[element] : self.first[element + 1]]] += 1
+            self.depths.append(depth + hit + 1)
+            self.overlaps.append(overlap)
+            self.steps += 1
+        self.path = values[:reached]
+        return np.flatnonzero(overlap >= need) if reached == n else np.zeros(0, dtype=np.int64)
 
     def _shared(self, values: np.ndarray) -> int:
         size = min(len(values), len(self.path))
         apart = np.flatnonzero(values[:size] != self.path[:size])
         return int(apart[0]) if len(apart) else size
 
-    def _below(self, values: np.ndarray, reached: int) -> int:
-        """Elements of the probe that come before everything that is still to follow."""
-        return int(np.searchsorted(self.probe, values[reached]))
-
 
 def _compare(percent: int):
+    """Rows come ordered by block; the probes (role 0) of a block stand before its candidates, which are in set order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, tree, probes = None, None, []
+        block, ids, sets, tree = None, [], [], None
         for batch in batches:
             hits: list[tuple[int, int]] = []
-            for b, part, role, a, data in zip(*(batch.column(c).to_pylist() for c in ("b", "part", "role", "a", "data"))):
+            columns = (batch.column(c).to_pylist() for c in ("deal", "b_part", "a_part", "role", "id", "data"))
+            for deal, b_part, a_part, role, own, data in zip(*columns):
                 values = np.frombuffer(data, dtype=">u8").astype(np.uint64)
-                if (b, part) != group:
-                    group, probes = (b, part), []
+                if (deal, b_part, a_part) != block:
+                    block, ids, sets, tree = (deal, b_part, a_part), [], [], None
                 if role == 0:
-                    probes.append(PrefixTree(values, percent))
-                elif any([tree.similar(values) for tree in probes]):
-                    hits.append((a, b))
+                    ids.append(own)
+                    sets.append(values)
+                elif sets:
+                    tree = tree or PrefixTree(sets, percent)
+                    hits += [(own, ids[i]) for i in tree.similar(values).tolist() if ids[i] != own]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([h[0] for h in hits], type=pa.int64()), pa.array([h[1] for h in hits], type=pa.int64())],
                 names=["a", "b"],
@@ -228,27 +261,70 @@ def _compare(percent: int):
     return run
 
 
+BLOCK = ["deal", "b_part", "a_part"]
+
+
+def _compared(rows: DataFrame, percent: int) -> DataFrame:
+    """Links found in blocks of (deal, b_part, a_part, role, id, data)."""
+    dealt = rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK, "role", "data")
+    return stored(dealt.mapInArrow(_compare(percent), "a long, b long").distinct(), "found")
+
+
+def verify_families(docs: DataFrame, hot: np.ndarray, k: int, percent: int):
+    """Compares all sets of a family (id, family), in blocks of two parts of bounded size; no pair becomes a row."""
+
+    def run(members: DataFrame) -> DataFrame:
+        sizes = members.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_PART).cast("int").alias("parts"))
+        parted = stored(
+            members.join(sizes, "family").select("id", "family", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")),
+            "members",
+        )
+        asked = docs.join(parted, F.col("doc_id") == F.col("id")).select("id", "family", "parts", "part", "text")
+        sets = whole_sets(asked, hot, k)
+        part = F.col("part").cast("int")
+        others = F.transform(
+            F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != part),
+            lambda o: F.struct(
+                F.least(part, o).alias("b_part"), F.greatest(part, o).alias("a_part"), F.when(part < o, 0).otherwise(1).alias("role")
+            ),
+        )
+        own = F.array(*[F.struct(part.alias("b_part"), part.alias("a_part"), F.lit(role).alias("role")) for role in (0, 1)])
+        rows = sets.select(F.col("family").alias("deal"), "id", "data", F.explode(F.concat(own, others)).alias("at"))
+        found = _compared(rows.select("deal", "at.b_part", "at.a_part", "at.role", "id", "data"), percent)
+        linking.discard(parted)
+        return found
+
+    return run
+
+
 def verify(docs: DataFrame, hot: np.ndarray, k: int, percent: int):
-    """Compares pairs (a, b) in prefix trees, each b with its candidates in parts of bounded size."""
+    """Compares pairs in prefix trees: blocks of bounded size, of probes (b) and of the candidates (a) of their deal."""
 
     def run(pairs: DataFrame) -> DataFrame:
-        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "ids")
-        needed = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi")
-        sets = prefixed(needed, hot, k, percent, whole=True).dropDuplicates(["doc_id", "digest"])
-        sets = stored(sets.select(F.col("doc_id").alias("id"), F.col("prefix").alias("data")), "sets")
-        parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / TREE_SETS).alias("parts"))
+        def parts(c: str, most: int) -> DataFrame:
+            distinct = pairs.select("deal", c).distinct().groupBy("deal").agg(F.count("*").alias("n"))
+            return distinct.select("deal", F.ceil(F.col("n") / most).alias(f"{c}_parts"))
+
+        cut = parts("a", TREE_SETS).join(parts("b", TREE_PROBES), "deal")
         dealt = stored(
-            pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), "a"), "dealt"
-        )
-        candidates = dealt.join(sets, dealt["a"] == sets["id"]).select("b", "part", F.lit(1).alias("role"), "a", "data")
-        probes = (
-            dealt.select("b", "part")
-            .distinct()
-            .join(sets, F.col("b") == sets["id"])
-            .select("b", "part", F.lit(0).alias("role"), F.col("b").alias("a"), "data")
+            pairs.join(cut, "deal").select(
+                "deal",
+                "a",
+                "b",
+                F.pmod(F.xxhash64("b"), F.col("b_parts")).alias("b_part"),
+                F.pmod(F.xxhash64("a"), F.col("a_parts")).alias("a_part"),
+            ),
+            "dealt",
         )
-        rows = probes.union(candidates).repartition("b", "part").sortWithinPartitions("b", "part", "role", "data")
-        return stored(rows.mapInArrow(_compare(percent), "a long, b long").distinct(), "found")
+        roles = [
+            dealt.select("deal", "b_part", "a_part", F.lit(role).alias("role"), F.col(c).alias("id")).distinct()
+            for role, c in ((0, "b"), (1, "a"))
+        ]
+        asked = docs.join(roles[0].union(roles[1]), F.col("doc_id") == F.col("id"))
+        rows = whole_sets(asked.select("deal", "b_part", "a_part", "role", "id", "text"), hot, k)
+        found = _compared(rows, percent)
+        linking.discard(dealt)
+        return found
 
     return run
 
@@ -271,7 +347,12 @@ def joined(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> t
         ),
         "members",
     )
-    links = linking.link_groups(shared_keys(sets), refine(percent), verify(docs, hot, k, percent))
+    keys = shared_keys(sets)
+    linking.discard(rows, sets)
+    links = linking.link_groups(
+        keys, refine(percent), verify(docs, hot, k, percent), verify_families(docs, hot, k, percent), rounds=1
+    )
+    linking.discard(keys)
     return classes, links
 
 

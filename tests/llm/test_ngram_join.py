@@ -39,6 +39,8 @@ def _want(rows, k=4, percent=85):
 @pytest.mark.parametrize("seed", [3, 4])
 def test_against_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT_DOCUMENTS", 6)
+    monkeypatch.setattr(linking, "BIG_KEY", 3)
+    monkeypatch.setattr(ngram_join, "FAMILY_PART", 4)
     rows = _corpus(seed=seed)
     got = ngram_join.similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == _want(rows)
@@ -69,19 +71,23 @@ def test_nulls_repeats_and_empty(spark):
 
 def test_prefix_tree_shares_and_prunes():
     r = np.random.default_rng(1)
-    probe = np.unique(r.integers(0, 10**6, 400).astype(np.uint64))
-    sets = []
-    for _ in range(60):
-        own = probe.copy()
-        own[r.integers(0, len(own), r.integers(0, 60))] = r.integers(0, 10**6)
-        sets.append(np.unique(own))
-    sets += [np.unique(r.integers(0, 10**6, 380).astype(np.uint64)) for _ in range(40)]
+    base = np.unique(r.integers(0, 10**6, 400).astype(np.uint64))
+
+    def near(most):
+        own = base.copy()
+        own[r.integers(0, len(own), r.integers(0, most))] = r.integers(0, 10**6)
+        return np.unique(own)
+
+    probes = [near(60) for _ in range(30)] + [np.unique(r.integers(0, 10**6, 90).astype(np.uint64))]
+    sets = [near(60) for _ in range(60)] + [np.unique(r.integers(0, 10**6, 380).astype(np.uint64)) for _ in range(40)]
+    sets += [probes[0], base[:300], base[:340]]
     sets.sort(key=lambda s: s.astype(">u8").tobytes())
-    tree = ngram_join.PrefixTree(probe, 85)
+    tree = ngram_join.PrefixTree(probes, 85)
     for s in sets:
-        both = len(np.intersect1d(s, probe))
-        assert tree.similar(s) == (100 * both >= 85 * (len(s) + len(probe) - both))
-    assert tree.steps < 0.7 * sum(map(len, sets))
+        both = [len(np.intersect1d(s, p)) for p in probes]
+        want = [i for i, p in enumerate(probes) if 100 * both[i] >= 85 * (len(s) + len(p) - both[i])]
+        assert tree.similar(s).tolist() == want
+    assert tree.steps < 0.95 * sum(len(np.intersect1d(s, np.concatenate(probes))) for s in sets)
 
 
 def test_needed_overlap_is_exact():

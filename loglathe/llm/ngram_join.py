@@ -279,7 +279,7 @@ def verify_families(docs: DataFrame, hot: np.ndarray, k: int, percent: int):
             members.join(sizes, "family").select("id", "family", "parts", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")),
             "members",
         )
-        asked = docs.join(parted, F.col("doc_id") == F.col("id")).select("id", "family", "parts", "part", "text")
+        asked = docs.join(parted.hint("merge"), F.col("doc_id") == F.col("id")).select("id", "family", "parts", "part", "text")
         sets = whole_sets(asked, hot, k)
         part = F.col("part").cast("int")
         others = F.transform(
@@ -320,7 +320,8 @@ def verify(docs: DataFrame, hot: np.ndarray, k: int, percent: int):
             dealt.select("deal", "b_part", "a_part", F.lit(role).alias("role"), F.col(c).alias("id")).distinct()
             for role, c in ((0, "b"), (1, "a"))
         ]
-        asked = docs.join(roles[0].union(roles[1]), F.col("doc_id") == F.col("id"))
+        # the side of the ids grows with the table, so it is never broadcast, however small it is now
+        asked = docs.join(roles[0].union(roles[1]).hint("merge"), F.col("doc_id") == F.col("id"))
         rows = whole_sets(asked.select("deal", "b_part", "a_part", "role", "id", "text"), hot, k)
         found = _compared(rows, percent)
         linking.discard(dealt)

@@ -37,7 +37,7 @@ from loglathe.llm.linking import discard, stored
 
 MAX_DISCOUNTED = 5
 MIN_PAIRS = 2  # pairs with fewer counts are not stored
-TASK_BYTES = 8 << 20  # text whose counts are gathered in one go
+TASK_BYTES = 4 << 20  # text whose counts are gathered in one go
 START, END = (int(v) for v in words.mix(np.array([20_001, 20_002], dtype=np.uint64)).view(np.int64))
 
 _BLOBS = "bucket int, blob binary"
@@ -95,6 +95,17 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _planes(sorted_keys: np.ndarray) -> np.ndarray:
+    """Steps between ascending keys, byte by byte: the upper bytes are zeros, which the shuffle compresses away."""
+    steps = np.diff(sorted_keys.view(np.uint64), prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def _from_planes(planes: np.ndarray) -> np.ndarray:
+    steps = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64).view(np.int64)
+
+
 def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order that sorts the keys, and where each distinct key begins in it."""
     order = np.argsort(keys)
@@ -301,7 +312,7 @@ def _ask_blobs(n: int, pairs: bool):
                     asking, place = np.unique(d, return_inverse=True)
                     texts_of = own[start:stop][asking]
                     numbers.append(b)
-                    blobs.append(_pack(texts_of, k[edge], np.diff(np.append(edge, len(k))), place, c))
+                    blobs.append(_pack(texts_of, _planes(k[edge]), np.diff(np.append(edge, len(k))), place, c))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(numbers, type=pa.int32()), pa.array(blobs, type=pa.binary())], names=["bucket", "blob"]
                 )
@@ -337,6 +348,7 @@ def _score_words(model_numbers: tuple):
         out = []
         for blob in left.column("blob").to_pylist():
             texts, asked, runs, place, count = _unpack(blob)
+            asked = _from_planes(asked)
             at, there = _answers(right, "w", asked)
             take = [np.where(there, v[at], 0) if len(v) else np.zeros(len(asked)) for v in values]
             base = np.log10((take[0] + 0.1) / (tokens + 0.1 * (types + 1)))
@@ -355,6 +367,7 @@ def _score_pairs(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     out = []
     for blob in left.column("blob").to_pylist():
         texts, asked, runs, place, count = _unpack(blob)
+        asked = _from_planes(asked)
         at, there = _answers(right, "k", asked)
         if not there.any():
             continue
@@ -383,7 +396,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         .applyInArrow(_score_words(numbers), _PARTS)
     )
     by_pair = asked(True).groupBy("bucket").cogroup(model.pairs.groupBy("bucket")).applyInArrow(_score_pairs, _PARTS)
-    sums = by_word.union(by_pair).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("score", "base", "known", "n")])
+    # one after the other: the packed questions of the first are gone before those of the second are written
+    pair_sums = stored(by_pair.groupBy("key").agg(F.sum("score").alias("more")), "pair-sums")
+    word_sums = by_word.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("score", "base", "known", "n")])
+    word_sums = stored(word_sums, "word-sums")
+    # a text without words asks for no word, but for the pair of start and end
+    total = F.coalesce("score", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))
+    sums = word_sums.join(pair_sums, "key", "full").withColumn("score", total)
     # equal rows share a key: their sums are shared out again
     ids = docs.select(F.col("doc_id"), key.alias("key"))
     copies = ids.groupBy("key").agg(F.count("*").alias("copies"), F.first("doc_id").alias("doc_id"))

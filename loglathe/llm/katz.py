@@ -361,22 +361,36 @@ def _score_words(model_numbers: tuple):
     return run
 
 
-def _score_pairs(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-    right = right.sort_by("k")
-    more = right.column("more").to_numpy()
-    out = []
-    for blob in left.column("blob").to_pylist():
-        texts, asked, runs, place, count = _unpack(blob)
-        asked = _from_planes(asked)
-        at, there = _answers(right, "k", asked)
-        if not there.any():
-            continue
-        value = np.repeat(np.where(there, more[at], 0.0), runs) * count
-        total = np.bincount(place, value, len(texts))
-        hit = np.flatnonzero(np.bincount(place, np.repeat(there, runs), len(texts)))
-        none = np.zeros(len(hit), np.int64)
-        out.append(_parts(texts[hit], total[hit], np.zeros(len(hit)), none, none))
-    return pa.concat_tables(out) if out else _parts([], [], [], [], [])
+def _score_pairs(n: int):
+    """Sums of one bucket, packed by part of the texts' keys: a row for each part, not for each text."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("k")
+        more = right.column("more").to_numpy()
+        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for blob in left.column("blob").to_pylist():
+            texts, asked, runs, place, count = _unpack(blob)
+            at, there = _answers(right, "k", _from_planes(asked))
+            if there.any():
+                keys.append(texts)
+                sums.append(np.bincount(place, np.repeat(np.where(there, more[at], 0.0), runs) * count, len(texts)))
+        keys, sums = np.concatenate(keys), np.concatenate(sums)
+        part = np.mod(keys, n)
+        by = np.argsort(part, kind="stable")
+        keys, sums, parts = keys[by], sums[by], list(_dealt(part[by], n))
+        blobs = [_pack(keys[low:high], sums[low:high]) for _, low, high in parts]
+        columns = [pa.array([b for b, _, _ in parts], type=pa.int32()), pa.array(blobs, type=pa.binary())]
+        return pa.Table.from_arrays(columns, names=["bucket", "blob"])
+
+    return run
+
+
+def _add_pairs(key: tuple, table: pa.Table) -> pa.Table:
+    """Sums of the texts of one part over all buckets."""
+    found = [_unpack(blob) for blob in table.column("blob").to_pylist()]
+    keys, place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    more = np.bincount(place, np.concatenate([f[1] for f in found]), len(keys))
+    return pa.Table.from_arrays([pa.array(keys.astype(np.int64)), pa.array(more)], names=["key", "more"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -395,9 +409,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         .cogroup(model.words.select("bucket", "w", "c", "log_p", "log_a").groupBy("bucket"))
         .applyInArrow(_score_words(numbers), _PARTS)
     )
-    by_pair = asked(True).groupBy("bucket").cogroup(model.pairs.groupBy("bucket")).applyInArrow(_score_pairs, _PARTS)
+    by_pair = asked(True).groupBy("bucket").cogroup(model.pairs.groupBy("bucket")).applyInArrow(_score_pairs(n), _BLOBS)
     # one after the other: the packed questions of the first are gone before those of the second are written
-    pair_sums = stored(by_pair.groupBy("key").agg(F.sum("score").alias("more")), "pair-sums")
+    pair_sums = stored(by_pair.groupBy("bucket").applyInArrow(_add_pairs, "key long, more double"), "pair-sums")
     word_sums = by_word.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("score", "base", "known", "n")])
     word_sums = stored(word_sums, "word-sums")
     # a text without words asks for no word, but for the pair of start and end

@@ -62,7 +62,7 @@ def jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = line_dedup.deduplicated(_table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return rows.select("doc_id", "n_lines", F.size("dropped").alias("n_dropped"), "dropped", digest.alias("kept_sha256"))
 

@@ -10,7 +10,7 @@ matching quotation replies to the one before it.
 Cases: null text is empty, null turns come first. Rows equal in conversation and turn are messages of their own, in the
 order of a hash; rows equal in all four columns are one message with its number of copies. A conversation that is null is
 one conversation. A passage in several earlier messages counts for
-the first that holds it. Quoting oneself or a later message gives no link. Extra columns are dropped. Empty in, empty out.
+the first that holds it, however short it is; one without a character left after normalising counts for none. Quoting oneself or a later message gives no link. Extra columns are dropped. Empty in, empty out.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MIN_CHARS = 12  # normalised characters of a passage worth linking
 NO_TURN = -(1 << 62)
 CHUNK_TURNS = 256  # turns ordered together
 PART_MESSAGES = 256  # messages in one row of `conversations`
@@ -110,7 +109,7 @@ def linked(conversations: DataFrame) -> DataFrame:
                 ),
                 normalised,
             ),
-            lambda x: F.length(x) >= MIN_CHARS,
+            lambda x: x != "",
         )
     )
     quoting = messages.where(F.size("passages") > 0)
@@ -122,12 +121,17 @@ def linked(conversations: DataFrame) -> DataFrame:
         "conv_id",
         "at",
         F.col("p.level").alias("level"),
-        # a passage is looked up whole and line by line, as a reply may quote a part only
+        # a passage is looked up whole, by paragraph and line by line, as a reply may quote a part only
         F.explode(
             F.array_distinct(
                 F.filter(
-                    F.transform(F.concat(F.array("p.passage"), F.split("p.passage", "\n", -1)), normalised),
-                    lambda x: F.length(x) >= MIN_CHARS,
+                    F.transform(
+                        F.concat(
+                            F.array("p.passage"), F.split("p.passage", r"\n\s*\n", -1), F.split("p.passage", "\n", -1)
+                        ),
+                        normalised,
+                    ),
+                    lambda x: x != "",
                 )
             )
         ).alias("passage"),

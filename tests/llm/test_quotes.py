@@ -64,3 +64,20 @@ def test_very_long_text(spark):
     text = "\n".join(f"> quoted line number {i}" for i in range(3000)) + "\nown"
     got = quotes.linked(_df(spark, [(1, 0, "a", "quoted line number 77\nrest"), (1, 1, "b", text)])).collect()
     assert [r.reply_to for r in got if r.turn == 1] == [0] and {r.own_text for r in got if r.turn == 1} == {"own"}
+
+
+def test_short_passages_and_rewrapped_paragraphs(spark):
+    three = "The first part is about\nthe room.\n\nThe second part is about\nthe time.\n\nThe third one is long gone."
+    rows = [
+        (1, 0, "ann", "Yes please"),
+        (1, 1, "bob", "ok thanks"),
+        (1, 2, "cat", "Something else altogether."),
+        (1, 3, "dan", "> Yes please\nGood."),
+        (1, 4, "eve", "> OK thanks!\n> ...\nFine."),
+        (2, 0, "ann", three),
+        (2, 1, "bob", "Nothing to add."),
+        (2, 2, "cat", "> The first part\n> is about the room.\n>\n> The second part\n> is about the time.\nAgreed."),
+    ]
+    got = {(r.conv_id, r.turn): (r.reply_to, r.by_quote) for r in quotes.linked(_df(spark, rows)).collect()}
+    assert (got[1, 3], got[1, 4], got[2, 2]) == ((0, True), (1, True), (0, True))
+    assert not got[1, 2][1] and not got[2, 1][1]

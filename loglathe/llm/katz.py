@@ -1,11 +1,11 @@
 """Language-model scoring with Katz backoff.
 
-Tables: words with their counts, and word pairs with counts of two or more (rarer pairs are left to the backoff), both
-discounted after Good and Turing up to MAX_DISCOUNTED. A context's backoff weight is what its discounted pairs leave,
+Tables: words with their counts, and word pairs with counts of `min_pairs` or more (rarer pairs are left to the backoff;
+the query keeps all, with 1), both discounted after Good and Turing up to MAX_DISCOUNTED. A context's backoff weight is what its discounted pairs leave,
 divided by what the words that do not follow it have among the single words, so all probabilities after a context add up
 to 1; the words' own discounts leave the mass of the one unknown word.
 
-    P(w | h) = d r / C(h)        if the pair h w has r >= 2 counts
+    P(w | h) = d r / C(h)        if the pair h w has r >= min_pairs counts
              = a(h) P(w)         else, with P(w) the discounted word, or the unknown word
 
 A text's score takes the second line for every token and, for the pairs in the table, adds the difference to the first.
@@ -36,7 +36,7 @@ from loglathe.llm import words
 from loglathe.llm.linking import discard, stored
 
 MAX_DISCOUNTED = 5
-MIN_PAIRS = 2  # pairs with fewer counts are not stored
+MIN_PAIRS = 2  # unless told otherwise, pairs with fewer counts are not stored
 TASK_BYTES = 4 << 20  # text whose counts are gathered in one go
 START, END = (int(v) for v in words.mix(np.array([20_001, 20_002], dtype=np.uint64)).view(np.int64))
 
@@ -159,8 +159,8 @@ def _count_blobs(n: int):
     return run
 
 
-def _merge_counts(n: int):
-    """Counts of one bucket: level 0 words, level 1 pairs of MIN_PAIRS and more, and at level 10 and 11 how many words and
+def _merge_counts(n: int, min_pairs: int):
+    """Counts of one bucket: level 0 words, level 1 pairs of min_pairs and more, and at level 10 and 11 how many words and
     pairs have w counts."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -181,7 +181,7 @@ def _merge_counts(n: int):
         total = np.add.reduceat(counts[order], begin) if len(begin) else np.zeros(0, np.int64)
         one = order[begin]
         rare, types = np.unique(total[total <= MAX_DISCOUNTED + 1], return_counts=True)
-        keep = total >= (MIN_PAIRS if level else 1)
+        keep = total >= (min_pairs if level else 1)
         one, total = one[keep], total[keep]
         zeros = np.zeros(len(rare), np.int64)
         columns = [
@@ -226,13 +226,13 @@ class Model:
     start: float  # log10 backoff weight after START
 
 
-def train(docs: DataFrame) -> Model:
+def train(docs: DataFrame, min_pairs: int = MIN_PAIRS) -> Model:
     """Count the texts and store the tables."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     k = MAX_DISCOUNTED
     blobs = docs.select("text").mapInArrow(_count_blobs(n), _BLOBS)
-    counted = stored(blobs.groupBy("bucket").applyInArrow(_merge_counts(n), _COUNTS), "counts")
+    counted = stored(blobs.groupBy("bucket").applyInArrow(_merge_counts(n, min_pairs), _COUNTS), "counts")
     sums = counted.where("level >= 10").groupBy("level", "w").agg(F.sum("n").alias("n")).collect()  # 2 (k + 1) rows
     d_word = discounts({r.w: r.n for r in sums if r.level == 10})
     d_pair = discounts({r.w: r.n for r in sums if r.level == 11})
@@ -436,10 +436,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     ).drop("_copy")
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, min_pairs: int = MIN_PAIRS) -> DataFrame:
     """Learn from the texts that are not held out, and score all."""
     docs = docs.select("doc_id", "text")
-    model = train(docs.where(~held_out(F.col("doc_id"))))
+    model = train(docs.where(~held_out(F.col("doc_id"))), min_pairs)
     return score(docs, model).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

@@ -68,7 +68,7 @@ def fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.scored(_table(spark, sf_dir, "documents"))
+    return katz.scored(_table(spark, sf_dir, "documents"), min_pairs=1)
 
 
 QUERIES = {

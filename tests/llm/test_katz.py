@@ -114,3 +114,29 @@ def test_discounts():
     d = katz.discounts({1: 1000, 2: 300, 3: 140, 4: 80, 5: 50, 6: 35})
     assert all(0 < x < 1 for x in d[1:]) and d[1] < d[5]
     assert katz.discounts({}) == [1.0] * 6 and katz.discounts({1: 5}) == [1.0] * 6
+
+
+class PlainAllPairs(Plain):
+    def seen(self, h):
+        n = self.context[h]
+        found = {w: (self.d2[r] if r <= 5 else 1) * r / n for (g, w), r in self.pairs.items() if g == h}
+        if found and 1 - sum(found.values()) < 1e-12:
+            found = {w: p * n / (n + 1) for w, p in found.items()}
+        return found
+
+
+def test_pairs_seen_once_against_plain_model(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{int(r.paretovariate(0.9))}" for _ in range(20)), 0, 0.0) for i in range(200)]
+    plain = PlainAllPairs([t for i, t, *_ in rows if not _held(i)])
+    assert 0 < plain.d2[1] < 1 and sum(r == 1 for r in plain.pairs.values()) > 100
+    got = {r.doc_id: r.score for r in katz.scored(spark.createDataFrame(rows, SCHEMA), min_pairs=1).collect()}
+    memo = {}
+    for i, text, *_ in rows:
+        want, seq = 0, _tokens(text)
+        for h, w in zip(["<s>", *seq], seq):
+            if (h, w) not in memo:
+                memo[h, w] = math.log10(plain.prob(h, w))
+            want += memo[h, w]
+        assert got[i] == pytest.approx(want, abs=1e-7)
+    assert sum(plain.prob("w1", w) for w in plain.c) + plain.prob("w1", "zzzz") == pytest.approx(1)

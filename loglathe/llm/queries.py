@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm import check_sql, fingerprints, katz, line_dedup, mixing, ngram_join, pieces, quotes, rules, sharding, warc
+from loglathe.llm import alignment, check_sql, fingerprints, katz, line_dedup, mixing, ngram_join, pieces, quotes, rules, sharding, warc
 
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -71,6 +71,14 @@ def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scored(_table(spark, sf_dir, "documents"), min_pairs=1)
 
 
+def aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = alignment.read_models(*alignment.default_paths())
+    grouped = alignment.token_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"), *models)
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    counted = alignment.with_link_counts(grouped.withColumn("groups_sha256", digest).drop("text", "groups"))
+    return counted.select("doc_id", *alignment.COUNTS, "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     "op1_fingerprints": fingerprint,
     "op2_line_dedup": fuzzy_lines,
@@ -82,6 +90,7 @@ QUERIES = {
     "op9_chat_quotations": chat,
     "op10_warc": archive,
     "op4_sentencepiece": piece_coding,
+    "op11_alignment": aligned_tokens,
 }
 
 ORACLES = {"op3_ngram_jaccard": check_sql.JACCARD_GROUPS, "op10_warc": check_sql.WARC_RECORDS}

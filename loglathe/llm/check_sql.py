@@ -46,3 +46,22 @@ SELECT page_id, octet_length(encode(payload)) AS payload_bytes,
     CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM d
 """
+
+_LOWERED_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+LEAKS = f"""
+WITH d AS (SELECT doc_id, {_LOWERED_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(len(w), 10) AS n FROM (SELECT item_id, {_LOWERED_WORDS} AS w FROM benchmark)),
+windows AS (
+    SELECT DISTINCT item, n, array_to_string(w[s:s + n - 1], ' ') AS win FROM b, unnest(range(1, len(w) - n + 2)) t(s) WHERE n > 0
+), runs AS (
+    SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS win
+    FROM d, (SELECT DISTINCT n FROM windows), unnest(range(1, len(w) - n + 2)) t(s)
+), hits AS (SELECT doc_id, n, s, item FROM runs JOIN windows USING (n, win)),
+spans AS (SELECT DISTINCT doc_id, n, s FROM hits),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM spans, unnest(range(s, s + n)) u(p) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""

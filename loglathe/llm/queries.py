@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm import alignment, check_sql, fingerprints, katz, line_dedup, mixing, ngram_join, pieces, quotes, rules, sharding, warc
+from loglathe.llm import alignment, check_sql, decontamination, fingerprints, katz, line_dedup, mixing, ngram_join, pieces, quotes, rules, sharding, warc
 
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -79,6 +79,18 @@ def aligned_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", *alignment.COUNTS, "n_best", "count_sum", "groups_sha256")
 
 
+def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_fingerprints": fingerprint,
     "op2_line_dedup": fuzzy_lines,
@@ -91,6 +103,11 @@ QUERIES = {
     "op10_warc": archive,
     "op4_sentencepiece": piece_coding,
     "op11_alignment": aligned_tokens,
+    "op12_decontamination": leaks,
 }
 
-ORACLES = {"op3_ngram_jaccard": check_sql.JACCARD_GROUPS, "op10_warc": check_sql.WARC_RECORDS}
+ORACLES = {
+    "op3_ngram_jaccard": check_sql.JACCARD_GROUPS,
+    "op10_warc": check_sql.WARC_RECORDS,
+    "op12_decontamination": check_sql.LEAKS,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe.llm import alignment, check_sql, decontamination, fingerprints, katz, line_dedup, mixing, ngram_join, pieces, quotes, rules, sharding, warc
+from loglathe.llm import alignment, check_sql, decontamination, fingerprints, katz, line_dedup, mixing, ngram_join, pieces, quotes, repair, rules, sharding, warc
 
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -91,6 +91,19 @@ def leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repaired_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    found = repair.summaries(repair.damaged(rows)).withColumnRenamed("conv_id", "_conv")
+    joined = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return joined.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in (*repair.COUNTS, "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     "op1_fingerprints": fingerprint,
     "op2_line_dedup": fuzzy_lines,
@@ -104,6 +117,7 @@ QUERIES = {
     "op4_sentencepiece": piece_coding,
     "op11_alignment": aligned_tokens,
     "op12_decontamination": leaks,
+    "op13_repair": repaired_chats,
 }
 
 ORACLES = {

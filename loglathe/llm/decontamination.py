@@ -4,8 +4,9 @@ A word is a run of characters other than the ASCII ones that are no letters or d
 consecutive words of an item; an item of fewer words, but not of none, is one window of that length. Of every window of n
 words the k-gram of least hash (k about n / 2) is its fingerprint. In documents the same choice is made for every run of
 n words, so that a run equal to a window shares its fingerprint: no shared span of n words is missed. Fingerprints are
-joined first, as narrow rows without text; the hits are extended to all windows around them, and these are
-joined with the windows of the benchmark word by word, so that a hash that two grams share gives no false hit.
+joined first; the hits are extended to all windows around them, and these are joined with the windows of the benchmark
+word by word, so that a hash that two grams share gives no false hit. While the fingerprints of the benchmark are few enough
+to broadcast, no text is shuffled: a hit takes the words around it along. Beyond that, narrow rows are shuffled.
 
 All is DataFrame functions. A document is known by the hash of its whole text, so copies are extended and looked up once.
 No join is between rows of one key on both sides: a fingerprint and a window are there once on the benchmark's side.
@@ -103,32 +104,37 @@ def hit_windows(docs: DataFrame, windows: DataFrame, text_col: str = "text") ->
         return spark.createDataFrame([], "text_key binary, size int, start int, window string")
     gram = reduce(lambda done, n: done.when(F.col("size") == n, _gram_of(F.col("window"), n)), sizes, F)
     prints = linking.stored(windows.select("size", gram.alias("gram")).distinct(), "window-prints")
-    keyed = docs.select(text_key(text_col).alias("text_key"), F.col(text_col).alias("_text"))
-
-    marks = _named(words(F.col("_text")), lambda w: F.concat(*[fingerprints(w, n) for n in sizes]))
-    rows = keyed.select("text_key", F.explode(marks).alias("p")).select("text_key", "p.size", "p.place", "p.gram")
-    small = prints.count() <= BROADCAST_ROWS
-    shared = rows.join(F.broadcast(prints) if small else prints, ["size", "gram"], "left_semi")
+    # words and marks are columns of their own, so that what follows the explode only passes them by
+    keyed = docs.select(text_key(text_col).alias("text_key"), words(F.col(text_col)).alias("w"))
+    marked = keyed.withColumn("marks", _named(F.col("w"), lambda w: F.concat(*[fingerprints(w, n) for n in sizes])))
+    place = ["text_key", "size", "place"]
+    if prints.count() <= BROADCAST_ROWS:
+        rows = marked.select("text_key", "w", F.explode("marks").alias("p")).select("text_key", "w", "p.size", "p.place", "p.gram")
+        shared = rows.join(F.broadcast(prints), ["size", "gram"], "left_semi").select(*place, *_context(F.col("w")))
+    else:  # narrow rows are shuffled, and only texts with a shared fingerprint are looked into again
+        rows = marked.select("text_key", F.explode("marks").alias("p")).select("text_key", "p.size", "p.place", "p.gram")
+        found = rows.join(prints, ["size", "gram"], "left_semi").select(*place).distinct()
+        found = found.groupBy("text_key").agg(F.collect_list(F.struct("size", "place")).alias("places"))
+        texts = keyed.join(found, "text_key").groupBy("text_key").agg(F.first("w").alias("w"), F.first("places").alias("places"))
+        each = texts.select("text_key", "w", F.explode("places").alias("p")).select("text_key", "w", "p.size", "p.place")
+        shared = each.select(*place, *_context(F.col("w")))
     # of a text that stands in many rows, the places are summed up before they are shuffled
-    shared = shared.groupBy("text_key", "size", "place").agg(F.lit(1).alias("_"))
-    shared = shared.groupBy("text_key").agg(F.collect_list(F.struct("size", "place")).alias("places"))
-    shared = linking.stored(shared, "shared-prints")
+    shared = shared.groupBy(*place).agg(F.first("first").alias("first"), F.first("near").alias("near"))
+    starts = F.least(F.col("place"), F.col("first") + F.size("near") - F.col("size"))
+    each = F.transform(
+        F.when(starts >= F.col("first"), F.sequence("first", F.greatest(starts, F.col("first")))),
+        lambda s: F.struct(s.alias("start"), F.array_join(F.slice("near", s - F.col("first") + 1, F.col("size")), " ").alias("window")),
+    )
+    near = shared.select("text_key", "size", F.explode(each).alias("x")).select("text_key", "size", "x.start", "x.window")
+    return near.join(windows, ["size", "window"], "left_semi").distinct()
 
-    texts = keyed.join(shared, "text_key").groupBy("text_key").agg(F.first("_text").alias("_text"), F.first("places").alias("places"))
 
-    def around(w: Column, place: Column) -> Column:
-        n = place["size"]
-        span = n - F.floor((n + 1) / 2).cast("int") + 1
-        first = F.greatest(place["place"] - span + 1, F.lit(0))
-        last = F.least(place["place"], F.size(w) - n)
-        return F.transform(
-            F.filter(F.sequence(first, F.greatest(last, first)), lambda s: s <= last),
-            lambda s: F.struct(n.alias("size"), s.alias("start"), F.array_join(F.slice(w, s + 1, n), " ").alias("window")),
-        )
-
-    near = _named(words(F.col("_text")), lambda w: F.flatten(F.transform("places", lambda p: around(w, p))))
-    near = texts.select("text_key", F.explode(near).alias("x")).select("text_key", "x.size", "x.start", "x.window")
-    return near.join(windows, ["size", "window"], "left_semi").distinct()
+def _context(w: Column) -> list[Column]:
+    """The words of all windows that a fingerprint at `place` can be that of, and the place of their first word."""
+    size, place = F.col("size"), F.col("place")
+    before = size - F.floor((size + 1) / 2).cast("int")
+    first = F.greatest(place - before, F.lit(0))
+    return [first.alias("first"), F.slice(w, first + 1, place - first + size).alias("near")]
 
 
 def text_key(text_col: str = "text") -> Column:

@@ -32,7 +32,9 @@ from pyspark.sql import types as T
 from loglathe.llm import linking
 from loglathe.llm import words as text_words
 
-PIECE_BYTES = 1 << 22  # text aligned at once
+PIECE_BYTES = 1 << 20  # text aligned at once
+KNOWN_WORDS = 1 << 18  # words of at most KNOWN_BYTES that a worker remembers with their ids
+KNOWN_BYTES = 64
 ID_BITS = 32  # a linked pair is (id of A) << 32 | (id of B)
 
 LINKS = "struct<piece:string,index:array<int>,times:array<int>,pairs:array<bigint>,docs:array<bigint>>"
@@ -71,26 +73,51 @@ def _byte_of_sign() -> dict[str, int]:
 class _Side:
     """One tokenizer: ids of words, and the bytes and the decimal form of every id."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes], closed: bool = True):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes]):
         self.encode = encode
-        self.closed = closed  # no token goes on after a later space
         self.bytes = pa.array(tokens, type=pa.binary())
         self.sizes = pc.cast(pc.binary_length(self.bytes), pa.int64())
         self.digits = pa.array([str(i) for i in range(len(tokens))])
 
-    def ids(self, units: pa.Array) -> pa.ListArray:
-        """Ids of each unit; equal units are encoded once."""
+
+_IDS = pa.list_(pa.int32())
+
+
+class Pair:
+    """Both tokenizers, and the words that they have met with their ids."""
+
+    def __init__(self, a: _Side, b: _Side, closed: bool):
+        self.sides = a, b
+        self.closed = closed  # no token goes on after a later space
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.lists = pa.array([], pa.string()), [pa.array([], _IDS)] * 2
+
+    def ids(self, units: pa.Array) -> list[pa.ListArray]:
+        """Ids of each unit by A and by B; a unit that is known or there twice is encoded once."""
         coded = units.dictionary_encode()
-        lists = pa.array(self.encode(coded.dictionary.to_pylist()), type=pa.list_(pa.int32()))
-        return lists.take(coded.indices)
+        if len(self.known) > KNOWN_WORDS:
+            self._forget()
+        at = pc.index_in(coded.dictionary, self.known)
+        new = coded.dictionary.filter(pc.is_null(at))
+        plain = new.to_pylist()
+        known = pa.concat_arrays([self.known, new])
+        lists = [pa.concat_arrays([x, pa.array(s.encode(plain), type=_IDS)]) for x, s in zip(self.lists, self.sides)]
+        at = pc.take(pc.index_in(coded.dictionary, known), coded.indices)
+        found = [x.take(at) for x in lists]
+        short = pc.less_equal(pc.binary_length(known), KNOWN_BYTES)
+        self.known, self.lists = known.filter(short), [x.filter(short) for x in lists]
+        return found
 
 
-_SIDES: dict[int, tuple[_Side, _Side]] = {}
+_PAIRS: dict[int, Pair] = {}
 
 
-def _sides(byte_json: str, piece_proto: bytes) -> tuple[_Side, _Side]:
+def pair_of(byte_json: str, piece_proto: bytes) -> Pair:
+    """The tokenizers of this worker."""
     key = hash((byte_json, piece_proto))
-    if key not in _SIDES:
+    if key not in _PAIRS:
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -119,9 +146,9 @@ def _sides(byte_json: str, piece_proto: bytes) -> tuple[_Side, _Side]:
         def piece_ids(units: list[str]) -> list[list[int]]:
             return pieces.encode(units, num_threads=1)
 
-        _SIDES.clear()
-        _SIDES[key] = _Side(byte_ids, entries), _Side(piece_ids, spelled, closed)
-    return _SIDES[key]
+        _PAIRS.clear()
+        _PAIRS[key] = Pair(_Side(byte_ids, entries), _Side(piece_ids, spelled), closed)
+    return _PAIRS[key]
 
 
 def _units(texts: list[str], closed: bool) -> pa.ListArray:
@@ -133,13 +160,6 @@ def _units(texts: list[str], closed: bool) -> pa.ListArray:
     return pa.array([_CUT.split(t) for t in texts], type=pa.list_(pa.string()))
 
 
-def _flat(side: _Side, units: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all tokens and the text that each is from."""
-    lists = side.ids(units.flatten())
-    parent = pc.take(pc.list_parent_indices(units), pc.list_parent_indices(lists))
-    return lists.flatten().to_numpy(zero_copy_only=False), parent.to_numpy(zero_copy_only=False)
-
-
 def _spells(side: _Side, ids: np.ndarray, doc: np.ndarray, texts: list[bytes]) -> np.ndarray:
     """Whether the tokens of each text spell it."""
     joined = pc.take(side.bytes, pa.array(ids))
@@ -164,45 +184,51 @@ def _joined(strings: pa.Array, counts: np.ndarray, sign: str) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(_offsets(counts), strings), sign)
 
 
-def align(texts: list[str | None], a: _Side, b: _Side) -> dict[str, pa.Array]:
+def align(texts: list[str | None], pair: Pair) -> dict[str, pa.Array]:
     """Counts, groups and links of each text of one piece, and the distinct pairs of the piece.
 
     `index` are the places of a text's linked pairs among `pairs`, `times` how often it holds each.
     """
     n = len(texts)
     full = [t or "" for t in texts]
-    units = _units(full, b.closed)
+    units = _units(full, pair.closed)
     if not all(full):  # nothing is encoded for them
         units = pa.array([u if t else [] for u, t in zip(units.to_pylist(), full)], type=pa.list_(pa.string()))
     spelled = [(" " + t).encode() if t else b"" for t in full]
+    parents = pc.list_parent_indices(units)
     sides, good = [], np.array([bool(t) for t in full], dtype=bool)
-    for side in (a, b):
-        ids, doc = _flat(side, units)
+    for side, lists in zip(pair.sides, pair.ids(units.flatten())):
+        doc = pc.take(parents, pc.list_parent_indices(lists)).to_numpy()
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
         good &= _spells(side, ids, doc, spelled)
         sides.append((ids, doc))
     tables, kept = [], []
-    for name, side, (ids, doc) in zip("ab", (a, b), sides):
+    for name, side, (ids, doc) in zip("ab", pair.sides, sides):
         stays = good[doc]
         ids, doc = ids[stays], doc[stays]
-        # the good texts one after the other: A and B see the same offsets
+        # the good texts stand one after the other, so an end is the end of a document's token in both tokenizers
         end = np.cumsum(pc.take(side.sizes, pa.array(ids)).to_numpy())
         kept.append((ids, doc, end))
-        tables.append(pa.table({"doc": pa.array(doc, type=pa.int64()), "end": end, name: pa.array(ids, type=pa.int64())}))
-    ends = tables[0].join(tables[1], ["doc", "end"], join_type="full outer").combine_chunks().sort_by("end")
-    doc = ends["doc"].to_numpy()
+        tables.append(pa.table({"end": end, name: pa.array(ids, type=pa.int64())}))
+    ends = tables[0].join(tables[1], "end", join_type="full outer")
+    at = ends["end"].to_numpy()
+    ends = ends.take(pa.array(np.argsort(at, kind="stable")))
+    at = ends["end"].to_numpy()
+    size = np.fromiter(map(len, spelled), dtype=np.int64, count=n) * good
+    doc = np.searchsorted(np.cumsum(size), at, side="left")
     both = pc.and_(pc.is_valid(ends["a"]), pc.is_valid(ends["b"])).to_numpy()
-    cuts, cut_doc = ends["end"].to_numpy()[both], doc[both]
-    pair = pc.bit_wise_or(
+    cuts, cut_doc = at[both], doc[both]
+    linked = pc.bit_wise_or(
         pc.shift_left(pc.fill_null_backward(ends["a"]), pa.scalar(ID_BITS, pa.int64())), pc.fill_null_backward(ends["b"])
     )
     n_groups = _counted(cut_doc, n)
     parts = []
-    for side, (ids, _, end) in zip((a, b), kept):
+    for side, (ids, _, end) in zip(pair.sides, kept):
         last = np.searchsorted(end, cuts, side="left") + 1
         parts.append(_joined(pc.take(side.digits, pa.array(ids)), np.diff(last, prepend=0), ","))
     groups = _joined(pc.binary_join_element_wise(*parts, "|"), n_groups, ";")
 
-    coded = _whole(pair).dictionary_encode()
+    coded = _whole(linked).dictionary_encode()
     held = pa.table({"doc": pa.array(doc, type=pa.int64()), "index": coded.indices.cast(pa.int32())})
     held = held.group_by(["doc", "index"]).aggregate([([], "count_all")]).sort_by([("doc", "ascending"), ("index", "ascending")])
     docs = held.group_by("index").aggregate([([], "count_all")]).sort_by("index")
@@ -237,13 +263,13 @@ def token_groups(docs: DataFrame, byte_json: str, piece_proto: bytes, text_col:
     schema = schema.add("groups", "string").add("links", T.DataType.fromDDL(LINKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _sides(byte_json, piece_proto)
+        pair = pair_of(byte_json, piece_proto)
         piece = 0
         for batch in batches:
             texts = batch.column(text_col)
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             for start, stop in text_words.pieces(sizes, PIECE_BYTES):
-                found = align(texts.slice(start, stop - start).to_pylist(), a, b)
+                found = align(texts.slice(start, stop - start).to_pylist(), pair)
                 rest = stop - start - 1
                 links = pa.StructArray.from_arrays(
                     [
@@ -258,6 +284,8 @@ def token_groups(docs: DataFrame, byte_json: str, piece_proto: bytes, text_col:
                 piece += 1
                 rows = batch.slice(start, stop - start).select(kept)
                 yield pa.RecordBatch.from_arrays([*rows.columns, *[found[c] for c in out[:-1]], links], names=[*kept, *out])
+                del found, links
+                pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, schema)
 

@@ -81,11 +81,12 @@ def test_against_the_definition(spark, models):
 
 
 def test_many_pieces(spark, models, monkeypatch):
+    monkeypatch.setattr(alignment, "KNOWN_WORDS", 50)  # words are forgotten and met again
     rows = _rows()
-    a, b = alignment._sides(*models)
+    pair = alignment.pair_of(*models)
     texts = [t for _, t, _ in rows]
-    whole = alignment.align(texts, a, b)
-    parts = [alignment.align([t], a, b) for t in texts]  # a piece of its own for every text
+    whole = alignment.align(texts, pair)
+    parts = [alignment.align([t], pair) for t in texts]  # a piece of its own for every text
     for c in (*alignment.COUNTS, "groups"):
         assert whole[c].to_pylist() == [p[c][0].as_py() for p in parts]
     for i, p in enumerate(parts):

@@ -72,14 +72,62 @@ def message_key(df: DataFrame) -> Column:
     )
 
 
+_SEED, _FACTOR, _32 = 0x9747B28C, 0x5BD1E995, 0xFFFFFFFF  # fixed values of the producers' hash
+
+
+def _times(x: Column) -> Column:
+    """Product with the factor in 32 bits; it fits 63 bits before it is cut."""
+    return (x * F.lit(_FACTOR)).bitwiseAND(F.lit(_32))
+
+
+def _fold(x: Column, bits: int) -> Column:
+    return x.bitwiseXOR(F.shiftrightunsigned(x, bits))
+
+
+def key_hash(key: Column) -> Column:
+    """MurmurHash2 (32 bits) of the bytes of a key, as Kafka producers take it; NULL for NULL."""
+
+    def of(data: Column) -> Column:  # the bytes as hex digits
+        size = F.length(data) / 2
+        whole = F.floor(size / 4).cast("int")
+
+        def byte(at: Column) -> Column:
+            return F.coalesce(F.conv(F.nullif(F.substring(data, at * 2 + 1, F.lit(2)), F.lit("")), 16, 10).cast("bigint"), F.lit(0))
+
+        def mixed(done: Column, block: Column) -> Column:
+            k = byte(block * 4)
+            for i in (1, 2, 3):
+                k = k + F.shiftleft(byte(block * 4 + i), 8 * i)
+            return _times(done).bitwiseXOR(_times(_fold(_times(k), 24)))
+
+        blocks = F.when(whole > 0, F.sequence(F.lit(0), F.greatest(whole - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        start = F.lit(_SEED).bitwiseXOR(size.cast("bigint"))
+        rest = byte(whole * 4) + F.shiftleft(byte(whole * 4 + 1), 8) + F.shiftleft(byte(whole * 4 + 2), 16)
+
+        def ended(done: Column) -> Column:
+            tail = F.when(size % 4 > 0, _times(done.bitwiseXOR(rest))).otherwise(done)
+            return _fold(_times(_fold(tail, 13)), 15)
+
+        return F.aggregate(blocks, start, mixed, ended)
+
+    return F.transform(F.array(F.hex(key.cast("binary"))), of)[0]
+
+
+def topic_partition(key: Column, partitions: int) -> Column:
+    """Partition of a topic that producers choose for a key."""
+    return (key_hash(key).bitwiseAND(F.lit(0x7FFFFFFF)) % partitions).cast("int")
+
+
+def message_value(row: Column) -> Column:
+    """JSON of a row as the message sink takes it."""
+    return F.to_json(row, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"})
+
+
 def keyed_messages(
     df: DataFrame, topic: str = fixed.TOPIC_INGESTED, key: Column | None = None
 ) -> DataFrame:
     """Key, JSON value and topic of each row, as the message sink takes them."""
-    value = F.to_json(
-        F.struct(*[F.col(c) for c in df.columns]),
-        {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"},
-    )
+    value = message_value(F.struct(*[F.col(c) for c in df.columns]))
     return df.select(
         (message_key(df) if key is None else key).cast("binary").alias("key"),
         value.cast("binary").alias("value"),

@@ -778,12 +778,19 @@ def _finish(stream_query) -> None:
     stream_query.awaitTermination()
 
 
-def in_batches(df: DataFrame, path: str, part: Column, parts: int = 3) -> DataFrame:
-    """The rows as a stream of one micro-batch per part, in the order of the parts."""
+BATCH_FILES = 4
+
+
+def in_batches(df: DataFrame, path: str, part: Column, parts: int = 3, files: int = BATCH_FILES) -> DataFrame:
+    """The rows as a stream of one micro-batch per part, in the order of the parts.
+
+    A part is written by all tasks into the same number of files. Rows whose part is null or none of these are in the last.
+    """
     spark = df.sparkSession
+    number = F.when(part.between(0, parts - 1), part).otherwise(parts - 1)
     for n in range(parts):
-        df.where(part == n).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.where(number == n).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 @query("stream_transform", _mixed_v2_oracle())

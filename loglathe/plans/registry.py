@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from loglathe import session
-from loglathe.plans import flow_queries, parser_queries
-
-_GROUPS = [parser_queries, flow_queries]
+from loglathe.plans import flow_queries, parser_queries, table_queries
 
+_GROUPS = [parser_queries, flow_queries, table_queries]
 
 
 def _configured(run):

@@ -128,6 +128,40 @@ def publish_topic(messages: DataFrame, servers: str, **extra: str) -> None:
     messages.write.format("kafka").options(**producer_options(servers, **extra)).save()
 
 
+def ordered_messages(
+    df: DataFrame,
+    partitions: int,
+    order: Sequence[str],
+    topic: str = fixed.TOPIC_INGESTED,
+    key: Column | None = None,
+) -> DataFrame:
+    """Messages with the topic partition of their key, each partition as one run of rows in the given order.
+
+    A partition of a topic is a sequence by definition, so one task sends it, whatever share of the rows it has; the
+    sort spills. Send the result with ``publish_topic`` (the sink takes the ``partition`` column) or write it as files.
+    """
+    named = df.withColumns({"__key": storage.message_key(df) if key is None else key})
+    named = named.withColumns({"__partition": storage.topic_partition(F.col("__key"), partitions)})
+    named = named.repartition(partitions, "__partition").sortWithinPartitions("__partition", *order)
+    inner = named.select(F.col("__key"), F.col("__partition"), F.struct(*df.columns).alias("__row"))
+    return inner.select(
+        F.col("__key").cast("binary").alias("key"),
+        storage.message_value(F.col("__row")).cast("binary").alias("value"),
+        F.lit(topic).alias("topic"),
+        F.col("__partition").alias("partition"),
+    )
+
+
+def write_messages(messages: DataFrame, path: str, mode: str = "append", batch_id: int | None = None) -> None:
+    """Messages of ``ordered_messages`` as files, one folder per topic partition, in their order."""
+    _write(messages, path, ["partition"], mode, batch_id)
+
+
+def write_rollup(df: DataFrame, path: str, batch_id: int) -> None:
+    """Counts per minute by day; the number says which count of a minute is the last."""
+    _write(df.hint("rebalance", "event_date"), path, ["event_date"], "append", batch_id)
+
+
 def publish_files(
     df: DataFrame,
     path: str,

@@ -103,9 +103,9 @@ def test_syslog(spark):
         parsers_v2.parse_syslog,
         [
             (M1, dict(system_service="kernel", pid=None, event_category="GENERAL", is_system_error=False)),
-            ("sshd[42]: ok", dict(system_service="sshd", pid=42)),
+            ("sshd[42]: ok", dict(system_service="sshd", pid="42")),
             ("my-app: disk is full", dict(system_service="my-app", pid=None, event_category="STORAGE_CRITICAL", is_system_error=True)),
-            ("x[99999999999999999999]: error", dict(pid=None, event_category="GENERAL", is_system_error=True)),
+            ("x[99999999999999999999]: error", dict(pid="99999999999999999999", event_category="GENERAL", is_system_error=True)),
             ("systemd: out of memory", dict(is_os_internal=True, event_category="MEMORY_CRITICAL")),
         ],
     )

@@ -12,13 +12,12 @@ from loglathe.operators import (
     analytics,
     intake,
     processing,
-    routing,
     storage,
     transform,
 )
 from loglathe.plans import corpus, oracle_parsers
 from loglathe.plans.corpus import E, K, U, V, pick, q
-from loglathe.plans.parser_queries import NOW, _family_case, _mixed_v2_oracle, _v2_oracle, map_text
+from loglathe.plans.parser_queries import _V2_TABLE, NOW, _family_case, _mixed_v2_oracle, _v2_oracle, map_text
 from loglathe.sinks import outputs
 from loglathe.sources import inputs
 from loglathe.streaming import jobs, limiter
@@ -272,7 +271,7 @@ def _batch_oracle(v1: bool) -> str:
         f"base AS (SELECT event_id * 10 + pos AS event_id, event_id AS batch, pos,"
         f" coalesce(tenant_id, '{tenant}') AS tenant_id, coalesce(service, 'generic') AS service,"
         f" coalesce(src, '{source}') AS source, secs, level, k, coalesce(message, '') AS line,"
-        f" {_family_case(f'lower(coalesce(src, {q(source)}))', routing.V2)} AS family"
+        f" {_family_case(f'lower(coalesce(src, {q(source)}))', _V2_TABLE)} AS family"
         f" FROM (SELECT l.*, s.src FROM logs l JOIN (SELECT event_id, {_BATCH_SOURCE} AS src FROM"
         " events) s USING (event_id)))"
     )

@@ -811,10 +811,10 @@ def stream_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = session.run_folder(spark, "stream-sink")
     flow = in_batches(envelopes(spark, sf_dir), f"{path}/in", F.hour("timestamp") % 3)
-    write = jobs.hot_and_cold(f"{path}/hot", f"{path}/cold", NOW)
+    write = jobs.hot_and_cold(f"{path}/hot", f"{path}/cold", NOW, f"{path}/manifest")
     _finish(jobs.run(jobs.transform_stream(flow), write, f"{path}/checkpoint"))
-    cold = spark.read.parquet(f"{path}/cold").withColumns({"event_date": F.to_date("timestamp")})
-    tables = {"hot": spark.read.parquet(f"{path}/hot"), "cold": cold}
+    tables = {name: outputs.committed(spark, f"{path}/{name}", f"{path}/manifest") for name in ("hot", "cold")}
+    tables["cold"] = tables["cold"].withColumns({"event_date": F.to_date("timestamp")})
     hot, cold = (_hot_columns(t).withColumns({"place": F.lit(name)}) for name, t in tables.items())
     return hot.unionByName(cold)
 

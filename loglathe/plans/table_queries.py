@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglathe import session
+from loglathe import fixed, session
 from loglathe.operators import rollups, storage, textindex
 from loglathe.plans import corpus
 from loglathe.plans.flow_queries import _REQUEST_SERVICE, _REQUEST_TENANT, _SQL_ENVELOPES, envelopes, sql_time, text_time
 from loglathe.plans.parser_queries import NOW
 from loglathe.sinks import outputs
+from loglathe.sources import records
+from loglathe.streaming import jobs
 
 QUERIES = {}
 ORACLES = {}
@@ -160,3 +162,54 @@ def topic_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").cast("string").alias("key"), value.alias("v"), "partition", F.col("_metadata.row_index").alias("place")
     )
     return stored.select("key", "v.event_id", F.col("v.raw_payload").alias("payload"), "partition", "place")
+
+
+# --- streams of bounded micro-batches -------------------------------------------------------
+
+_SQL_DEPTH = (
+    "WITH s AS (SELECT coalesce(sum(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END), 0) AS half, count(*) AS total FROM events),"
+    " b AS (SELECT half, total, (half + {n} - 1) // {n} AS first FROM s),"
+    " i AS (SELECT b.*, i FROM b, unnest(range(0, CAST(first + (total - half + {n} - 1) // {n} AS BIGINT))) t(i))"
+    " SELECT CAST(i AS BIGINT) AS batch_id, CAST(CASE WHEN i < first THEN half - least(half, (i + 1) * {n})"
+    " ELSE total - least(total, half + (i - first + 1) * {n}) END AS BIGINT) AS depth,"
+    " CAST(CASE WHEN i < first THEN least(half, (i + 1) * {n}) ELSE least(total, half + (i - first + 1) * {n}) END AS BIGINT)"
+    " AS consumed FROM i"
+)
+
+
+def _landed_twice(spark: SparkSession, sf_dir: str, path: str, sink: jobs.BatchSink, most: int) -> None:
+    """Events land in two goes, and a job takes them after each in micro-batches of at most `most` records."""
+    events = corpus.read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    for odd in (0, 1):
+        events.where(F.col("event_id") % 2 == odd).write.mode("append").parquet(f"{path}/landing")
+        flow = records.bounded(spark, f"{path}/landing", f"{path}/log", events.schema, most)
+        sink_ = jobs.with_depth_samples(sink, f"{path}/landing", f"{path}/checkpoint", f"{path}/samples")
+        jobs.drain(jobs.run(flow, sink_, f"{path}/checkpoint", every="0 seconds"))
+
+
+def _most(spark: SparkSession, sf_dir: str) -> int:
+    """A worker's 500 records, or a tenth of a large table: the bound is what is shown, not the number of micro-batches."""
+    return max(fixed.WORKER_BATCH, corpus.read(spark, sf_dir, "events").count() // 10)
+
+
+_MOST_SQL = "(SELECT greatest(500, count(*) // 10) FROM events)"
+
+
+@query("buffer_depth_measured", _SQL_DEPTH.format(n=_MOST_SQL))
+def buffer_depth_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = session.run_folder(spark, "depth")
+    _landed_twice(spark, sf_dir, path, jobs.table_sink(f"{path}/table"), _most(spark, sf_dir))
+    return spark.read.parquet(f"{path}/samples").select("batch_id", "depth", "consumed")
+
+
+@query(
+    "bounded_fetch",
+    f"SELECT event_id, user_id, event_type, value, {_MOST_SQL} AS most, true AS within FROM events",
+)
+def bounded_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records once, each with the word whether its micro-batch kept to the bound."""
+    path, most = session.run_folder(spark, "fetch"), _most(spark, sf_dir)
+    _landed_twice(spark, sf_dir, path, jobs.table_sink(f"{path}/table"), most)
+    rows = spark.read.parquet(f"{path}/table")
+    sizes = rows.groupBy("batch_id").agg((F.count(F.lit(1)) <= most).alias("within"))
+    return rows.join(sizes, "batch_id").withColumns({"most": F.lit(most).cast("bigint")}).drop("batch_id")

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglathe import fixed
@@ -118,6 +119,27 @@ def write_landing(df: DataFrame, path: str, mode: str = "append", batch_id: int
         ).json(path)
 
 
+def commit(spark: SparkSession, manifest: str, batch_id: int) -> None:
+    """Note that a micro-batch is in all its tables."""
+    _write(spark.range(1).select(F.current_timestamp().alias("committed_at")).coalesce(1), manifest, [], "append", batch_id)
+
+
+def last_committed(spark: SparkSession, manifest: str) -> int | None:
+    """Number of the last micro-batch that is whole; micro-batches are written one after the other, so all before are."""
+    try:
+        return spark.read.parquet(manifest).agg(F.max("batch_id")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def committed(spark: SparkSession, path: str, manifest: str) -> DataFrame:
+    """Rows of the table that belong to whole micro-batches; the number is a partition, so the rest is not opened."""
+    last = last_committed(spark, manifest)
+    return spark.read.parquet(path).where(F.col("batch_id") <= F.lit(-1 if last is None else last))
+
+
 def producer_options(servers: str, **extra: str) -> dict[str, str]:
     """Options of the Kafka writer: full acknowledgement, snappy, short linger."""
     return {"kafka.bootstrap.servers": servers, **fixed.PRODUCER_OPTIONS, **extra}

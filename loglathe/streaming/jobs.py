@@ -7,7 +7,7 @@ tables hold one copy.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from loglathe.operators import analytics, processing, storage
 from loglathe.operators.routing import V2, Registry
 from loglathe.operators.transform import transform_logs
 from loglathe.sinks import outputs
+from loglathe.sources import records
 
 BatchSink = Callable[[DataFrame, int], None]
 
@@ -40,21 +41,20 @@ def transform_stream(envelopes: DataFrame, registry: Registry = V2) -> DataFrame
     return transform_logs(envelopes, registry)
 
 
-def hot_and_cold(hot_path: str, cold_path: str, now=None) -> BatchSink:
-    """Write each micro-batch to the log table and to the archive."""
+def hot_and_cold(hot_path: str, cold_path: str, now=None, manifest: str | None = None) -> BatchSink:
+    """Write each micro-batch to the log table and to the archive.
+
+    With a manifest, a micro-batch that is in one table only, after a failure between the writes, shows in neither:
+    readers go through ``outputs.committed``.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         outputs.write_hot(storage.hot_rows(batch, now), hot_path, batch_id=batch_id)
         # the archive is made of the rows just written, so nothing is parsed twice or cached
         written = batch.sparkSession.read.parquet(hot_path).where(F.col("batch_id") == batch_id)
         outputs.write_archive(written.drop("batch_id"), cold_path, batch_id=batch_id)
-
-    return write
-
-
-def hot_only(hot_path: str, now=None) -> BatchSink:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        outputs.write_hot(storage.hot_rows(batch, now), hot_path, batch_id=batch_id)
+        if manifest is not None:
+            outputs.commit(batch.sparkSession, manifest, batch_id)
 
     return write
 
@@ -86,15 +86,41 @@ def table_sink(path: str) -> BatchSink:
     return write
 
 
-def keyed_topic(servers: str, topic: str, **extra: str) -> BatchSink:
-    """Keyed messages of each micro-batch to a Kafka topic."""
+def ordered_topic(servers: str, topic: str, partitions: int, order: Sequence[str], **extra: str) -> BatchSink:
+    """Keyed messages of each micro-batch to a Kafka topic, in order inside each of its partitions."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        outputs.publish_topic(storage.keyed_messages(batch, topic), servers, **extra)
+        outputs.publish_topic(outputs.ordered_messages(batch, partitions, order, topic), servers, **extra)
 
     return write
 
 
+def drain(query: StreamingQuery) -> None:
+    """Let a job with a processing-time trigger take all that has landed, and stop it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def with_depth_samples(write: BatchSink, landing: str, checkpoint: str, samples: str) -> BatchSink:
+    """After each micro-batch, note how many landed records are still to come (`second`, `depth`, `consumed`)."""
+
+    def both(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        spark = batch.sparkSession
+        taken = records.consumed(spark, checkpoint, batch_id)
+        left = records.depth(spark, landing, checkpoint, batch_id)
+        row = spark.range(1).select(
+            F.date_trunc("second", F.current_timestamp()).alias("second"),
+            F.lit(left).cast("bigint").alias("depth"),
+            F.lit(taken).cast("bigint").alias("consumed"),
+        )
+        outputs.write_index(row, samples, batch_id=batch_id)
+
+    return both
+
+
 def deduplicated(df: DataFrame, key: str = "event_id", within: str = "1 hour") -> DataFrame:
     """Drop repeats of an event that are received within the given time of each other.
 
@@ -132,10 +158,3 @@ def summed(df: DataFrame, counts: list[str]) -> DataFrame:
     """Totals of the counts of all micro-batches."""
     keys = [c for c in df.columns if c not in counts and c != "batch_id"]
     return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in counts])
-
-
-def latest(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Newest version of each row of a table written in ``update`` mode."""
-    others = [c for c in df.columns if c not in keys and c != "batch_id"]
-    packed = F.max_by(F.struct(*others), F.col("batch_id")).alias("__v")
-    return df.groupBy(*keys).agg(packed).select(*keys, "__v.*")

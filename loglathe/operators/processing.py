@@ -43,15 +43,21 @@ def validate_schema(df: DataFrame, schema: T.StructType, value: str = "value") -
     """
     read = df.withColumns({"__json": json.read_object(F.col(value), schema.names)})
     read = read.withColumns({"__doc": json.whole_object(F.col("__json"))})
-    doc = F.col("__doc")
-    reason = F.when(doc.isNull(), "not a JSON object")
+    reason = F.when(F.col("__doc").isNull(), "not a JSON object").otherwise(violation(F.col("__doc"), schema))
+    return read.withColumns({"schema_error": reason}).drop("__json", "__doc")
+
+
+def violation(doc: Column, schema: T.StructType) -> Column:
+    """The first field of a struct of VARIANTs that does not fit the schema; NULL if all do."""
+    reason = None
     for field in schema.fields:
         member = doc[field.name]
         missing = member.isNull() | (json.is_json_null(member) if field.nullable else F.lit(False))
         wrong = ~_fits(member, field.dataType)
         bad = (~missing & wrong) if field.nullable else wrong
-        reason = reason.when(bad, f"{field.name}: expected {field.dataType.simpleString()}")
-    return read.withColumns({"schema_error": reason}).drop("__json", "__doc")
+        said = f"{field.name}: expected {field.dataType.simpleString()}"
+        reason = F.when(bad, said) if reason is None else reason.when(bad, said)
+    return F.lit(None).cast("string") if reason is None else reason
 
 
 def parse_contract(df: DataFrame, value: str = "value") -> DataFrame:

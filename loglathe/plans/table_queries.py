@@ -4,11 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loglathe import fixed, session
-from loglathe.operators import rollups, storage, textindex
+from loglathe.operators import rollups, storage, textindex, versions
 from loglathe.plans import corpus
-from loglathe.plans.flow_queries import _REQUEST_SERVICE, _REQUEST_TENANT, _SQL_ENVELOPES, envelopes, sql_time, text_time
+from loglathe.plans.flow_queries import (
+    _RAW_MESSAGE,
+    _REQUEST_SERVICE,
+    _REQUEST_TENANT,
+    _SQL_ENVELOPES,
+    envelopes,
+    raw_messages,
+    sql_time,
+    text_time,
+)
 from loglathe.plans.parser_queries import NOW
 from loglathe.sinks import outputs
 from loglathe.sources import records
@@ -164,6 +174,69 @@ def topic_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("key", "v.event_id", F.col("v.raw_payload").alias("payload"), "partition", "place")
 
 
+# --- schema versions --------------------------------------------------------------------------
+
+_NUMBER = "event_id % 5"  # 0 and 4 are no version, 3 names none
+_VERSIONED = f"CASE WHEN {_NUMBER} = 3 THEN line ELSE replace(line, '{{\"tenant_id\"', '{{\"schema_version\":' || CAST({_NUMBER} AS STRING) || ',\"tenant_id\"') END"
+_VERSION_SQL = "CASE WHEN json_type(d, '$.schema_version') IS NULL THEN 3 ELSE CAST(json_extract(d, '$.schema_version') AS BIGINT) END"
+
+
+def _versions() -> versions.Versions:
+    """Three versions; a fourth that would refuse messages of the third is not taken."""
+    text, optional = T.StringType(), T.MapType(T.StringType(), T.StringType())
+    first = T.StructType([T.StructField("tenant_id", text, False), T.StructField("message", text, False)])
+    second = T.StructType([*first.fields, T.StructField("metadata", optional, True)])
+    third = T.StructType([T.StructField("tenant_id", text, True), T.StructField("message", text, True), T.StructField("extra", T.LongType(), True)])
+    found = versions.Versions().declare("logs", first).declare("logs", second).declare("logs", third)
+    try:
+        return found.declare("logs", T.StructType([T.StructField("tenant_id", text, False)]))
+    except versions.Incompatible:
+        return found
+
+
+def _texts_sql(required: bool) -> str:
+    return " ".join(
+        f"WHEN coalesce(json_type(d, '$.{c}') {"<> 'VARCHAR', true)" if required else "NOT IN ('VARCHAR', 'NULL'), false)"} THEN '{c}: expected string'"
+        for c in ("tenant_id", "message")
+    )
+
+
+@query(
+    "schema_versions",
+    f"WITH m AS (SELECT event_id, {_VERSIONED} AS line FROM (SELECT event_id, {_RAW_MESSAGE} AS line FROM events)),"
+    " raw AS (SELECT event_id, CASE WHEN json_type(j) = 'OBJECT' THEN j END AS d FROM (SELECT event_id, TRY_CAST(line AS JSON) AS j FROM m)),"
+    f" v AS (SELECT *, CASE WHEN d IS NOT NULL THEN {_VERSION_SQL} END AS version FROM raw),"
+    " e AS (SELECT version, CASE WHEN d IS NULL THEN 'not a JSON object' WHEN version NOT IN (1, 2, 3) THEN 'schema version ' ||"
+    f" CAST(version AS VARCHAR) || ' is not declared' WHEN version < 3 THEN CASE {_texts_sql(True)} WHEN version = 2 AND"
+    " coalesce(json_type(d, '$.metadata') NOT IN ('OBJECT', 'NULL'), false) THEN 'metadata: expected map<string,string>' END"
+    f" ELSE CASE {_texts_sql(False)} WHEN coalesce(json_type(d, '$.extra') NOT IN ('UBIGINT', 'BIGINT', 'NULL'), false)"
+    " THEN 'extra: expected bigint' END END AS schema_error FROM v) SELECT version, schema_error, count(*) AS messages FROM e GROUP BY ALL",
+)
+def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages against the version that each names, or the latest one."""
+    messages = raw_messages(spark, sf_dir).withColumnRenamed("value", "line").select(F.expr(_VERSIONED).alias("value"))
+    judged = versions.validate(messages, _versions(), "logs")
+    return judged.groupBy(F.col("schema_version").alias("version"), "schema_error").agg(F.count(F.lit(1)).alias("messages"))
+
+
+# --- repeats days apart -----------------------------------------------------------------------
+
+
+@query("stream_first_time_only", "SELECT event_id, event_type FROM events")
+def stream_first_time_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is delivered one to three times, in runs of the job that know of each other only what is stored."""
+    path = session.run_folder(spark, "first-time")
+    events = corpus.read(spark, sf_dir, "events").select("event_id", "event_type")
+    sink = jobs.first_time_only(jobs.table_sink(f"{path}/table"), f"{path}/seen")
+    for copy in range(3):
+        repeats = events.where(F.col("event_id") % 3 >= copy)
+        late = repeats.unionByName(repeats.where(F.col("event_id") % 5 == 0))
+        late.repartition(4).write.mode("append").parquet(f"{path}/in")
+        flow = spark.readStream.schema(late.schema).parquet(f"{path}/in")
+        jobs.run(flow, sink, f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/table").select("event_id", "event_type")
+
+
 # --- streams of bounded micro-batches -------------------------------------------------------
 
 _SQL_DEPTH = (

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from loglathe.operators import analytics, processing, storage
@@ -131,6 +132,41 @@ def deduplicated(df: DataFrame, key: str = "event_id", within: str = "1 hour") -
     return received.dropDuplicatesWithinWatermark([key]).drop("__received")
 
 
+SEEN_BUCKETS = 64
+SMALL_BATCH = 1_000_000  # ids of a micro-batch that are sent to all executors
+
+
+def first_time_only(write: BatchSink, seen: str, key: str = "event_id") -> BatchSink:
+    """Pass on only rows whose key no earlier micro-batch had, however long ago, and of equal keys one row.
+
+    Keys are kept as a narrow table in buckets of their hash. Against a micro-batch of few keys the table is only read, in
+    the buckets that it touches; against a large one both are shuffled by key. The keys of a micro-batch are noted
+    after its rows are written, and one that runs again overwrites its own: rows are then passed on again, to a sink
+    that replaces them. Rows without a key are all passed on.
+    """
+
+    def once(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(key), F.lit(SEEN_BUCKETS)).cast("int").alias("bucket")
+        table = T.StructType([batch.schema[key], T.StructField("bucket", T.IntegerType()), T.StructField("batch_id", T.LongType())])
+        spark.createDataFrame([], table).write.mode("ignore").partitionBy("bucket", "batch_id").parquet(seen)
+        held = spark.read.schema(table).parquet(seen).where(F.col("batch_id") < batch_id)
+        batch = batch.persist()
+        try:
+            keys = batch.select(key, bucket).where(F.col(key).isNotNull()).distinct()
+            asked = F.broadcast(keys) if keys.count() <= SMALL_BATCH else keys
+            known = held.join(asked, ["bucket", key], "left_semi").select(key).distinct()
+            fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key]).join(known, key, "left_anti")
+            write(fresh.unionByName(batch.where(F.col(key).isNull())), batch_id)
+            noted = keys.withColumns({"batch_id": F.lit(batch_id).cast("bigint")})
+            writer = noted.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("bucket", "batch_id").parquet(seen)
+        finally:
+            batch.unpersist()
+
+    return once
+
+
 def counted_into(path: str, count: Callable[[DataFrame], DataFrame]) -> BatchSink:
     """Counts of each micro-batch as rows of their own; ``summed`` adds them up.
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglathe import fixed
+from loglathe.session import checkpointed
 
 _ERROR_FLAGS = ["is_error", "is_system_error", "is_failure"]
 
@@ -111,14 +112,27 @@ def level_rollup(
 def duration_summary(df: DataFrame, duration: Column, by: Sequence[str]) -> DataFrame:
     """Count, mean, maximum, and exact median and 95th percentile (the least value that so many do not exceed).
 
-    Equal durations are counted before anything is ordered, so a group costs as
-    many rows as it has different durations.
+    Equal durations are counted before anything is ordered, and what is left is range partitioned by group and duration:
+    a group with very many durations spreads over tasks, each sums its own part, and a lift per part and group (at most
+    two reach beyond a part) connects them. The parts are written to the checkpoint, as both branches must see the same.
     """
     counts = df.select(*by, duration.alias("__d")).where(F.col("__d").isNotNull())
     counts = counts.groupBy(*by, "__d").agg(F.count(F.lit(1)).alias("__n"))
-    ordered = Window.partitionBy(*by).orderBy("__d")
-    rows = counts.withColumns(
-        {"__upto": F.sum("__n").over(ordered), "__all": F.sum("__n").over(Window.partitionBy(*by))}
+    ranged = counts.repartitionByRange(*[F.col(c) for c in by], F.col("__d"))
+    parts = checkpointed(ranged.withColumns({"__part": F.spark_partition_id()}))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    lifts = (
+        parts.groupBy("__part", *by)
+        .agg(F.sum("__n").alias("__sum"))
+        .withColumns({"__before": F.coalesce(F.sum("__sum").over(before), F.lit(0)), "__all": F.sum("__sum").over(group)})
+    )
+    local = parts.withColumns({"__upto": F.sum("__n").over(Window.partitionBy("__part", *by).orderBy("__d"))})
+    same = F.lit(True)
+    for c in ("__part", *by):
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}"))
+    rows = local.alias("r").join(lifts.alias("l"), same).select(
+        *[F.col(f"r.{c}") for c in by], "__d", "__n", (F.col("__before") + F.col("__upto")).alias("__upto"), "__all"
     )
 
     def quantile(share: float) -> Column:

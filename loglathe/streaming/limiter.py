@@ -48,15 +48,18 @@ def limit_batches(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        counts = admission.window_counts(batch)
-        span = counts.agg(F.min("second").alias("low"), F.max("second").alias("high")).first()
-        earlier = totals(spark, totals_path).where(F.col("batch_id") < batch_id)
+        # the counts are stored first: the span of seconds is read from them, not from the requests once more
+        held = totals(spark, totals_path)
+        outputs.write_index(admission.window_counts(batch), totals_path, batch_id=batch_id)
+        held = spark.read.schema(held.schema).parquet(totals_path)
+        own = held.where(F.col("batch_id") == batch_id)
+        span = own.agg(F.min("second").alias("low"), F.max("second").alias("high")).first()
+        earlier = held.where(F.col("batch_id") < batch_id)
         if span.low is not None:
             earlier = earlier.where(F.col("second").between(F.lit(span.low), F.lit(span.high)))
         carried = earlier.groupBy("tenant_id", "second").agg(F.sum("logs").alias("logs"))
         judged = admission.rate_limit(batch, limit, carried=carried)
         outputs.write_index(judged, table_path, batch_id=batch_id)
-        outputs.write_index(counts, totals_path, batch_id=batch_id)
 
     return write
 

@@ -90,6 +90,13 @@ class PieceModel:
                     keys.append(a * int(self.width) + b)
                     ranks.append(rank_of[scores[i]])
                     joined.append(i)
+        # pieces of spaces only that all rank the same, behind every other piece: runs of spaces then merge last and alone
+        blank = {i: len(p) for p, i in self.normal.items() if not p.strip(SPACE)}
+        last = max(ranks, default=0)
+        mixed = any(SPACE * 2 in p and p.strip(SPACE) for p in self.normal)
+        self.runs_last = not mixed and all((r == last) == (i in blank) for i, r in zip(joined, ranks))
+        self.blank_sizes = set(blank.values())
+        self.longest_blank = max(self.blank_sizes, default=0)
         self._tables(np.array(keys, dtype=np.int64), np.array(ranks, dtype=np.int64), np.array(joined, dtype=np.int64))
         self.of_char = np.full(0x110000, self.unknown, dtype=np.int32)
         for piece, i in self.normal.items():
@@ -163,6 +170,33 @@ class PieceModel:
         order = np.argsort(chars, kind="stable")
         return self._packed(symbols[order], chars[order], points, lengths)
 
+    def _run_sizes(self, n: int) -> list[int]:
+        """Sizes of the pieces of n spaces: of pairs that rank the same the leftmost is merged first."""
+        held: list[int] = []
+        for _ in range(n):
+            held.append(1)
+            while len(held) > 1 and held[-2] + held[-1] in self.blank_sizes:
+                held[-2:] = [held[-2] + held[-1]]
+        return held
+
+    def _run(self, n: int) -> bytes:
+        """Packed ids of n spaces. A piece of the greatest size is never merged again, so what follows it merges alone."""
+        most = self.longest_blank
+        whole = self._run_sizes(most) == [most]
+        sizes = [most] * (n // most) + self._run_sizes(n % most) if whole else self._run_sizes(n)
+        return np.array([self.normal[SPACE * k] for k in sizes], dtype="<u4").tobytes()
+
+    def merge_parts(self, parts: list[str]) -> list[bytes]:
+        """Packed ids of each part; of a run of spaces in front only the last merges with the word."""
+        if not self.runs_last:
+            return self.merge_words(parts)
+        spaces = [len(p) - len(p.lstrip(SPACE)) for p in parts]
+        ids = self.merge_words([p[max(k - 1, 0) :] for p, k in zip(parts, spaces)])
+        one = np.array([self.normal.get(SPACE, 0)], dtype="<u4").tobytes()
+        return [
+            x if k < 2 else self._run(k) + x[4:] if x[:4] == one else self._run(k - 1) + x for x, k in zip(ids, spaces)
+        ]
+
     def _leftmost(self, hit: np.ndarray, symbol: np.ndarray, word: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Places merged in this round: not overlapping, from the left, up to the first whose new pair would go next."""
         run = np.cumsum(np.concatenate([[True], hit[1:] != hit[:-1] + 1])) - 1
@@ -228,7 +262,7 @@ class PieceModel:
                 self.cache[part] = ids
         for start, stop in text_words.pieces(map(len, new), 1 << 17):
             run = new[start:stop]
-            self.cache.update(zip(run, self.merge_words([p[1:] if p.startswith(PLAIN) else SPACE + p for p in run])))
+            self.cache.update(zip(run, self.merge_parts([p[1:] if p.startswith(PLAIN) else SPACE + p for p in run])))
         head = np.array([self.begin], dtype="<u4").tobytes() if begin else b""
         tail = np.array([self.end], dtype="<u4").tobytes() if end else b""
         get = self.cache.__getitem__

@@ -62,3 +62,29 @@ def test_rows(spark, library):
     assert got[0].ids_sha256 == hashlib.sha256(ids).hexdigest() and got[0].n_tokens == len(ids) // 4
     assert got[3].n_tokens == 2 and got[3].decoded_sha256 == hashlib.sha256(b"").hexdigest()
     assert pieces.digests(df.limit(0), pieces.read_model(PATH)).collect() == []
+
+
+def test_long_runs_of_any_symbol(model, library):
+    """Time grows with the run, not with its square."""
+    import time
+
+    assert model.runs_last
+    r = random.Random(5)
+    runs = [" " * n for n in range(1, 120)] + [" " * n + w for n in (2, 3, 15, 16, 17, 31, 33) for w in ("x", "the", "日", "😀", "\n", "-")]
+    runs += ["".join(r.choice([" " * r.randint(1, 40), " ", "a", "foo", "\n", "é", "日", "▁", "-"]) for _ in range(8)) for _ in range(500)]
+    runs += [c * n for c in "a-=_.0#*~é日😀\n\t\x00" for n in (7, 1000)]
+    for text in runs:
+        assert np.frombuffer(model.encode([text], False, False)[0], "<u4").tolist() == library.encode(text), repr(text[:60])
+    for c in " a-=_.0é\n\t":
+        text = c * 100_000
+        started = time.process_time()
+        got = model.encode([text], False, False)[0]
+        assert time.process_time() - started < 2 and np.frombuffer(got, "<u4").tolist() == library.encode(text), repr(c)
+
+
+def test_runs_that_do_not_merge_last(model, library, monkeypatch):
+    monkeypatch.setattr(model, "runs_last", False)
+    monkeypatch.setattr(model, "cache", {})
+    monkeypatch.setattr(model, "older", {})
+    for text in (" " * 50, "a" + " " * 33 + "b", "  the"):
+        assert np.frombuffer(model.encode([text], False, False)[0], "<u4").tolist() == library.encode(text)

@@ -90,7 +90,9 @@ class Domains:
 
     def posteriors(self, docs: DataFrame) -> DataFrame:
         """The rows with `n_tokens` and `posteriors`, an array in the order of `names`."""
-        rows = self._vectors(docs.drop("n_tokens", "posteriors")).withColumn("n_tokens", F.size("_tokens").cast("long"))
+        kept = [c for c in docs.columns if c not in ("n_tokens", "posteriors")]
+        # columns of the caller are kept inside one, so that none can clash
+        rows = self._vectors(docs.select(F.struct(*kept).alias("row"), "text")).withColumn("n_tokens", F.size("_tokens").cast("long"))
         if self.model is None:
             even = F.array(*[F.lit(1.0 / len(self.names)) for _ in self.names]).cast("array<double>")
             rows = rows.withColumn("posteriors", even)
@@ -98,7 +100,7 @@ class Domains:
             given = vector_to_array("_probability")
             padded = F.concat(given, F.array_repeat(F.lit(0.0), len(self.names) - self.model.numClasses))
             rows = self.model.transform(rows).withColumn("posteriors", padded)
-        return rows.select(*[c for c in docs.columns if c not in ("n_tokens", "posteriors")], "n_tokens", "posteriors")
+        return rows.select("row.*", "n_tokens", "posteriors")
 
 
 def _rate(steps: list[list[float]]) -> Column:

@@ -85,3 +85,15 @@ def test_without_labels_and_empty(spark):
     with pytest.raises(ValueError):
         many = spark.range(100).select("id", F.col("id").cast("string").alias("domain")).withColumnRenamed("id", "doc_id")
         mixing.Domains(docs, many)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs, labels, _ = _docs(spark, 60)
+    names = ["_text", "_tokens", "_vector", "_probability", "_raw", "row", "posteriors", "n_tokens", "copies"]
+    clashing = docs.drop("rate").withColumns({c: F.lit(f"of the caller: {c}") for c in names})
+    domains = mixing.Domains(clashing, labels)
+    got = mixing.mixed(clashing, domains, scale={"a": 1.0}).collect()
+    assert len(got) == docs.count()
+    assert all(r[c] == f"of the caller: {c}" for r in got for c in names[:6])
+    want = {(r.doc_id, r.text): (r.n_tokens, r.rate) for r in mixing.mixed(docs, mixing.Domains(docs, labels), scale={"a": 1.0}).collect()}
+    assert {(r.doc_id, r.text): (r.n_tokens, r.rate) for r in got} == want

@@ -1,20 +1,23 @@
 """Language-model scoring with Katz backoff.
 
-Tables: words with their counts, and word pairs with counts of `min_pairs` or more (rarer pairs are left to the backoff;
-the query keeps all, with 1), both discounted after Good and Turing up to MAX_DISCOUNTED. A context's backoff weight is what its discounted pairs leave,
-divided by what the words that do not follow it have among the single words, so all probabilities after a context add up
-to 1; the words' own discounts leave the mass of the one unknown word.
+A gram of level L is a context of L - 1 words and the word after it; before a text stand L - 1 START words, after it one END.
+Counts are discounted after Good and Turing up to MAX_DISCOUNTED, at every level; no gram is left out. A context's backoff
+weight is what its discounted grams leave, divided by what the words that do not follow it have one level below, so all
+probabilities after a context add up to 1; the words' own discounts leave the mass of the one unknown word.
 
-    P(w | h) = d r / C(h)        if the pair h w has r >= min_pairs counts
-             = a(h) P(w)         else, with P(w) the discounted word, or the unknown word
+    P(w | h) = d r / C(h)        if the gram h w has r counts
+             = a(h) P(w | h')    else, with h' the context without its first word, and a(h) = 1 for an unseen context;
+                                 without context the discounted word, or the unknown word
 
-A text's score takes the second line for every token and, for the pairs in the table, adds the difference to the first.
-So a text asks the word table once per distinct word and the pair table once per distinct pair. Counts and questions are
-gathered for many texts in one task and sent to buckets of the tables as packed arrays; a bucket is one group, and there
-are as many buckets as shuffle partitions, so that a bucket stays as small as a partition. A frequent word or pair is one
-entry per task, whatever the number of its tokens.
+Tables: one per level, a packed row per bucket, with contexts, their weights, the words after them and their counts. A bucket
+has whole contexts; contexts that are frequent (known from the table below, at most 64 for each bucket) have their grams
+spread over all buckets, and their few sums are added up. A table asks the one below for the probabilities that its weights
+need, once per bucket and gram. The recursion is unfolded per level: a seen gram adds log P(w | h) - log P(w | h'), an unseen
+one log a(h), so a text asks every level once per distinct gram and adds up. Counts and questions are gathered for many
+texts in one task and sent as packed arrays; a frequent gram is one entry per task. The number of buckets follows the size of
+the texts, and texts are scored in ROUNDS parts, one after the other, which bounds what is shuffled at a time.
 
-Words are told apart by 64-bit hashes.
+Words and grams are told apart by 64-bit hashes.
 
 Cases: a null text is empty and has the end token only. A null id counts as the empty text where it is hashed. Rows equal
 in id and text get equal scores. Without training texts every token is the unknown word, with probability 1. Discounts
@@ -36,41 +39,56 @@ from loglathe.llm import words
 from loglathe.llm.linking import discard, stored
 
 MAX_DISCOUNTED = 5
-MIN_PAIRS = 2  # unless told otherwise, pairs with fewer counts are not stored
+ORDER = 2  # levels, unless told otherwise
+ROUNDS = 2  # parts of the texts scored one after the other
 TASK_BYTES = 4 << 20  # text whose counts are gathered in one go
+BUCKET_BYTES = 16 << 20  # text per bucket of a table
 START, END = (int(v) for v in words.mix(np.array([20_001, 20_002], dtype=np.uint64)).view(np.int64))
 
 _BLOBS = "bucket int, blob binary"
-_COUNTS = "level int, bucket int, h long, w long, n long"
+_SENT = "bucket int, source int, blob binary"
+_NONE = np.zeros(0, np.int64)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
 
 
-def pair_key(h, w):
-    """64-bit key of a pair: one hash against the other, rotated by one bit."""
-    h, w = h.view(np.uint64), w.view(np.uint64)
-    return (h ^ (w << np.uint64(1) | w >> np.uint64(63))).view(np.int64)
+def gram_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit key of a context and the word after it; it is also the key of the two as a longer context."""
+    w = w.view(np.uint64)
+    return (words.mix(h.view(np.uint64)) ^ (w << np.uint64(1) | w >> np.uint64(63))).view(np.int64)
 
 
-def pair_key_column(h: str, w: str) -> Column:
-    turned = F.shiftleft(F.col(w), 1).bitwiseOR(F.shiftrightunsigned(F.col(w), 63))
-    return F.col(h).bitwiseXOR(turned)
+def _starts(length: int) -> int:
+    """Key of a context of START words only."""
+    key = np.array([START])
+    for _ in range(length - 1):
+        key = gram_key(key, np.array([START]))
+    return int(key[0])
 
 
-def token_arrays(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token, the token before it, and text number; every text ends with END and begins after START."""
+def token_arrays(texts: list[bytes], level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token, context of level - 1 words, the context without its first word (0 if it has one or none), and text number."""
     found = words.find_words(texts, lower=True)
     n_texts = len(texts)
     hashes = words.word_hashes(found).view(np.int64)
     token = np.empty(len(hashes) + n_texts, dtype=np.int64)
-    before = np.empty_like(token)
     token[np.arange(len(hashes)) + found.doc] = hashes
     token[found.first[1:] + np.arange(n_texts)] = END
-    before[1:] = token[:-1]
-    before[found.first[:-1] + np.arange(n_texts)] = START
-    return token, before, np.repeat(np.arange(n_texts), found.counts + 1)
+    first = found.first[:-1] + np.arange(n_texts)
+
+    def before(keys: np.ndarray, at_start: int) -> np.ndarray:
+        out = np.empty_like(keys)
+        out[1:] = keys[:-1]
+        out[first] = at_start
+        return out
+
+    context, shorter = np.zeros_like(token), np.zeros_like(token)
+    for length in range(1, level):
+        last = before(token, START)
+        shorter, context = context, last if length == 1 else gram_key(before(context, _starts(length - 1)), last)
+    return token, context, shorter, np.repeat(np.arange(n_texts), found.counts + 1)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -95,103 +113,124 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _planes(sorted_keys: np.ndarray) -> np.ndarray:
-    """Steps between ascending keys, byte by byte: the upper bytes are zeros, which the shuffle compresses away."""
-    steps = np.diff(sorted_keys.view(np.uint64), prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).ravel()
+def _planes(values: np.ndarray, steps: bool = True) -> np.ndarray:
+    """Steps between ascending keys (or the values), byte by byte: the upper bytes are zeros, which the shuffle compresses."""
+    v = values.view(np.uint64)
+    v = np.diff(v, prepend=np.uint64(0)) if steps else v
+    return np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def _from_planes(planes: np.ndarray, steps: bool = True) -> np.ndarray:
+    v = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
+    return (np.cumsum(v, dtype=np.uint64) if steps else v).view(np.int64)
+
+
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows change."""
+    new = np.zeros(len(columns[0]), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
-def _from_planes(planes: np.ndarray) -> np.ndarray:
-    steps = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64).view(np.int64)
+def _runs(edge: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(edge, n))
+
+
+def _inside(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each asked key among the ascending keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
 
 
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts the keys, and where each distinct key begins in it."""
-    order = np.argsort(keys)
-    sorted_keys = keys[order]
-    return order, np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(keys) else np.zeros(0, int)
+def _bucket(h: np.ndarray, w: np.ndarray, level: int, hot: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of a gram: of the word, of the context, or of both where the context is frequent."""
+    if level == 1:
+        spread = w.view(np.uint64)
+    else:
+        spread = np.where(_inside(hot, h)[1], words.mix(gram_key(h, w).view(np.uint64)), words.mix(h.view(np.uint64)))
+    return (spread % np.uint64(n)).astype(np.int64)
 
 
-def _batches(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
+def _dealt(buckets: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of each bucket that has any, in order."""
+    order = np.argsort(buckets, kind="stable")
+    ends = np.searchsorted(buckets[order], np.arange(n + 1))
+    for b in np.flatnonzero(np.diff(ends)):
+        yield int(b), order[ends[b] : ends[b + 1]]
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
     texts = words.as_bytes(batch.column("text"))
     for start, stop in words.pieces(map(len, texts), TASK_BYTES):
         yield start, stop, texts[start:stop]
 
 
-def _dealt(buckets: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
-    """Ranges of rows, sorted by bucket."""
-    ends = np.searchsorted(buckets, np.arange(n + 1))
-    for b in np.flatnonzero(np.diff(ends)):
-        yield int(b), int(ends[b]), int(ends[b + 1])
+def _rows(numbers: list, blobs: list) -> pa.Table:
+    columns = [pa.array(numbers, type=pa.int32()), pa.array(blobs, type=pa.binary())]
+    return pa.Table.from_arrays(columns, names=["bucket", "blob"])
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    """Rows of bucket, source and blob."""
+    columns = list(zip(*rows)) or [(), (), ()]
+    types = (pa.int32(), pa.int32(), pa.binary())
+    return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["bucket", "source", "blob"])
 
 
-def _count_blobs(n: int):
-    """Distinct tokens and pairs of a task's texts with their counts: word buckets are 0..n-1, pair buckets n..2n-1."""
+def _blobs(table: pa.Table) -> list[list[np.ndarray]]:
+    return [_unpack(blob) for blob in table.column("blob").to_pylist()]
+
+
+def _count(level: int, hot: np.ndarray, n: int):
+    """Distinct grams of a task's texts with their counts, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, texts in _batches(batch):
-                token, before, _ = token_arrays(texts)
+            for _, _, texts in _texts(batch):
+                w, h, s, _ = token_arrays(texts, level)
+                order = np.lexsort((w, h))
+                w, h, s = w[order], h[order], s[order]
+                edge = _edges(w, h)
+                counts = _runs(edge, len(w))
+                w, h, s = w[edge], h[edge], s[edge]
                 numbers, blobs = [], []
-                for level, keys in ((0, token), (1, pair_key(before, token))):
-                    order, begin = _grouped(keys)
-                    counts = np.diff(np.append(begin, len(keys)))
-                    one = order[begin]
-                    bucket = np.mod(keys[one], n)
-                    by = np.argsort(bucket, kind="stable")
-                    one, counts = one[by], counts[by]
-                    for b, low, high in _dealt(bucket[by], n):
-                        rows = one[low:high]
-                        if level:  # sorted by context, so that a context is written once
-                            turn = np.argsort(before[rows], kind="stable")
-                            rows, count = rows[turn], counts[low:high][turn]
-                            edge = np.flatnonzero(np.concatenate([[True], before[rows][1:] != before[rows][:-1]]))
-                            blob = _pack(before[rows][edge], np.diff(np.append(edge, len(rows))), token[rows], count)
-                        else:
-                            blob = _pack(token[rows], counts[low:high])
-                        numbers.append(b + level * n)
-                        blobs.append(blob)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers, type=pa.int32()), pa.array(blobs, type=pa.binary())], names=["bucket", "blob"]
-                )
+                for b, rows in _dealt(_bucket(h, w, level, hot, n), n):
+                    at = rows[_edges(h[rows])]
+                    runs = _runs(_edges(h[rows]), len(rows))
+                    blobs.append(_pack(_planes(h[at]), s[at], runs, w[rows], counts[rows]))
+                    numbers.append(b)
+                yield from _rows(numbers, blobs).to_batches()
 
     return run
 
 
-def _merge_counts(n: int, min_pairs: int):
-    """Counts of one bucket: level 0 words, level 1 pairs of min_pairs and more, and at level 10 and 11 how many words and
-    pairs have w counts."""
+def _merge(level: int, large: int):
+    """One bucket's grams. A row with source 0 has the bucket of the table, one with source 1 has its numbers: how many grams
+    have r counts, all counts, all grams, and the grams of `large` counts and more."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
-        level = int(bucket >= n)
-        h, w, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for blob in table.column("blob").to_pylist():
-            if level:
-                context, runs, token, count = _unpack(blob)
-                h.append(np.repeat(context, runs))
-            else:
-                token, count = _unpack(blob)
-                h.append(np.zeros(len(token), np.int64))
-            w.append(token)
-            counts.append(count.astype(np.int64))
-        h, w, counts = np.concatenate(h), np.concatenate(w), np.concatenate(counts)
-        order, begin = _grouped(pair_key(h, w) if level else w)
-        total = np.add.reduceat(counts[order], begin) if len(begin) else np.zeros(0, np.int64)
-        one = order[begin]
-        rare, types = np.unique(total[total <= MAX_DISCOUNTED + 1], return_counts=True)
-        keep = total >= (min_pairs if level else 1)
-        one, total = one[keep], total[keep]
-        zeros = np.zeros(len(rare), np.int64)
-        columns = [
-            np.concatenate([np.full(len(one), level), np.full(len(rare), 10 + level)]).astype(np.int32),
-            np.full(len(one) + len(rare), bucket % n, dtype=np.int32),
-            np.concatenate([h[one], zeros]),
-            np.concatenate([w[one], rare]),
-            np.concatenate([total, types]),
-        ]
-        return pa.Table.from_arrays([pa.array(c) for c in columns], names=["level", "bucket", "h", "w", "n"])
+        found = _blobs(table)
+        h = np.concatenate([np.repeat(_from_planes(f[0]), f[2]) for f in found])
+        s = np.concatenate([np.repeat(f[1], f[2]) for f in found]).astype(np.int64)
+        w = np.concatenate([f[3] for f in found]).astype(np.int64)
+        c = np.concatenate([f[4].astype(np.int64) for f in found])
+        order = np.lexsort((w, h))
+        h, s, w, c = h[order], s[order], w[order], c[order]
+        one = _edges(h, w)
+        r = np.add.reduceat(c, one)
+        h, s, w = h[one], s[one], w[one]
+        edge = _edges(h)
+        own, place = np.unique(w, return_inverse=True)
+        blob = _pack(_planes(h[edge]), s[edge], _runs(edge, len(h)), _planes(own), _planes(place, steps=False), r)
+        rare, types = np.unique(r[r <= MAX_DISCOUNTED + 1], return_counts=True)
+        frequent = r >= large
+        keys = (w if level == 1 else gram_key(h, w))[frequent]
+        b = key[0].as_py()
+        return _sent([(b, 0, blob), (b, 1, _pack(rare, types, np.array([r.sum(), len(r)]), keys))])
 
     return run
 
@@ -213,233 +252,336 @@ def discounts(types: dict[int, int]) -> list[float]:
 
 
 @dataclass
-class Model:
-    """Stored tables of a trained model and its few numbers."""
+class Level:
+    """A stored table and its few numbers."""
 
+    level: int
     buckets: int
-    words: DataFrame  # bucket, w, c, p, log_p, log_a
-    pairs: DataFrame  # bucket, k, more
-    tokens: int
-    types: int
-    unknown: float  # log10 probability of the unknown word
-    end: tuple[int, float]  # count and log10 probability of END
-    start: float  # log10 backoff weight after START
+    factors: np.ndarray  # discounts of the counts 0..MAX_DISCOUNTED
+    hot: np.ndarray  # ascending keys of the frequent contexts
+    weights: np.ndarray  # for each of them: counts, discounted counts and lower probability of what follows it
+    scale: float = 1.0  # 1 / tokens, for words
+    table: DataFrame | None = None  # bucket, source 0, blob
 
+    def discounted(self, r: np.ndarray) -> np.ndarray:
+        r = r.astype(np.int64)
+        return np.where(r <= MAX_DISCOUNTED, r * self.factors[np.minimum(r, MAX_DISCOUNTED)], r)
 
-def train(docs: DataFrame, min_pairs: int = MIN_PAIRS) -> Model:
-    """Count the texts and store the tables."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    k = MAX_DISCOUNTED
-    blobs = docs.select("text").mapInArrow(_count_blobs(n), _BLOBS)
-    counted = stored(blobs.groupBy("bucket").applyInArrow(_merge_counts(n, min_pairs), _COUNTS), "counts")
-    sums = counted.where("level >= 10").groupBy("level", "w").agg(F.sum("n").alias("n")).collect()  # 2 (k + 1) rows
-    d_word = discounts({r.w: r.n for r in sums if r.level == 10})
-    d_pair = discounts({r.w: r.n for r in sums if r.level == 11})
-
-    def discounted(count: str, factors: list[float]) -> Column:
-        factor = F.element_at(F.array(*[F.lit(float(d)) for d in factors]), F.least(F.col(count), F.lit(k)).cast("int") + 1)
-        return F.when(F.col(count) <= k, F.col(count) * factor).otherwise(F.col(count).cast("double"))
-
-    single = counted.where("level = 0").select("bucket", "w", F.col("n").alias("c"))
-    total = single.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(discounted("c", d_word)), F.lit(0.0))
-    ).first()
-    tokens, types = int(total[0]), int(total[1])
-    left = 1 - total[2] / tokens if tokens else 1.0
-    scale = 1.0 / max(tokens, 1)
-    if tokens and left < 1e-12:
-        left, scale = 1 / (tokens + 1), 1 / (tokens + 1)
-    p = single.withColumn("p", discounted("c", d_word) * F.lit(scale))
-
-    pairs = counted.where("level = 1").select("h", "w", discounted("n", d_pair).alias("m"))
-    with_p = stored(pairs.join(p.select("w", "p"), "w"), "pairs")
-    begun = docs.agg(F.count("*")).first()[0]
-    contexts = p.select(F.col("w").alias("h"), F.col("c").alias("seen")).union(
-        spark.range(1).select(F.lit(START).alias("h"), F.lit(begun).cast("long").alias("seen"))
-    )
-    sums = with_p.groupBy("h").agg(F.sum("m").alias("m"), F.sum("p").alias("p")).join(contexts, "h")
-    rest = 1 - F.col("m") / F.col("seen")
-    sums = sums.withColumn("g", F.when(rest < 1e-12, F.col("seen") / (F.col("seen") + 1)).otherwise(F.lit(1.0)))
-    rest = 1 - F.col("g") * F.col("m") / F.col("seen")
-    weights = stored(
-        sums.select("h", F.log10(rest / (1 - F.col("p"))).alias("log_a"), (F.col("g") / F.col("seen")).alias("per")),
-        "weights",
-    )
-    more = F.log10(F.col("per") * F.col("m")) - F.col("log_a") - F.log10("p")
-    key = pair_key_column("h", "w")
-    seen = stored(
-        with_p.join(weights, "h").select(F.pmod(key, F.lit(n)).cast("int").alias("bucket"), key.alias("k"), more.alias("more")),
-        "seen",
-    )
-    log_a = F.coalesce("log_a", F.lit(0.0))
-    table = p.join(weights.select(F.col("h").alias("w"), "log_a"), "w", "left").select(
-        "bucket", "w", "c", "p", F.log10("p").alias("log_p"), log_a.alias("log_a")
-    )
-    table = stored(table, "words")
-    end = table.where(F.col("w") == END).select("c", "log_p").first()
-    start = weights.where(F.col("h") == START).select("log_a").first()
-    discard(counted, with_p, weights)
-    unknown = float(np.log10(left))
-    return Model(n, table, seen, tokens, types, unknown, tuple(end) if end else (0, unknown), start[0] if start else 0.0)
+    def numbers(self) -> Level:
+        """Without the table, as tasks get it."""
+        return Level(self.level, self.buckets, self.factors, self.hot, self.weights, self.scale)
+
+
+@dataclass
+class Grams:
+    """An unpacked bucket: contexts in ascending order, and words in ascending order after each."""
+
+    h: np.ndarray  # per context
+    s: np.ndarray
+    runs: np.ndarray
+    w: np.ndarray  # per gram
+    r: np.ndarray
+    rest: list[np.ndarray]  # log probability one level below by gram, if it has been asked for
+
+    @staticmethod
+    def read(found: list[np.ndarray]) -> Grams:
+        h, s, runs, own, place, r = found[:6]
+        w = _from_planes(own)[_from_planes(place, steps=False)]
+        return Grams(_from_planes(h), s.astype(np.int64), runs.astype(np.int64), w, r.astype(np.int64), found[6:])
 
+    def context(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.h)), self.runs)
 
-def _ask_blobs(n: int, pairs: bool):
-    """Distinct words (or pairs) of a task's texts, with the texts that have them."""
+
+def _lower_keys(grams: Grams, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams of the level below in a bucket: context, word, and the place of each gram among them."""
+    s = grams.s[grams.context()]
+    order = np.lexsort((grams.w, s))
+    edge = _edges(s[order], grams.w[order])
+    place = np.empty(len(s), np.int64)
+    place[order] = np.repeat(np.arange(len(edge)), _runs(edge, len(s)))
+    return s[order][edge], grams.w[order][edge], place
+
+
+def _ask_below(level: int, below: Level):
+    """A bucket's questions to the table below, by bucket of that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column("key").to_numpy()
-            for start, stop, texts in _batches(batch):
-                token, before, doc = token_arrays(texts)
-                if pairs:
-                    keys = pair_key(before, token)
-                else:
-                    inner = token != END
-                    keys, doc = token[inner], doc[inner]
-                order = np.lexsort((doc, keys))
-                keys, doc = keys[order], doc[order]
-                new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])])) if len(keys) else np.zeros(0, int)
-                count = np.diff(np.append(new, len(keys)))
-                keys, doc = keys[new], doc[new]
-                bucket = np.mod(keys, n)
-                by = np.argsort(bucket, kind="stable")
-                keys, doc, count = keys[by], doc[by], count[by]
-                numbers, blobs = [], []
-                for b, low, high in _dealt(bucket[by], n):
-                    k, d, c = keys[low:high], doc[low:high], count[low:high]
-                    edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                    asking, place = np.unique(d, return_inverse=True)
-                    texts_of = own[start:stop][asking]
-                    numbers.append(b)
-                    blobs.append(_pack(texts_of, _planes(k[edge]), np.diff(np.append(edge, len(k))), place, c))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers, type=pa.int32()), pa.array(blobs, type=pa.binary())], names=["bucket", "blob"]
-                )
+            for source, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+                s, w, _ = _lower_keys(Grams.read(_unpack(blob)), level)
+                to = _bucket(s, w, below.level, below.hot, below.buckets)
+                yield from _sent(
+                    [(b, source, _pack(_planes(s[rows]), _planes(w[rows]))) for b, rows in _dealt(to, below.buckets)]
+                ).to_batches()
 
     return run
 
 
-_PARTS = "key long, score double, base double, known long, n long"
-_PART_TYPES = [pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
+class _Reader:
+    """Answers of one bucket of a table."""
+
+    def __init__(self, right: pa.Table, level: Level):
+        found = _blobs(right)
+        empty = [np.zeros(0, np.uint8), _NONE, _NONE, np.zeros(0, np.uint8), np.zeros(0, np.uint8), _NONE, np.zeros(0, np.uint8), np.zeros(0)]
+        self.level, self.grams = level, Grams.read(found[0] if found else empty)
+        g = self.grams
+        keys = g.w if level.level == 1 else gram_key(np.repeat(g.h, g.runs), g.w)
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        m = level.discounted(g.r)
+        if level.level == 1:
+            self.log_p = np.log10(m * level.scale)
+            return
+        by = g.context()
+        place, below = _from_planes(g.rest[0], steps=False), g.rest[1]
+        self.below = below[place]
+        sums = np.stack([np.bincount(by, v, len(g.h)) for v in (g.r, m, 10**self.below)], axis=1)
+        at, hot = _inside(level.hot, g.h)
+        if hot.any():
+            sums[hot] = level.weights[at[hot]]
+        per, self.log_a = _weights(sums)
+        self.log_p = np.log10(m * per[by])
+
+    def find(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, there = _inside(self.keys, w if self.level.level == 1 else gram_key(h, w))
+        return self.order[at] if len(self.order) else at, there
+
+    def backoff(self, h: np.ndarray) -> np.ndarray:
+        """Log weight of contexts; 0 for those that were never seen."""
+        out = np.zeros(len(h))
+        at, there = _inside(self.grams.h, h)
+        out[there] = self.log_a[at[there]]
+        at, hot = _inside(self.level.hot, h)
+        if hot.any():
+            sums = self.level.weights[at[hot]]
+            out[hot] = np.where(sums[:, 0] > 0, _weights(np.where(sums[:, :1] > 0, sums, [1, 0, 0]))[1], 0)
+        return out
 
 
-def _parts(keys, score, base, known, n) -> pa.Table:
-    columns = [pa.array(c, type=t) for c, t in zip((keys, score, base, known, n), _PART_TYPES)]
-    return pa.Table.from_arrays(columns, names=["key", "score", "base", "known", "n"])
+def _weights(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Factor of a context's discounted counts, and log of its backoff weight."""
+    seen, m, below = sums.T
+    g = np.where(1 - m / seen < 1e-12, seen / (seen + 1), 1.0)
+    return g / seen, np.log10((1 - g * m / seen) / np.maximum(1 - below, 1e-15))
 
 
-def _answers(table: pa.Table, key: str, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row of the (sorted) table for each asked key, and whether it is there."""
-    keys = table.column(key).to_numpy()
-    if not len(keys):
-        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return at, keys[at] == asked
+def _answer_below(below: Level):
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        reader, out = _Reader(right, below), []
+        for source, (s, w) in zip(left.column("source").to_pylist(), _blobs(left)):
+            at, _ = reader.find(_from_planes(s), _from_planes(w))
+            out.append((source, key[0].as_py(), _pack(reader.log_p[at])))
+        return _sent(out)
+
+    return run
 
 
-def _score_words(model_numbers: tuple):
-    tokens, types, unknown = model_numbers
-    floor = np.log10(0.1 / (0.1 * (types + 1) + tokens))
+def _with_answers(level: int, below: Level):
+    """The bucket with the log probability of each distinct lower gram, and the place of each gram among them."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("w")
-        values = [right.column(c).to_numpy() for c in ("c", "log_p", "log_a")]
-        out = []
-        for blob in left.column("blob").to_pylist():
-            texts, asked, runs, place, count = _unpack(blob)
-            asked = _from_planes(asked)
-            at, there = _answers(right, "w", asked)
-            take = [np.where(there, v[at], 0) if len(v) else np.zeros(len(asked)) for v in values]
-            base = np.log10((take[0] + 0.1) / (tokens + 0.1 * (types + 1)))
-            value = np.where(there, take[1] + take[2], unknown)
-            each = lambda v: np.bincount(place, np.repeat(v, runs) * count, len(texts))
-            sums = [each(value), each(np.where(there, base, floor)), each(there.astype(float)), np.bincount(place, count, len(texts))]
-            out.append(_parts(texts, sums[0], sums[1], sums[2].astype(np.int64), sums[3].astype(np.int64)))
-        return pa.concat_tables(out) if out else _parts([], [], [], [], [])
+        blob = left.column("blob")[0].as_py()
+        s, w, place = _lower_keys(Grams.read(_unpack(blob)), level)
+        log_p = np.zeros(len(w))
+        answers = dict(zip(right.column("source").to_pylist(), right.column("blob").to_pylist()))
+        for b, rows in _dealt(_bucket(s, w, below.level, below.hot, below.buckets), below.buckets):
+            log_p[rows] = _unpack(answers[b])[0]
+        return _sent([(key[0].as_py(), 0, blob + _pack(_planes(place, steps=False), log_p))])
 
     return run
 
 
-def _score_pairs(n: int):
-    """Sums of one bucket, packed by part of the texts' keys: a row for each part, not for each text."""
+def _hot_sums(level: Level):
+    """A bucket's share of the sums of frequent contexts: number of the context, counts, discounted counts, lower probability."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                g = Grams.read(_unpack(blob))
+                at, hot = _inside(level.hot, g.h)
+                rows = hot[g.context()]
+                by = at[g.context()][rows]
+                low = 10 ** g.rest[1][_from_planes(g.rest[0], steps=False)[rows]]
+                sums = [np.bincount(by, v, len(level.hot)) for v in (g.r[rows], level.discounted(g.r[rows]), low)]
+                has = np.flatnonzero(sums[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(has), *[pa.array(v[has]) for v in sums]], names=["at", "seen", "m", "below"]
+                )
+
+    return run
+
+
+@dataclass
+class Model:
+    levels: list[Level]
+    tokens: int
+    types: int
+    unknown: float  # log10 probability of the unknown word
+
+
+def _counted(docs: DataFrame, level: int, hot: np.ndarray, n: int, large: int) -> tuple[DataFrame, dict, int, int, np.ndarray]:
+    """Stored counts of a level, the number of grams by count, all counts, all grams, and the keys of frequent grams."""
+    blobs = docs.select("text").mapInArrow(_count(level, hot, n), _BLOBS)
+    table = stored(blobs.groupBy("bucket").applyInArrow(_merge(level, large), _SENT), f"counts-{level}")
+    types, total, grams, frequent = {}, 0, 0, [_NONE]
+    for row in table.where("source = 1").select("blob").collect():  # a few numbers per bucket, at most 64 keys on average
+        rare, number, sums, keys = _unpack(row.blob)
+        for r, k in zip(rare.tolist(), number.tolist()):
+            types[r] = types.get(r, 0) + k
+        total, grams = total + int(sums[0]), grams + int(sums[1])
+        frequent.append(keys.astype(np.int64))
+    return table.where("source = 0"), types, total, grams, np.concatenate(frequent)
+
+
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """Count the texts and store the tables."""
+    spark = docs.sparkSession
+    size, texts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    large = max(1, (size + texts) // (64 * n))  # a text has no more tokens than bytes, and its end
+
+    table, types, tokens, distinct, frequent = _counted(docs, 1, _NONE, n, large)
+    factors = np.array(discounts(types))
+    left = sum((1 - factors[r]) * r * types.get(r, 0) for r in range(1, MAX_DISCOUNTED + 1)) / tokens if tokens else 1.0
+    scale = 1.0 / max(tokens, 1)
+    if tokens and left < 1e-12:
+        left = scale = 1 / (tokens + 1)
+    levels = [Level(1, n, factors, _NONE, np.zeros((0, 3)), scale, table)]
+
+    for level in range(2, order + 1):
+        hot = np.unique(np.append(frequent, _starts(level - 1)))
+        table, types, _, _, frequent = _counted(docs, level, hot, n, large)
+        below = levels[-1].numbers()
+        asked = table.mapInArrow(_ask_below(level, below), _SENT)
+        answered = (
+            asked.groupBy("bucket").cogroup(levels[-1].table.groupBy("bucket")).applyInArrow(_answer_below(below), _SENT)
+        )
+        answers = stored(answered, "answers")
+        full = stored(
+            table.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_with_answers(level, below), _SENT),
+            f"grams-{level}",
+        )
+        discard(table, answers)
+        made = Level(level, n, np.array(discounts(types)), hot, np.zeros((len(hot), 3)), table=full)
+        sums = full.mapInArrow(_hot_sums(made.numbers()), "at long, seen double, m double, below double")
+        for row in sums.groupBy("at").agg(*[F.sum(c).alias(c) for c in ("seen", "m", "below")]).collect():
+            made.weights[row.at] = row.seen, row.m, row.below
+        levels.append(made)
+    return Model(levels, tokens, distinct, float(np.log10(left)))
+
+
+def _ask(level: Level):
+    """Distinct grams of a task's texts, with the texts that have them and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("key").to_numpy()
+            for start, stop, texts in _texts(batch):
+                w, h, _, doc = token_arrays(texts, level.level)
+                order = np.lexsort((w, h))  # stable: texts stay in order
+                w, h, doc = w[order], h[order], doc[order]
+                one = _edges(w, h, doc)
+                count = _runs(one, len(w))
+                w, h, doc = w[one], h[one], doc[one]
+                numbers, blobs = [], []
+                for b, rows in _dealt(_bucket(h, w, level.level, level.hot, level.buckets), level.buckets):
+                    at = rows[_edges(h[rows], w[rows])]
+                    grams = _runs(_edges(h[rows], w[rows]), len(rows))
+                    edge = _edges(h[at])
+                    asking, place = np.unique(doc[rows], return_inverse=True)
+                    parts = (_planes(h[at][edge]), _runs(edge, len(at)), _planes(w[at]), grams, place, count[rows])
+                    numbers.append(b)
+                    blobs.append(_pack(own[start:stop][asking], *parts))
+                yield from _rows(numbers, blobs).to_batches()
+
+    return run
+
+
+def _score(level: Level, tokens: int, types: int, unknown: float):
+    """Sums of the texts over one bucket, packed by part of the texts' keys: a row for each part, not for each text."""
+    n = level.buckets
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.sort_by("k")
-        more = right.column("more").to_numpy()
-        keys, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for blob in left.column("blob").to_pylist():
-            texts, asked, runs, place, count = _unpack(blob)
-            at, there = _answers(right, "k", _from_planes(asked))
-            if there.any():
-                keys.append(texts)
-                sums.append(np.bincount(place, np.repeat(np.where(there, more[at], 0.0), runs) * count, len(texts)))
-        keys, sums = np.concatenate(keys), np.concatenate(sums)
-        part = np.mod(keys, n)
-        by = np.argsort(part, kind="stable")
-        keys, sums, parts = keys[by], sums[by], list(_dealt(part[by], n))
-        blobs = [_pack(keys[low:high], sums[low:high]) for _, low, high in parts]
-        columns = [pa.array([b for b, _, _ in parts], type=pa.int32()), pa.array(blobs, type=pa.binary())]
-        return pa.Table.from_arrays(columns, names=["bucket", "blob"])
+        reader = _Reader(right, level)
+        keys, sums = [np.zeros(0, np.int64)], [[np.zeros(0)] for _ in range(4)]
+        for texts, h, contexts, w, grams, place, count in _blobs(left):
+            h, w = np.repeat(_from_planes(h), contexts), _from_planes(w)
+            at, there = reader.find(h, w)
+            at = at[there]
+            values = [np.zeros(len(w)) for _ in range(4)]
+            if level.level == 1:
+                c = np.zeros(len(w))
+                c[there] = reader.grams.r[at]
+                values[0][:] = unknown
+                values[0][there] = reader.log_p[at]
+                values[1] = np.log10((c + 0.1) / (tokens + 0.1 * (types + 1)))
+                values[2] = there.astype(float)
+                values[3] = np.ones(len(w))
+            else:
+                values[0] = reader.backoff(h)
+                values[0][there] = reader.log_p[at] - reader.below[at]
+            keys.append(texts.astype(np.int64))
+            for out, v in zip(sums, values):
+                out.append(np.bincount(place, np.repeat(v, grams) * count, len(texts)))
+        keys, sums = np.concatenate(keys), [np.concatenate(s) for s in sums]
+        keys, place = np.unique(keys, return_inverse=True)
+        sums = [np.bincount(place, s, len(keys)) for s in sums]
+        whole = [sums[2].astype(np.int64), sums[3].astype(np.int64)]
+        base = sums[1] if level.level == 1 else np.zeros(len(keys), np.int64)
+        blobs = [(p, _pack(keys[i], sums[0][i], base[i], whole[0][i], whole[1][i])) for p, i in _dealt(np.mod(keys, n), n)]
+        return _rows([p for p, _ in blobs], [b for _, b in blobs])
 
     return run
 
 
-def _add_pairs(key: tuple, table: pa.Table) -> pa.Table:
-    """Sums of the texts of one part over all buckets."""
-    found = [_unpack(blob) for blob in table.column("blob").to_pylist()]
-    keys, place = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-    more = np.bincount(place, np.concatenate([f[1] for f in found]), len(keys))
-    return pa.Table.from_arrays([pa.array(keys.astype(np.int64)), pa.array(more)], names=["key", "more"])
+def _add(key: tuple, table: pa.Table) -> pa.Table:
+    """Sums of the texts of one part over all buckets and levels."""
+    found = _blobs(table)
+    keys, place = np.unique(np.concatenate([f[0] for f in found]).astype(np.int64), return_inverse=True)
+    sums = [np.bincount(place, np.concatenate([f[i] for f in found]), len(keys)) for i in (1, 2, 3, 4)]
+    columns = [pa.array(keys), pa.array(sums[0]), pa.array(sums[1]), *[pa.array(s.astype(np.int64)) for s in sums[2:]]]
+    return pa.Table.from_arrays(columns, names=["key", "score", "base", "known", "n"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: tokens, known tokens, and log10 probability of the text by the smoothed words alone and by the model."""
     key = F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))
     rows = docs.select(key.alias("key"), "text")
-    n = model.buckets
-
-    def asked(pairs: bool) -> DataFrame:
-        return rows.mapInArrow(_ask_blobs(n, pairs), _BLOBS)
-
-    numbers = (model.tokens, model.types, model.unknown)
-    by_word = (
-        asked(False)
-        .groupBy("bucket")
-        .cogroup(model.words.select("bucket", "w", "c", "log_p", "log_a").groupBy("bucket"))
-        .applyInArrow(_score_words(numbers), _PARTS)
-    )
-    by_pair = asked(True).groupBy("bucket").cogroup(model.pairs.groupBy("bucket")).applyInArrow(_score_pairs(n), _BLOBS)
-    # one after the other: the packed questions of the first are gone before those of the second are written
-    pair_sums = stored(by_pair.groupBy("bucket").applyInArrow(_add_pairs, "key long, more double"), "pair-sums")
-    word_sums = by_word.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("score", "base", "known", "n")])
-    word_sums = stored(word_sums, "word-sums")
-    # a text without words asks for no word, but for the pair of start and end
-    total = F.coalesce("score", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))
-    sums = word_sums.join(pair_sums, "key", "full").withColumn("score", total)
+    sums = None
+    for turn in range(ROUNDS):  # one after the other: the questions of one round are gone before the next one's are written
+        part = rows.where(F.pmod("key", F.lit(ROUNDS)) == turn)
+        for level in model.levels:
+            run = _score(level.numbers(), model.tokens, model.types, model.unknown)
+            asked = part.mapInArrow(_ask(level.numbers()), _BLOBS).groupBy("bucket")
+            found = asked.cogroup(level.table.select("bucket", "blob").groupBy("bucket")).applyInArrow(run, _BLOBS)
+            added = stored(
+                found.groupBy("bucket").applyInArrow(_add, "key long, score double, base double, known long, n long"), "sums"
+            )
+            sums = added if sums is None else sums.union(added)
+    sums = sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("score", "base", "known", "n")])
     # equal rows share a key: their sums are shared out again
     ids = docs.select(F.col("doc_id"), key.alias("key"))
     copies = ids.groupBy("key").agg(F.count("*").alias("copies"), F.first("doc_id").alias("doc_id"))
-    joined = copies.join(sums, "key", "left")
+    joined = copies.join(sums, "key")
 
     def each(c: str) -> Column:
-        return F.coalesce(F.col(c), F.lit(0)) / F.col("copies")
+        return F.col(c) / F.col("copies")
 
-    end_base = float(np.log10((model.end[0] + 0.1) / (model.tokens + 0.1 * (model.types + 1))))
     return joined.select(
         "doc_id",
-        (each("n") + 1).cast("long").alias("n_tokens"),
-        (each("known") + int(model.end[0] > 0)).cast("long").alias("n_known"),
-        (each("base") + F.lit(end_base)).alias("base_score"),
-        (each("score") + F.lit(float(model.end[1] + model.start))).alias("score"),
+        each("n").cast("long").alias("n_tokens"),
+        each("known").cast("long").alias("n_known"),
+        each("base").alias("base_score"),
+        each("score").alias("score"),
         F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy"),
     ).drop("_copy")
 
 
-def scored(docs: DataFrame, min_pairs: int = MIN_PAIRS) -> DataFrame:
+def scored(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Learn from the texts that are not held out, and score all."""
     docs = docs.select("doc_id", "text")
-    model = train(docs.where(~held_out(F.col("doc_id"))), min_pairs)
+    model = train(docs.where(~held_out(F.col("doc_id"))), order)
     return score(docs, model).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

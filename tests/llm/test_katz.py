@@ -26,44 +26,58 @@ def _tokens(text):
 
 
 class Plain:
-    def __init__(self, texts):
-        self.c, self.pairs, self.context = Counter(), Counter(), Counter()
+    def __init__(self, texts, order=2):
+        self.order, self.grams = order, [Counter() for _ in range(order + 1)]
         for t in texts:
-            seq = ["<s>", *_tokens(t)]
-            self.c.update(seq[1:])
-            self.pairs.update(zip(seq, seq[1:]))
-            self.context.update(seq[:-1])
+            seq = ["<s>"] * (order - 1) + _tokens(t)
+            for i in range(order - 1, len(seq)):
+                for level in range(1, order + 1):
+                    self.grams[level][tuple(seq[i - level + 1 : i + 1])] += 1
+        self.c = Counter({g[0]: r for g, r in self.grams[1].items()})
         self.n, self.v = sum(self.c.values()), len(self.c)
-        d1 = katz.discounts(Counter(self.c.values()))
-        self.d2 = katz.discounts(Counter(self.pairs.values()))
-        self.p = {w: (d1[c] if c <= 5 else 1) * c / self.n for w, c in self.c.items()}
+        self.d = [None, *[katz.discounts(Counter(g.values())) for g in self.grams[1:]]]
+        self.p = {w: (self.d[1][c] if c <= 5 else 1) * c / self.n for w, c in self.c.items()}
         self.unknown = 1 - sum(self.p.values())
+        self.after = {}
+        for level in range(2, order + 1):
+            for g, r in self.grams[level].items():
+                self.after.setdefault(g[:-1], {})[g[-1]] = r
+        self.memo = {}
 
     def seen(self, h):
-        n = self.context[h]
-        found = {w: (self.d2[r] if r <= 5 else 1) * r / n for (g, w), r in self.pairs.items() if g == h and r >= 2}
-        if 1 - sum(found.values()) < 1e-12:  # nothing left for the backoff
+        if h in self.memo:
+            return self.memo[h]
+        after = self.after.get(h, {})
+        n, d = sum(after.values()), self.d[len(h) + 1]
+        found = {w: (d[r] if r <= 5 else 1) * r / n for w, r in after.items()}
+        if found and 1 - sum(found.values()) < 1e-12:  # nothing left for the backoff
             found = {w: p * n / (n + 1) for w, p in found.items()}
-        return found
+        a = (1 - sum(found.values())) / (1 - sum(self.prob(h[1:], x) for x in found)) if found else 1
+        self.memo[h] = found, a
+        return found, a
 
     def prob(self, h, w):
-        seen = self.seen(h)
-        if w in seen:
-            return seen[w]
-        a = (1 - sum(seen.values())) / (1 - sum(self.p[x] for x in seen)) if seen else 1
-        return a * self.p.get(w, self.unknown)
+        if not h:
+            return self.p.get(w, self.unknown)
+        found, a = self.seen(h)
+        return found[w] if w in found else a * self.prob(h[1:], w)
+
+    def score(self, text):
+        seq, before = _tokens(text), self.order - 1
+        padded = ["<s>"] * before + seq
+        return sum(math.log10(self.prob(tuple(padded[i : i + before]), w)) for i, w in enumerate(seq))
 
 
 def _held(i):
     return zlib.crc32(str(i).encode()) % 10 == 0
 
 
-def test_against_plain_model(spark):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_against_plain_model(spark, order):
     rows = _docs()
-    plain = Plain([t for i, t, *_ in rows if not _held(i)])
-    got = {r.doc_id: r for r in katz.scored(spark.createDataFrame(rows, SCHEMA)).collect()}
+    plain = Plain([t for i, t, *_ in rows if not _held(i)], order)
+    got = {r.doc_id: r for r in katz.scored(spark.createDataFrame(rows, SCHEMA), order).collect()}
     assert len(got) == len(rows)
-    memo = {}
     for i, text, *_ in rows:
         seq = _tokens(text)
         row = got[i]
@@ -71,17 +85,14 @@ def test_against_plain_model(spark):
         assert row.n_known == sum(plain.c[w] > 0 for w in seq)
         base = sum(math.log10((plain.c[w] + 0.1) / (plain.n + 0.1 * (plain.v + 1))) for w in seq)
         assert row.base_score == pytest.approx(base, abs=1e-9)
-        want = 0
-        for h, w in zip(["<s>", *seq], seq):
-            if (h, w) not in memo:
-                memo[h, w] = math.log10(plain.prob(h, w))
-            want += memo[h, w]
-        assert row.score == pytest.approx(want, abs=1e-7)
+        assert row.score == pytest.approx(plain.score(text), abs=1e-7)
 
 
-def test_probabilities_add_up_to_one():
-    plain = Plain([t for _, t, *_ in _docs()])
-    for h in ["<s>", "c1", "c7", "c20", "never"]:
+@pytest.mark.parametrize("order", [2, 3])
+def test_probabilities_add_up_to_one(order):
+    plain = Plain([t for _, t, *_ in _docs()], order)
+    pairs = [h for h in plain.after if len(h) == order - 1][:20]
+    for h in [("<s>",) * (order - 1), ("never",) * (order - 1), *pairs]:
         total = sum(plain.prob(h, w) for w in plain.c) + plain.prob(h, "zzzz")
         assert total == pytest.approx(1)
 
@@ -116,27 +127,25 @@ def test_discounts():
     assert katz.discounts({}) == [1.0] * 6 and katz.discounts({1: 5}) == [1.0] * 6
 
 
-class PlainAllPairs(Plain):
-    def seen(self, h):
-        n = self.context[h]
-        found = {w: (self.d2[r] if r <= 5 else 1) * r / n for (g, w), r in self.pairs.items() if g == h}
-        if found and 1 - sum(found.values()) < 1e-12:
-            found = {w: p * n / (n + 1) for w, p in found.items()}
-        return found
-
-
-def test_pairs_seen_once_against_plain_model(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_discounted_single_counts_and_frequent_contexts(spark, order):
     r = random.Random(5)
     rows = [(i, " ".join(f"w{int(r.paretovariate(0.9))}" for _ in range(20)), 0, 0.0) for i in range(200)]
-    plain = PlainAllPairs([t for i, t, *_ in rows if not _held(i)])
-    assert 0 < plain.d2[1] < 1 and sum(r == 1 for r in plain.pairs.values()) > 100
-    got = {r.doc_id: r.score for r in katz.scored(spark.createDataFrame(rows, SCHEMA), min_pairs=1).collect()}
-    memo = {}
-    for i, text, *_ in rows:
-        want, seq = 0, _tokens(text)
-        for h, w in zip(["<s>", *seq], seq):
-            if (h, w) not in memo:
-                memo[h, w] = math.log10(plain.prob(h, w))
-            want += memo[h, w]
-        assert got[i] == pytest.approx(want, abs=1e-7)
-    assert sum(plain.prob("w1", w) for w in plain.c) + plain.prob("w1", "zzzz") == pytest.approx(1)
+    plain = Plain([t for i, t, *_ in rows if not _held(i)], order)
+    assert 0 < plain.d[2][1] < 1 and sum(r == 1 for r in plain.grams[2].values()) > 100
+    frame = spark.createDataFrame(rows, SCHEMA)
+    model = katz.train(frame.where("doc_id % 2 = 0"), order)
+    assert len(model.levels[1].hot) > 1  # w1 is frequent, and spread over the buckets
+    assert model.levels[1].weights[:, 0].max() > 100
+    for row in katz.scored(frame, order).collect():
+        assert row.score == pytest.approx(plain.score(rows[row.doc_id][1]), abs=1e-7)
+
+
+def test_grams_differ_by_order_of_words():
+    words = [b"a b c", b"a c b", b"b a c"]
+    token, context, shorter, _ = katz.token_arrays(words, 3)
+    keys = katz.gram_key(context, token).reshape(3, 4)
+    assert len({int(k) for k in keys[:, 2]}) == 3
+    at_two = katz.token_arrays(words, 2)
+    assert (shorter == at_two[1]).all()
+    assert (katz.gram_key(at_two[1], token)[:-1][token[:-1] != katz.END] == context[1:][token[:-1] != katz.END]).all()

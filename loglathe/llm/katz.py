@@ -47,6 +47,8 @@ LEAST_BUCKETS = 16
 START, END = (int(v) for v in words.mix(np.array([20_001, 20_002], dtype=np.uint64)).view(np.int64))
 
 _BLOBS = "bucket int, blob binary"
+# rows of megabytes: a page each, so that no buffer holds a whole file's rows
+_LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
 _SENT = "bucket int, source int, blob binary"
 _NONE = np.zeros(0, np.int64)
 
@@ -436,7 +438,7 @@ class Model:
 def _counted(docs: DataFrame, level: int, hot: np.ndarray, n: int, large: int) -> tuple[DataFrame, dict, int, int, np.ndarray]:
     """Stored counts of a level, the number of grams by count, all counts, all grams, and the keys of frequent grams."""
     blobs = docs.select("text").mapInArrow(_count(level, hot, n), _BLOBS)
-    table = stored(blobs.groupBy("bucket").applyInArrow(_merge(level, large), _SENT), f"counts-{level}")
+    table = stored(blobs.groupBy("bucket").applyInArrow(_merge(level, large), _SENT), f"counts-{level}", **_LARGE_ROWS)
     types, total, grams, frequent = {}, 0, 0, [_NONE]
     for row in table.where("source = 1").select("blob").collect():  # a few numbers per bucket, at most 64 keys on average
         rare, number, sums, keys = _unpack(row.blob)
@@ -469,10 +471,11 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         answered = (
             asked.groupBy("bucket").cogroup(levels[-1].table.groupBy("bucket")).applyInArrow(_answer_below(below), _SENT)
         )
-        answers = stored(answered, "answers")
+        answers = stored(answered, "answers", **_LARGE_ROWS)
         full = stored(
             table.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_with_answers(level, below), _SENT),
             f"grams-{level}",
+            **_LARGE_ROWS,
         )
         discard(table, answers)
         made = Level(level, n, np.array(discounts(types)), hot, np.zeros((len(hot), 3)), table=full)

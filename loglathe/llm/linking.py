@@ -13,16 +13,16 @@ LEADER_ROUNDS = 2
 BIG_KEY = 128  # rows of a key up to which their pairs are written out
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
+def stored(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
     """Write the rows to the shared folder and read them back: the lineage ends there, whatever executor is lost.
 
     The driver's garbage is collected around it, so that Spark removes the shuffle files of finished steps: what a write
-    has just left may still be held by its last events, and goes before the next one.
+    has just left may still be held by its last events, and goes before the next one. `options` are those of the writer.
     """
     spark = df.sparkSession
     path = session.run_folder(spark, name)
     spark.sparkContext._jvm.System.gc()
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

@@ -458,9 +458,9 @@ INTEGRATION = Parser(
 
 
 def _telemetry_value(value: Column) -> Column:
-    number = F.when(value.contains("."), value.try_cast("double").cast("string")).otherwise(
-        value.try_cast("bigint").cast("string")
-    )
+    """Text of a number as Spark writes it. Only what looks like one is cast: a cast that fails raises inside, for every value."""
+    whole = F.when(value.rlike("^[0-9]+$"), value.try_cast("bigint"))
+    number = F.when(value.contains("."), _reading(value).cast("string")).otherwise(whole.cast("string"))
     return F.coalesce(number, value)
 
 

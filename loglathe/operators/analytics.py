@@ -90,11 +90,15 @@ def error_frequency(
 
 
 def top_k_errors(df: DataFrame, is_error: Column, by: Sequence[str], k: int = 10) -> DataFrame:
-    """The k groups with the most errors; ties go by the group's own order."""
+    """The k groups with the most errors; ties go by the group's own order.
+
+    Errors are counted, not filtered first: a filter on parsed columns is pushed below the projections that make them, and
+    every match in it runs again for each column that reads it.
+    """
     return (
-        df.where(is_error)
-        .groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("errors"))
+        df.groupBy(*by)
+        .agg(F.count(F.when(is_error, 1)).alias("errors"))
+        .where(F.col("errors") > 0)
         .orderBy(F.desc("errors"), *by)
         .limit(k)
     )

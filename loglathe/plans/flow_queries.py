@@ -759,8 +759,11 @@ _PATH_LIMIT = 40
 def request_to_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole path: request lines, validation, rate limit, envelopes, landing, parsing, keyed messages."""
     path = session.run_folder(spark, "path")
-    corpus.read(spark, sf_dir, "events").select(F.expr(_PATH_JSON).alias("value")).write.text(f"{path}/requests")
-    good, _ = intake.split_valid(inputs.request_files(spark, f"{path}/requests"))
+    lines = corpus.read_for_parsing(spark, sf_dir).select(F.expr(_PATH_JSON).alias("value"))
+    lines.write.text(f"{path}/requests")
+    # the limiter reads its rows three times, and what judges a request is a filter: the lines are decoded once, before both
+    inputs.request_files(spark, f"{path}/requests").drop("value").write.parquet(f"{path}/decoded")
+    good, _ = intake.split_valid(spark.read.parquet(f"{path}/decoded"))
     counted = good.withColumns({"n_logs": F.size("logs").cast("bigint")})
     let_in = admission.rate_limit(counted, limit=_PATH_LIMIT).where("allowed")
     outputs.write_landing(intake.envelope(let_in, now=NOW), f"{path}/landing")

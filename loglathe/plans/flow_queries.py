@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loglathe import schemas, session
 from loglathe.functions import maps
@@ -786,12 +787,17 @@ BATCH_FILES = 4
 def in_batches(df: DataFrame, path: str, part: Column, parts: int = 3, files: int = BATCH_FILES) -> DataFrame:
     """The rows as a stream of one micro-batch per part, in the order of the parts.
 
-    A part is written by all tasks into the same number of files. Rows whose part is null or none of these are in the last.
+    The rows are made once, and each part is read from there: into as many files as one micro-batch takes, `files` at least
+    and one for about ``session.TASK_ROWS`` rows. Rows whose part is null or none of these are in the last.
     """
     spark = df.sparkSession
-    number = F.when(part.between(0, parts - 1), part).otherwise(parts - 1)
+    number = F.when(part.between(0, parts - 1), part).otherwise(parts - 1).cast("int")
+    df.withColumns({"__part": number}).write.partitionBy("__part").parquet(f"{path}-parts")
+    made = spark.read.schema(T.StructType([*df.schema, T.StructField("__part", T.IntegerType())])).parquet(f"{path}-parts")
+    sizes = dict(made.groupBy("__part").count().collect())
+    files = max(files, -(-max(sizes.values(), default=0) // session.TASK_ROWS))
     for n in range(parts):
-        df.where(number == n).repartition(files).write.mode("append").parquet(path)
+        made.where(F.col("__part") == n).drop("__part").repartition(files).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 

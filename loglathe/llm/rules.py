@@ -1,8 +1,10 @@
 """Quality rules: a decision list learned from labelled documents.
 
-Statistics of each text are counted in one Arrow pass. On labelled statistics, sequential covering grows one conjunction
-of thresholds at a time (the condition with the most FOIL gain next), prunes it on rows that it was not grown on, keeps it
-if it is precise there, takes away the rows it covers and goes on. The list becomes one ordered Spark `when` chain.
+Statistics of each text are counted in one Arrow pass. On the statistics of all labelled documents, sequential covering
+grows one conjunction of thresholds at a time (the condition with the most FOIL gain next), prunes it on rows that it was
+not grown on, keeps it if it is precise there, takes away the rows it covers and goes on. A step of it is one aggregate over
+the stored statistics, to a few numbers per condition; thresholds are exact quantiles of all labelled rows. The list becomes
+one ordered Spark `when` chain.
 
 Cases: a null text has no words and fails the base rules. A ratio over nothing is 0. Labels that are null, or of unknown
 documents, do not count; a document labelled twice counts twice. Without labels of both kinds the list is empty and every
@@ -13,21 +15,21 @@ an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loglathe.llm import words
+from loglathe.llm import linking, words
 
 MIN_WORDS = 20
 MAX_REPEATED = 30  # percent of words in repeated windows
 WINDOW = 8
-SAMPLE_ROWS = 20_000  # most labelled rows that the list is learned from
+TASK_ROWS = 100_000  # labelled rows that one task counts
 THRESHOLDS = 48  # candidate thresholds of a feature
 MAX_CONDITIONS = 4
 MAX_RULES = 12
@@ -161,83 +163,163 @@ def covers(rule: Rule, values: dict[str, np.ndarray]) -> np.ndarray:
     return hit
 
 
+# Rows left by part (0: kept for pruning, 1: grown on) and kind (0: good, 1: bad): all of them, then those that each
+# candidate covers too.
+Counts = np.ndarray
+# Counts of the rows that no rule so far covers and all chosen conditions do; conditions are numbers of candidates.
+Count = Callable[[list[list[int]], list[int]], Counts]
+
+
+def _ranks(n: int) -> np.ndarray:
+    return np.unique(np.rint(np.linspace(0, 1, THRESHOLDS) * (n - 1)).astype(np.int64))
+
+
+def _candidates(thresholds: dict[str, np.ndarray]) -> list[Condition]:
+    return [Condition(name, above, float(t)) for name, of in thresholds.items() for t in of for above in (True, False)]
+
+
+def _counts(
+    candidates: list[Condition], found: list[list[int]], chosen: list[int], values: dict[str, np.ndarray], bad: np.ndarray, grow_on: np.ndarray
+) -> Counts:
+    left = covers(tuple(candidates[c] for c in chosen), values)
+    for rule in found:
+        left &= ~covers(tuple(candidates[c] for c in rule), values)
+    group = (2 * grow_on[left] + bad[left]).astype(np.int64)
+    out = [np.bincount(group, minlength=4)[:, None]]
+    for name in dict.fromkeys(c.feature for c in candidates):
+        steps = np.array([c.threshold for c in candidates if c.feature == name and c.above])
+        size = len(steps) + 1
+
+        def reached(side: str) -> np.ndarray:  # rows by the number of thresholds that they reach, added up
+            at = np.searchsorted(steps, values[name][left], side=side)
+            return np.cumsum(np.bincount(group * size + at, minlength=4 * size).reshape(4, size), axis=1)
+
+        at_least, at_most = reached("right"), reached("left")
+        both = np.stack([at_least[:, -1:] - at_least[:, :-1], at_most[:, :-1]], axis=2)
+        out.append(both.reshape(4, -1))
+    return np.concatenate(out, axis=1).reshape(2, 2, -1)
+
+
 def learn(values: dict[str, np.ndarray], bad: np.ndarray, grow_on: np.ndarray) -> list[Rule]:
     """Rules, in order, that pick the bad rows; grown on one part of the rows and pruned on the other."""
     if bad.all() or not bad.any():
         return []
-    candidates = [
-        Condition(name, above, float(t))
-        for name, v in values.items()
-        for t in np.unique(np.quantile(np.concatenate([v, v[bad]]), np.linspace(0, 1, THRESHOLDS), method="nearest"))
-        for above in (True, False)
-    ]
-    hits = np.array([c.covers(values) for c in candidates])
-    left = np.ones(len(bad), dtype=bool)
-    found: list[Rule] = []
-    while len(found) < MAX_RULES and (left & bad & grow_on).any():
-        chosen = _grown(hits, left & grow_on, bad)
-        chosen = _pruned(hits, chosen, left & ~grow_on, bad)
-        rule = tuple(candidates[c] for c in chosen)
-        hit = hits[chosen].all(axis=0) & left if chosen else np.zeros(len(bad), dtype=bool)
-        checked = hit & ~grow_on
-        if not (hit & bad).any() or (checked & bad).sum() < MIN_PRECISION * max(checked.sum(), 1):
+    ordered = {name: np.sort(np.concatenate([v, v[bad]])) for name, v in values.items()}
+    candidates = _candidates({name: np.unique(v[_ranks(len(v))]) for name, v in ordered.items()})
+    return _covering(candidates, lambda found, chosen: _counts(candidates, found, chosen, values, bad, grow_on))
+
+
+def _covering(candidates: list[Condition], count: Count) -> list[Rule]:
+    found: list[list[int]] = []
+    while len(found) < MAX_RULES:
+        chosen: list[int] = []
+        seen = [count(found, [])]
+        if not seen[0][1, 1, 0]:
             break
-        found.append(rule)
-        left &= ~hit
-    return found
-
-
-def _grown(hits: np.ndarray, rows: np.ndarray, bad: np.ndarray) -> list[int]:
-    chosen: list[int] = []
-    while len(chosen) < MAX_CONDITIONS and (rows & ~bad).any():
-        p0, n0 = (rows & bad).sum(), (rows & ~bad).sum()
-        p = hits[:, rows & bad].sum(axis=1)
-        n = hits[:, rows & ~bad].sum(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = p * (np.log2(p / np.maximum(p + n, 1)) - np.log2(p0 / (p0 + n0)))
-        gain = np.where(p > 0, gain, -np.inf)
-        best = int(np.argmax(gain))
-        if not gain[best] > 1e-9:
+        while len(chosen) < MAX_CONDITIONS and seen[-1][1, 0, 0]:
+            (n0, *n), (p0, *p) = seen[-1][1]
+            best = _best(np.array(p), np.array(n), p0, n0)
+            if best is None:
+                break
+            chosen.append(best)
+            seen.append(count(found, chosen))
+        left = [s[:, :, 0] for s in seen]
+        size = _pruned(left)
+        hit = left[size]
+        if not size or not hit[:, 1].sum() or hit[0, 1] < MIN_PRECISION * max(hit[0].sum(), 1):
             break
-        chosen.append(best)
-        rows = rows & hits[best]
-    return chosen
-
-
-def _pruned(hits: np.ndarray, chosen: list[int], rows: np.ndarray, bad: np.ndarray) -> list[int]:
-    """The shortest beginning of the rule that is worth most on rows it was not grown on."""
-    if not (rows & bad).any():
-        return chosen
-    best, worth = chosen, -2.0
-    for size in range(1, len(chosen) + 1):
-        hit = hits[chosen[:size]].all(axis=0) & rows
-        p, n = (hit & bad).sum(), (hit & ~bad).sum()
+        found.append(chosen[:size])
+    return [tuple(candidates[c] for c in rule) for rule in found]
+
+
+def _best(p: np.ndarray, n: np.ndarray, p0: int, n0: int) -> int | None:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = p * (np.log2(p / np.maximum(p + n, 1)) - np.log2(p0 / (p0 + n0)))
+    gain = np.where(p > 0, gain, -np.inf)
+    best = int(np.argmax(gain))
+    return best if gain[best] > 1e-9 else None
+
+
+def _pruned(left: list[np.ndarray]) -> int:
+    """Size of the shortest beginning of the rule that is worth most on rows it was not grown on; `left` by size."""
+    best, worth = len(left) - 1, -2.0
+    if not left[0][0, 1]:
+        return best
+    for size in range(1, len(left)):
+        n, p = left[size][0]
         now = (p - n) / max(p + n, 1)
         if now > worth + 1e-12:
-            best, worth = chosen[:size], now
+            best, worth = size, now
     return best
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most about `sample_rows` labelled documents: rows whose id has the right hash. Small enough to be sent to all."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Features of all labelled documents that pass the base rules, with `_bad` and `_grow`. No text is joined."""
     known = labels.where("doc_id is not null and quality is not null").select(
         F.col("doc_id").alias("_labelled"), F.col("quality").cast("int").alias("_quality")
     )
-    step = -(-known.count() // sample_rows) or 1
-    picked = known.where(F.pmod(F.xxhash64("_labelled"), F.lit(step)) == 0).limit(2 * sample_rows)
-    return docs.join(F.broadcast(picked), docs["doc_id"] == picked["_labelled"])
-
-
-def learn_from(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The decision list, learned from a bounded sample of the labelled documents."""
-    stats = statistics(labelled(docs.select("doc_id", "text"), labels, sample_rows), drop_text=True)
-    table = stats.where(~base_failed()).select(
-        F.col("_quality"),
+    stats = statistics(docs.select("doc_id", "text"), drop_text=True).where(~base_failed())
+    return stats.join(known, F.col("doc_id") == F.col("_labelled")).select(
+        (F.col("_quality") == 0).alias("_bad"),
         (F.pmod(F.xxhash64("_labelled", F.lit(7)), F.lit(3)) > 0).alias("_grow"),
         *[c.alias(name) for name, c in features().items()],
-    ).toPandas()
-    values = {name: table[name].to_numpy(dtype=float) for name in features()}
-    return learn(values, table["_quality"].to_numpy() == 0, table["_grow"].to_numpy(dtype=bool))
+    )
+
+
+def _thresholds(table: DataFrame, n: int) -> dict[str, np.ndarray]:
+    """Values at the ranks of each feature, where a bad row counts twice; `n` is the sum of that.
+
+    Equal values are counted, the counts range partitioned by feature and value and each part summed by itself; a lift per
+    part and feature connects them.
+    """
+    names = list(features())
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("v")) for i, c in enumerate(names)]))
+    counts = table.select(pairs.alias("x"), F.when(F.col("_bad"), 2).otherwise(1).alias("w"))
+    counts = counts.groupBy(F.col("x.f").alias("f"), F.col("x.v").alias("v")).agg(F.sum("w").alias("w"))
+    parts = linking.stored(counts.repartitionByRange("f", "v").withColumn("part", F.spark_partition_id()), "values")
+    before = Window.partitionBy("f").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    lifts = parts.groupBy("part", "f").agg(F.sum("w").alias("all")).withColumn("before", F.coalesce(F.sum("all").over(before), F.lit(0)))
+    upto = F.col("before") + F.sum("w").over(Window.partitionBy("part", "f").orderBy("v"))
+    placed = parts.join(lifts.drop("all"), ["part", "f"]).select("f", "v", upto.alias("upto"), (upto - F.col("w")).alias("under"))
+    ranks = F.array(*[F.lit(int(r)) for r in _ranks(n)])
+    held = placed.where(F.exists(ranks, lambda r: (r >= F.col("under")) & (r < F.col("upto"))))
+    got = held.select("f", "v").collect()  # THRESHOLDS rows of a feature at most
+    linking.discard(parts)
+    return {name: np.array(sorted(v for f, v in got if f == i)) for i, name in enumerate(names)}
+
+
+def learn_from(docs: DataFrame, labels: DataFrame) -> list[Rule]:
+    """The decision list, learned from all labelled documents; the driver gets counts of conditions only."""
+    found = linking.stored(labelled(docs, labels), "labelled")
+    rows, bad = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("_bad").cast("long")), F.lit(0))).first()
+    learned: list[Rule] = []
+    if 0 < bad < rows:
+        # as many parts as the rows need, or every step has a task per file
+        table = linking.stored(found.repartition(-(-rows // TASK_ROWS)), "labelled")
+        candidates = _candidates(_thresholds(table, rows + bad))
+        learned = _covering(candidates, lambda rules, chosen: _counted(table, candidates, rules, chosen))
+        linking.discard(table)
+    linking.discard(found)
+    return learned
+
+
+def _counted(table: DataFrame, candidates: list[Condition], found: list[list[int]], chosen: list[int]) -> Counts:
+    names = list(features())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 2, 1 + len(candidates)), dtype=np.int64)
+        for batch in batches:
+            values = {name: batch.column(name).to_numpy() for name in names}
+            flags = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_bad", "_grow")]
+            total += _counts(candidates, found, chosen, values, *flags)
+        flat = total.ravel()
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "n"])
+
+    out = np.zeros((2, 2, 1 + len(candidates)), dtype=np.int64)
+    for at, n in table.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
+        out.ravel()[at] = n
+    return out
 
 
 def fired(rules: list[Rule]) -> Column:

@@ -98,3 +98,31 @@ def test_small_tables(spark):
     assert rules.learn_from(docs, labels.limit(0)) == []
     assert rules.judged(docs.limit(0), []).collect() == []
     assert rules.learn_from(docs.limit(0), labels) == []
+
+
+def test_no_labelled_row_is_left_out(spark, monkeypatch):
+    """Of 41,000 labelled documents a few hundred decide a rule; a sample of 20,000 sees half of them."""
+    docs = spark.range(41_000).selectExpr("id as doc_id", "array_join(transform(sequence(1, 25), i -> concat('w', i, if(id % 100 = 0, '!', ''))), ' ') as text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 100 > 0) as quality")
+    seen = []
+    covering = rules._covering
+    monkeypatch.setattr(rules, "_covering", lambda candidates, count: seen.append(count([], [])) or covering(candidates, count))
+    learned = rules.learn_from(docs, labels)
+    assert seen[0][:, :, 0].sum() == 41_000 and seen[0][:, 1, 0].sum() == 410
+    assert rules.judged(docs, learned).where("kept").count() == 41_000 - 410
+
+
+def test_spark_counts_give_the_rules_of_the_plain_form(spark, monkeypatch):
+    monkeypatch.setattr(rules, "TASK_ROWS", 100)
+    r = random.Random(4)
+    docs, labels = [], []
+    for i in range(700):
+        kind = r.choice(["plain", "plain", "plain", "marks", "upper"])
+        ends = {"plain": ["", "", "!", "Q"], "marks": ["", "!", "!", "?"], "upper": ["QQ", "QXZ", "", "!"]}[kind]
+        lines = [" ".join(r.choice(["tree", "Sky", "walk"]) + str(r.randrange(99)) + r.choice(ends) for _ in range(9)) for _ in range(9)]
+        docs.append((i, "\n".join(lines), "x", "en"))
+        labels.append((i, int(kind == "plain"), 0, ""))
+    docs, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    table = rules.labelled(docs, labels).toPandas()
+    want = rules.learn({n: table[n].to_numpy() for n in rules.features()}, table["_bad"].to_numpy(), table["_grow"].to_numpy())
+    assert want and rules.learn_from(docs, labels) == want

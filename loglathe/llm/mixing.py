@@ -1,6 +1,6 @@
 """Mixing sources to target weights with soft membership.
 
-A classifier (multinomial logistic regression on hashed tokens), fitted on a bounded sample of the labelled rows, gives
+A classifier (multinomial logistic regression on hashed tokens), fitted on all labelled rows, gives
 every document a posterior over domains. Document rates x >= 0 then minimise
 
     sum over domains d of (sum over documents i of n_i p_id x_i - T_d)^2 / N_d
@@ -30,12 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglathe import session
+from loglathe.llm import linking
 
-SAMPLE_ROWS = 20_000  # most labelled rows that the classifier is fitted on
 FEATURES = 1 << 16
 REGULARISATION = 1e-4
 FIT_ROUNDS = 60
-FIT_PARTS = 4
+FIT_PARTS = 4  # least parts of the labelled rows
+FIT_ROWS = 20_000  # labelled rows of a part
 RATE_ROUNDS = 40
 TOLERANCE = 1e-4  # of all tokens
 MAX_DOMAINS = 64
@@ -49,7 +50,7 @@ def domain_of_labels() -> Column:
 class Domains:
     """Classifier of documents into the domains of a table (doc_id, domain)."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS):
+    def __init__(self, docs: DataFrame, labels: DataFrame):
         known = labels.where("doc_id is not null and domain is not null").select(
             F.col("doc_id").alias("_labelled"), F.col("domain").alias("_domain")
         )
@@ -57,13 +58,12 @@ class Domains:
         if len(self.names) > MAX_DOMAINS:
             raise ValueError(f"more than {MAX_DOMAINS} domains")
         self.model = None
-        step = -(-known.count() // sample_rows) or 1
-        picked = known.where(F.pmod(F.xxhash64("_labelled"), F.lit(step)) == 0).limit(2 * sample_rows)
-        rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_labelled"))
+        rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_labelled"))
         number = F.array_position(F.array(*[F.lit(n) for n in self.names] or [F.lit("")]), F.col("_domain")) - 1
         rows = self._vectors(rows).select("_vector", number.cast("double").alias("_number"))
-        # the sample is small whatever the table: a few partitions, or every round of the fit has a task per file
-        rows = session.checkpointed(rows.repartition(FIT_PARTS))
+        stored = linking.stored(rows, "labelled")
+        # as many parts as the rows need, or every round of the fit has a task per file
+        rows = stored.coalesce(max(FIT_PARTS, -(-stored.count() // FIT_ROWS)))
         present = sorted(r[0] for r in rows.select("_number").distinct().collect())
         if len(present) > 1:
             # domains without a fitted row keep the number that the model expects, with probability 0
@@ -78,6 +78,7 @@ class Domains:
                 maxIter=FIT_ROUNDS,
             )
             self.model = fit.fit(rows)
+        linking.discard(stored)
 
     @staticmethod
     def _vectors(docs: DataFrame) -> DataFrame:

@@ -97,3 +97,12 @@ def test_columns_of_any_name_stay(spark):
     assert all(r[c] == f"of the caller: {c}" for r in got for c in names[:6])
     want = {(r.doc_id, r.text): (r.n_tokens, r.rate) for r in mixing.mixed(docs, mixing.Domains(docs, labels), scale={"a": 1.0}).collect()}
     assert {(r.doc_id, r.text): (r.n_tokens, r.rate) for r in got} == want
+
+
+def test_all_labelled_rows_are_fitted(spark, monkeypatch):
+    sizes = []
+    fit = mixing.LogisticRegression.fit
+    monkeypatch.setattr(mixing.LogisticRegression, "fit", lambda self, rows: sizes.append(rows.count()) or fit(self, rows))
+    docs = spark.range(41_000).selectExpr("id as doc_id", "if(id % 2 = 0, 'sun moon', 'salt') as text")
+    mixing.Domains(docs, docs.selectExpr("doc_id", "if(doc_id % 2 = 0, 'a', 'b') as domain"))
+    assert sizes == [41_000]

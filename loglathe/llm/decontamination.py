@@ -46,13 +46,17 @@ def gram_size(n: int) -> int:
     return (n + 1) // 2
 
 
+def _gram(found: Column, n: int, i: Column) -> Column:
+    """Hash of the k-gram at place i."""
+    return F.xxhash64(F.lit(n), *[F.get(found, i + j) for j in range(gram_size(n))])
+
+
 def _grams(found: Column, n: int) -> Column:
     """Hash of every k-gram, in order."""
     k = gram_size(n)
     places = F.sequence(F.lit(0), F.greatest(F.size(found) - k, F.lit(0)))
     return F.transform(
-        F.when(F.size(found) >= k, places).otherwise(F.array().cast("array<int>")),
-        lambda i: F.xxhash64(F.lit(n), *[F.get(found, i + j) for j in range(k)]),
+        F.when(F.size(found) >= k, places).otherwise(F.array().cast("array<int>")), lambda i: _gram(found, n, i)
     )
 
 
@@ -79,6 +83,36 @@ def fingerprints(found: Column, n: int) -> Column:
     return _named(_grams(found, n), lambda grams: _named(least(grams), lambda lows: chosen(grams, lows)))
 
 
+def _shared_grams(keyed: DataFrame, prints: DataFrame, sizes: list[int]) -> DataFrame:
+    """(text_key, w, size, place) of the fingerprints of texts (text_key, w) that are among `prints`, which are broadcast.
+
+    The choice of `fingerprints`, in plain columns, made after the look-up: most grams are not found and cost one hash.
+    """
+    places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))
+    rows = keyed.select("text_key", "w", F.explode(places).alias("place"))
+    held = {n: F.when(F.col("place") + gram_size(n) <= F.size("w"), _gram(F.col("w"), n, F.col("place"))) for n in sizes}
+    if len(sizes) == 1:
+        rows = rows.select("*", F.lit(sizes[0]).alias("size"), held[sizes[0]].alias("gram"))
+    else:
+        rows = rows.select("*", F.inline(F.array(*[F.struct(F.lit(n).alias("size"), g.alias("gram")) for n, g in held.items()])))
+    found = rows.join(F.broadcast(prints.select("gram").distinct()), "gram", "left_semi")
+
+    def chosen(n: int) -> Column:
+        k = gram_size(n)
+        span = n - k + 1
+        lows = []
+        for back in range(span):
+            first = F.col("place") - back
+            run = [_gram(F.col("w"), n, first + j) for j in range(span)]
+            whole = (first >= 0) & (first + n <= F.size("w"))
+            lows.append(whole & reduce(lambda done, g: done & (F.col("gram") <= g), run, F.lit(True)))
+        return reduce(lambda done, low: done | low, lows)
+
+    least = reduce(lambda done, n: done.when(F.col("size") == n, chosen(n)), sizes, F)
+    # a generator, as a plain filter is moved below the join and is then evaluated for every gram
+    return found.select("text_key", "w", "size", "place", F.explode(F.when(least, F.array(F.lit(True)))).alias("least")).drop("least")
+
+
 def windows_of(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(size, window, item): the distinct windows of every item, as words joined by spaces."""
     found = benchmark.select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("w"))
@@ -106,12 +140,11 @@ def hit_windows(docs: DataFrame, windows: DataFrame, text_col: str = "text") ->
     prints = linking.stored(windows.select("size", gram.alias("gram")).distinct(), "window-prints")
     # words and marks are columns of their own, so that what follows the explode only passes them by
     keyed = docs.select(text_key(text_col).alias("text_key"), words(F.col(text_col)).alias("w"))
-    marked = keyed.withColumn("marks", _named(F.col("w"), lambda w: F.concat(*[fingerprints(w, n) for n in sizes])))
     place = ["text_key", "size", "place"]
     if prints.count() <= BROADCAST_ROWS:
-        rows = marked.select("text_key", "w", F.explode("marks").alias("p")).select("text_key", "w", "p.size", "p.place", "p.gram")
-        shared = rows.join(F.broadcast(prints), ["size", "gram"], "left_semi").select(*place, *_context(F.col("w")))
+        shared = _shared_grams(keyed, prints, sizes).select(*place, *_context(F.col("w")))
     else:  # narrow rows are shuffled, and only texts with a shared fingerprint are looked into again
+        marked = keyed.withColumn("marks", _named(F.col("w"), lambda w: F.concat(*[fingerprints(w, n) for n in sizes])))
         rows = marked.select("text_key", F.explode("marks").alias("p")).select("text_key", "p.size", "p.place", "p.gram")
         found = rows.join(prints, ["size", "gram"], "left_semi").select(*place).distinct()
         found = found.groupBy("text_key").agg(F.collect_list(F.struct("size", "place")).alias("places"))

@@ -93,6 +93,22 @@ def test_every_run_has_the_fingerprint_of_its_window(spark):
                 assert all(s + i in places for i, h in enumerate(run) if h == min(run))
 
 
+def test_grams_are_looked_up_before_the_choice(spark):
+    """With all grams of the texts as prints, what is found is the choice of `fingerprints`; grams are no nested function."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice("abc") for _ in range(r.randint(0, 30)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "text_key int, text string").select("text_key", decontamination.words(F.col("text")).alias("w"))
+    for sizes in ([10], [1, 2, 9]):
+        grams = F.concat(*[decontamination._grams(F.col("w"), n) for n in sizes])
+        found = decontamination._shared_grams(df, df.select(F.explode(grams).alias("gram")), sizes)
+        want = df.select("text_key", F.explode(F.concat(*[decontamination.fingerprints(F.col("w"), n) for n in sizes])).alias("p"))
+        want = sorted((x.text_key, x.p["size"], x.p["place"]) for x in want.collect())
+        assert sorted((x.text_key, x["size"], x.place) for x in found.collect()) == want != []
+        assert "lambda" not in found.drop("w")._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")

@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, RegexTokenizer
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ from loglathe import session
 from loglathe.llm import linking
 
 FEATURES = 1 << 16
+TOKEN = r"\p{L}+|[^\p{L}\s]+"
 REGULARISATION = 1e-4
 FIT_ROUNDS = 60
 FIT_PARTS = 4  # least parts of the labelled rows
@@ -82,12 +83,9 @@ class Domains:
 
     @staticmethod
     def _vectors(docs: DataFrame) -> DataFrame:
-        tokens = RegexTokenizer(
-            inputCol="_text", outputCol="_tokens", gaps=False, pattern=r"\p{L}+|[^\p{L}\s]+", toLowercase=False
-        )
         vectors = HashingTF(inputCol="_tokens", outputCol="_vector", numFeatures=FEATURES, binary=True)
-        rows = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-        return vectors.transform(tokens.transform(rows))
+        tokens = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))
+        return vectors.transform(docs.withColumn("_tokens", tokens))
 
     def posteriors(self, docs: DataFrame) -> DataFrame:
         """The rows with `n_tokens` and `posteriors`, an array in the order of `names`."""

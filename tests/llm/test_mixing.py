@@ -106,3 +106,15 @@ def test_all_labelled_rows_are_fitted(spark, monkeypatch):
     docs = spark.range(41_000).selectExpr("id as doc_id", "if(id % 2 = 0, 'sun moon', 'salt') as text")
     mixing.Domains(docs, docs.selectExpr("doc_id", "if(doc_id % 2 = 0, 'a', 'b') as domain"))
     assert sizes == [41_000]
+
+
+def test_tokens_are_a_plain_column(spark):
+    """The tokens of pyspark's RegexTokenizer, without its function on every text."""
+    from pyspark.ml.feature import RegexTokenizer
+
+    texts = ["Some words, and--signs!", " \n\t", "", None, "日本語 ñandú x9 ١٢ …", "A" * 50 + " 3.14"]
+    rows = mixing.Domains._vectors(spark.createDataFrame([(t or "", t) for t in texts], "whole string, text string"))
+    plain = RegexTokenizer(inputCol="whole", outputCol="want", gaps=False, pattern=r"\p{L}+|[^\p{L}\s]+", toLowercase=False)
+    got = plain.transform(rows).select("_tokens", "want").collect()
+    assert len(got) == len(texts) and all(r["_tokens"] == r["want"] for r in got)
+    assert rows.select("_tokens")._jdf.queryExecution().optimizedPlan().toString().count("UDF") == 0

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loglathe import session
 from loglathe.llm import line_dedup, linking, mixing, ngram_join, pieces, rules
 
 # What a domain should have of the tokens that it has now.
@@ -62,12 +63,20 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     )
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality rules", quality_rules),
-    ("line dedup", dedup_lines),
-    ("n-gram Jaccard join", join_near_copies),
-    ("mixing sources to target weights", mix_domains),
-    ("SentencePiece encoding and decoding", encode_pieces),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _bounded(stage: Stage) -> Stage:
+    """The stage with small batches, as the Python workers of all stages stay beside one another for a while."""
+    return lambda spark, docs, sf_dir: stage(session.small_batches(spark), docs, sf_dir)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", _bounded(quality_rules)),
+    ("line dedup", _bounded(dedup_lines)),
+    ("n-gram Jaccard join", _bounded(join_near_copies)),
+    ("mixing sources to target weights", _bounded(mix_domains)),
+    ("SentencePiece encoding and decoding", _bounded(encode_pieces)),
 ]
 
 ORACLE_SQL = None  # learned rules, edit similarity and merge rounds have no SQL form; tests hold the stages against plain versions

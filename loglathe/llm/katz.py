@@ -28,11 +28,12 @@ nothing is scaled down by n / (n + 1). Extra columns are ignored. An empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loglathe.llm import words
@@ -63,6 +64,18 @@ def gram_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return (words.mix(h.view(np.uint64)) ^ (w << np.uint64(1) | w >> np.uint64(63))).view(np.int64)
 
 
+@contextmanager
+def _row_by_row(spark: SparkSession) -> Iterator[None]:
+    """Read rows of megabytes one at a time, or a task holds all of its files' rows at once."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _starts(length: int) -> int:
     """Key of a context of START words only."""
     key = np.array([START])
@@ -471,17 +484,18 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         answered = (
             asked.groupBy("bucket").cogroup(levels[-1].table.groupBy("bucket")).applyInArrow(_answer_below(below), _SENT)
         )
-        answers = stored(answered, "answers", **_LARGE_ROWS)
-        full = stored(
-            table.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_with_answers(level, below), _SENT),
-            f"grams-{level}",
-            **_LARGE_ROWS,
-        )
-        discard(table, answers)
-        made = Level(level, n, np.array(discounts(types)), hot, np.zeros((len(hot), 3)), table=full)
-        sums = full.mapInArrow(_hot_sums(made.numbers()), "at long, seen double, m double, below double")
-        for row in sums.groupBy("at").agg(*[F.sum(c).alias(c) for c in ("seen", "m", "below")]).collect():
-            made.weights[row.at] = row.seen, row.m, row.below
+        with _row_by_row(docs.sparkSession):
+            answers = stored(answered, "answers", **_LARGE_ROWS)
+            full = stored(
+                table.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_with_answers(level, below), _SENT),
+                f"grams-{level}",
+                **_LARGE_ROWS,
+            )
+            discard(table, answers)
+            made = Level(level, n, np.array(discounts(types)), hot, np.zeros((len(hot), 3)), table=full)
+            sums = full.mapInArrow(_hot_sums(made.numbers()), "at long, seen double, m double, below double")
+            for row in sums.groupBy("at").agg(*[F.sum(c).alias(c) for c in ("seen", "m", "below")]).collect():
+                made.weights[row.at] = row.seen, row.m, row.below
         levels.append(made)
     return Model(levels, tokens, distinct, float(np.log10(left)))
 

@@ -46,7 +46,10 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose fitted rate rounds to one or more; the targets leave the toxic domain without tokens."""
     labels = _labels(spark, sf_dir).select("doc_id", mixing.domain_of_labels().alias("domain"))
-    mixed = mixing.mixed(docs.select(F.struct("*").alias("_row"), "doc_id", "text"), mixing.Domains(docs, labels), scale=DOMAIN_SCALE)
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    vectors = linking.stored(mixing.Domains.vectorised(rows, ["_row", "doc_id"]), "vectors")
+    mixed = mixing.mixed(rows, mixing.Domains(docs, labels, vectors), scale=DOMAIN_SCALE, vectors=vectors)
+    linking.discard(vectors)
     return mixed.where(F.col("rate") >= LEAST_RATE).select("_row.*")
 
 

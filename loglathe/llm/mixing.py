@@ -1,7 +1,8 @@
 """Mixing sources to target weights with soft membership.
 
 A classifier (multinomial logistic regression on hashed tokens), fitted on all labelled rows, gives
-every document a posterior over domains. Document rates x >= 0 then minimise
+every document a posterior over domains. Where the documents to mix are those with the labels, tokens are cut and hashed once
+for both, in a stored table. Document rates x >= 0 then minimise
 
     sum over domains d of (sum over documents i of n_i p_id x_i - T_d)^2 / N_d
 
@@ -49,9 +50,12 @@ def domain_of_labels() -> Column:
 
 
 class Domains:
-    """Classifier of documents into the domains of a table (doc_id, domain)."""
+    """Classifier of documents into the domains of a table (doc_id, domain).
 
-    def __init__(self, docs: DataFrame, labels: DataFrame):
+    `vectors`, those of `docs` as `vectorised` gives them, spare it to cut the texts into tokens once more.
+    """
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, vectors: DataFrame | None = None):
         known = labels.where("doc_id is not null and domain is not null").select(
             F.col("doc_id").alias("_labelled"), F.col("domain").alias("_domain")
         )
@@ -59,9 +63,12 @@ class Domains:
         if len(self.names) > MAX_DOMAINS:
             raise ValueError(f"more than {MAX_DOMAINS} domains")
         self.model = None
-        rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_labelled"))
         number = F.array_position(F.array(*[F.lit(n) for n in self.names] or [F.lit("")]), F.col("_domain")) - 1
-        rows = self._vectors(rows).select("_vector", number.cast("double").alias("_number"))
+        if vectors is None:
+            rows = self._vectors(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_labelled")))
+        else:
+            rows = vectors.select("row.doc_id", "_vector").join(known, F.col("doc_id") == F.col("_labelled"))
+        rows = rows.select("_vector", number.cast("double").alias("_number"))
         stored = linking.stored(rows, "labelled")
         # as many parts as the rows need, or every round of the fit has a task per file
         rows = stored.coalesce(max(FIT_PARTS, -(-stored.count() // FIT_ROWS)))
@@ -87,11 +94,17 @@ class Domains:
         tokens = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0))
         return vectors.transform(docs.withColumn("_tokens", tokens))
 
-    def posteriors(self, docs: DataFrame) -> DataFrame:
-        """The rows with `n_tokens` and `posteriors`, an array in the order of `names`."""
-        kept = [c for c in docs.columns if c not in ("n_tokens", "posteriors")]
+    @classmethod
+    def vectorised(cls, docs: DataFrame, kept: Sequence[str] | None = None) -> DataFrame:
+        """`n_tokens` and `_vector` of each text, and the kept columns (all of them) as `row`."""
+        names = [c for c in (docs.columns if kept is None else kept) if c not in ("n_tokens", "posteriors")]
         # columns of the caller are kept inside one, so that none can clash
-        rows = self._vectors(docs.select(F.struct(*kept).alias("row"), "text")).withColumn("n_tokens", F.size("_tokens").cast("long"))
+        rows = cls._vectors(docs.select(F.struct(*names).alias("row"), "text"))
+        return rows.select("row", F.size("_tokens").cast("long").alias("n_tokens"), "_vector")
+
+    def posteriors(self, docs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+        """The rows with `n_tokens` and `posteriors`, an array in the order of `names`; of `vectors` the columns kept there."""
+        rows = self.vectorised(docs) if vectors is None else vectors
         if self.model is None:
             even = F.array(*[F.lit(1.0 / len(self.names)) for _ in self.names]).cast("array<double>")
             rows = rows.withColumn("posteriors", even)
@@ -146,12 +159,19 @@ def weights_to_tokens(weights: dict[str, float], total: float) -> dict[str, floa
     return {d: total * w / whole for d, w in weights.items()}
 
 
-def mixed(docs: DataFrame, domains: Domains, weights: dict[str, float] | None = None, scale: dict[str, float] | None = None) -> DataFrame:
+def mixed(
+    docs: DataFrame,
+    domains: Domains,
+    weights: dict[str, float] | None = None,
+    scale: dict[str, float] | None = None,
+    vectors: DataFrame | None = None,
+) -> DataFrame:
     """The rows with posteriors, rate, and whole copies to draw (rate rounded at random, by a hash of the id).
 
-    Targets are either `weights` (shares of all tokens) or, per domain, a `scale` of what the domain has now.
+    Targets are either `weights` (shares of all tokens) or, per domain, a `scale` of what the domain has now. With `vectors`,
+    those of `docs`, the rows have the columns kept there, `doc_id` among them.
     """
-    rows = session.checkpointed(domains.posteriors(docs))
+    rows = session.checkpointed(domains.posteriors(docs, vectors))
     total = rows.agg(
         F.coalesce(F.sum("n_tokens"), F.lit(0)),
         *[

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loglathe.llm import mixing
+from loglathe.llm import linking, mixing
 
 SCHEMA = "doc_id long, text string, rate string, source string"
 
@@ -118,3 +118,18 @@ def test_tokens_are_a_plain_column(spark):
     got = plain.transform(rows).select("_tokens", "want").collect()
     assert len(got) == len(texts) and all(r["_tokens"] == r["want"] for r in got)
     assert rows.select("_tokens")._jdf.queryExecution().optimizedPlan().toString().count("UDF") == 0
+
+
+def test_texts_are_cut_once_for_fit_and_rates(spark, monkeypatch):
+    """Vectors that are there already give what the texts give, and no text is read for them."""
+    docs, labels, _ = _docs(spark, 80)
+    vectors = linking.stored(mixing.Domains.vectorised(docs, ["doc_id"]), "vectors")
+    want = mixing.mixed(docs, mixing.Domains(docs, labels), scale={"a": 0.5}).select("doc_id", "n_tokens", "rate", "posteriors").collect()
+    monkeypatch.setattr(mixing.Domains, "_vectors", None)
+    no_text = docs.select("doc_id")
+    rows = mixing.mixed(no_text, mixing.Domains(no_text, labels, vectors), scale={"a": 0.5}, vectors=vectors)
+    assert "text" not in rows.columns
+    got = rows.select("doc_id", "n_tokens", "rate", "posteriors").collect()
+    key = lambda r: (r.doc_id, r.n_tokens)
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert key(g) == key(w) and g.rate == pytest.approx(w.rate, abs=1e-3) and g.posteriors == pytest.approx(w.posteriors, abs=1e-3)

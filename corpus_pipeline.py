@@ -55,10 +55,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids (packed) and the number of them; the ids decode to the text again."""
-    proto = pieces.read_model(pieces.default_path())
-    coded = pieces.encode(docs, proto)
-    same = pieces.decode(coded, proto)
-    return same.select(
+    return pieces.coded(docs, pieces.read_model(pieces.default_path())).select(
         *[c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")],
         "ids",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -88,3 +88,16 @@ def test_runs_that_do_not_merge_last(model, library, monkeypatch):
     monkeypatch.setattr(model, "older", {})
     for text in (" " * 50, "a" + " " * 33 + "b", "  the"):
         assert np.frombuffer(model.encode([text], False, False)[0], "<u4").tolist() == library.encode(text)
+
+
+def test_one_worker_encodes_and_decodes(spark):
+    """A task of the query and of the pipeline holds one Python worker, and gets what two in a row give."""
+    import corpus_pipeline
+
+    proto = pieces.read_model(pieces.default_path())
+    rows = [(1, "Some  words \n and ñ\t日本"), (2, ""), (3, None), (4, " \u2581 x ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = pieces.decode(pieces.encode(docs, proto), proto).orderBy("doc_id").collect()
+    assert pieces.coded(docs, proto).orderBy("doc_id").collect() == want
+    for got in (pieces.digests(docs, proto), corpus_pipeline.encode_pieces(spark, docs, "")):
+        assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1

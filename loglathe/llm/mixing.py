@@ -22,16 +22,22 @@ named like an output are replaced. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import unicodedata
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loglathe import session
-from loglathe.llm import linking
+from loglathe.llm import linking, words
 
 FEATURES = 1 << 16
 TOKEN = r"\p{L}+|[^\p{L}\s]+"
@@ -44,6 +50,74 @@ TOLERANCE = 1e-4  # of all tokens
 MAX_DOMAINS = 64
 
 
+_ASCII = np.array([0 if c in b" \t\n\v\f\r" else 1 if chr(c).isalpha() and c < 128 else 2 for c in range(256)], dtype=np.uint8)
+
+
+@lru_cache(maxsize=None)
+def _kinds() -> np.ndarray:
+    """Of every code point: 0 white space, 1 letter, 2 other."""
+    out = np.full(0x110000, 2, dtype=np.uint8)
+    out[[c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "L"]] = 1
+    out[:128] = _ASCII[:128]
+    return out
+
+
+def _token_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the tokens (TOKEN) of UTF-8 that ends in white space."""
+    kind = _ASCII[buf]
+    lead = np.flatnonzero(buf >= 0xC0)
+    if len(lead):
+        size = (2 + (buf[lead] >= 0xE0) + (buf[lead] >= 0xF0)).astype(np.int64)
+        point = (buf[lead] & (0xFF >> (size + 1)).astype(np.uint8)).astype(np.int64)
+        for j in range(1, 4):
+            point = np.where(size > j, point << 6 | (buf[np.minimum(lead + j, len(buf) - 1)] & 0x3F), point)
+        of_lead = _kinds()[point]
+        for j in range(4):
+            has = size > j
+            kind[lead[has] + j] = of_lead[has]
+    edge = np.flatnonzero(np.diff(kind, prepend=np.uint8(0)))  # the last byte is white space, so each token has its end
+    begins = edge[kind[edge] > 0]
+    return begins, edge[np.searchsorted(edge, begins) + 1]
+
+
+def _murmur3(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Murmur3 of each span, of 32 bits, with the seed of HashingTF. Spans of any size; `buf` has three bytes after them."""
+
+    def mixed_in(h: np.ndarray, k: np.ndarray) -> np.ndarray:
+        k = k * np.uint32(0xCC9E2D51)
+        return h ^ (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+
+    sizes = ends - begins
+    four = buf[:-3].astype(np.uint32)
+    for j in range(1, 4):
+        four |= buf[j : len(buf) - 3 + j].astype(np.uint32) << np.uint32(8 * j)
+    out = np.full(len(begins), 42, dtype=np.uint32)
+    whole = sizes >> 2
+    at, turn = np.flatnonzero(whole), 0
+    while len(at):
+        h = mixed_in(out[at], four[begins[at] + 4 * turn])
+        out[at] = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+        turn += 1
+        at = at[whole[at] > turn]
+    tail = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF], dtype=np.uint32)[sizes & 3]
+    h = mixed_in(out, four[begins + 4 * whole] & tail) ^ sizes.astype(np.uint32)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return h ^ h >> np.uint32(16)
+
+
+def token_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of tokens of each text, the distinct features of all, ordered, and how many are of each text."""
+    buf = np.frombuffer(b"\n".join(texts) + b"\n\0\0\0", dtype=np.uint8)
+    begins, ends = _token_spans(buf[:-3])
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+    counts = np.diff(np.searchsorted(begins, np.concatenate([[0], np.cumsum(sizes)])))
+    hashed = _murmur3(buf, begins, ends).view(np.int32) % FEATURES
+    both = np.sort(np.repeat(np.arange(len(texts), dtype=np.int64), counts) * FEATURES + hashed)
+    both = both[np.diff(both, prepend=-1) > 0]
+    return counts, (both % FEATURES).astype(np.int32), np.bincount(both // FEATURES, minlength=len(texts))
+
+
 def domain_of_labels() -> Column:
     """Domain of a row of the label table."""
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
@@ -99,8 +173,27 @@ class Domains:
         """`n_tokens` and `_vector` of each text, and the kept columns (all of them) as `row`."""
         names = [c for c in (docs.columns if kept is None else kept) if c not in ("n_tokens", "posteriors")]
         # columns of the caller are kept inside one, so that none can clash
-        rows = cls._vectors(docs.select(F.struct(*names).alias("row"), "text"))
-        return rows.select("row", F.size("_tokens").cast("long").alias("n_tokens"), "_vector")
+        rows = docs.select(F.struct(*names).alias("row"), "text")
+        schema = T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType()), T.StructField("_vector", VectorUDT())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = words.as_bytes(batch.column("text"))
+                for start, stop in words.pieces(map(len, texts)):
+                    counts, features, held = token_features(texts[start:stop])
+                    n, total = stop - start, len(features)
+                    ends = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32))
+                    vector = [
+                        pa.array(np.zeros(n, np.int8)),  # sparse
+                        pa.array(np.full(n, FEATURES, np.int32)),
+                        pa.ListArray.from_arrays(ends, pa.array(features)),
+                        pa.ListArray.from_arrays(ends, pa.array(np.ones(total))),
+                    ]
+                    vectors = pa.StructArray.from_arrays(vector, names=["type", "size", "indices", "values"])
+                    columns = [batch.column("row").slice(start, n), pa.array(counts.astype(np.int64)), vectors]
+                    yield pa.RecordBatch.from_arrays(columns, names=["row", "n_tokens", "_vector"])
+
+        return rows.mapInArrow(run, schema)
 
     def posteriors(self, docs: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
         """The rows with `n_tokens` and `posteriors`, an array in the order of `names`; of `vectors` the columns kept there."""

@@ -133,3 +133,17 @@ def test_texts_are_cut_once_for_fit_and_rates(spark, monkeypatch):
     key = lambda r: (r.doc_id, r.n_tokens)
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
         assert key(g) == key(w) and g.rate == pytest.approx(w.rate, abs=1e-3) and g.posteriors == pytest.approx(w.posteriors, abs=1e-3)
+
+
+def test_vectors_of_a_task_equal_those_of_spark(spark):
+    """Tokens cut and hashed over arrays, without a function of Spark on every text, are those of HashingTF and of the pattern."""
+    r = random.Random(5)
+    texts = ["Some words, and--signs!", " \n\t", "", None, "日本語 ñandú x9 ١٢ … 😀a\u00a0b\u0085c\u2028", "A" * 50 + " 3.14", "x\v\fy\x1c\x00z"]
+    texts += ["".join(r.choice("ab9.é日ß𝒜 \n") for _ in range(r.randint(1, 90))) for _ in range(200)] + ["e\u0301" * 700, "ab" * 70_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = mixing.Domains._vectors(docs).selectExpr("doc_id", "size(_tokens) as n", "_vector").collect()
+    made = mixing.Domains.vectorised(docs, ["doc_id"])
+    got = {v.row.doc_id: (v.n_tokens, v._vector) for v in made.collect()}
+    assert got == {w.doc_id: (w.n, w._vector) for w in want} and len(got) == len(texts)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "UDF" not in plan

@@ -105,3 +105,23 @@ def test_components_of_any_shape(spark):
     nodes = {n for a, b in links if a != b for n in (a, b)}
     assert got == {n: c for n, c in components(nodes | {n for l in links for n in l}, links).items() if n in nodes}
     assert linking.components(df.limit(0)).collect() == []
+
+
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch):
+    r = random.Random(3)
+    links = [(i, i + 1) for i in range(400)] + [(r.randrange(1000, 1500), r.randrange(1000, 1500)) for _ in range(300)]
+    df = spark.createDataFrame(links, "a long, b long")
+    nodes = {n for a, b in links if a != b for n in (a, b)}
+    want = {n: c for n, c in components(nodes | {n for l in links for n in l}, links).items() if n in nodes}
+    for most in (0, 100, 1000):
+        monkeypatch.setattr(linking, "LAST_LINKS", most)
+        assert {r.id: r.component for r in linking.components(df).collect()} == want
+    named = df.selectExpr("'n' || lpad(a, 4, '0') AS a", "'n' || lpad(b, 4, '0') AS b")
+    assert {r.id: r.component for r in linking.components(named).collect()} == {f"n{i:04}": f"n{c:04}" for i, c in want.items()}
+
+
+def test_components_of_few_links_take_few_steps(spark, monkeypatch):
+    steps, kept = [], linking.stored
+    monkeypatch.setattr(linking, "stored", lambda df, name="step", **options: steps.append(name) or kept(df, name, **options))
+    got = linking.components(spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long"))
+    assert {r.component for r in got.collect()} == {0} and len(steps) == 2

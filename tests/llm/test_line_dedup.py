@@ -156,3 +156,40 @@ def test_lines_that_only_share_a_key_write_nothing(spark, monkeypatch):
     assert shared.count() == 0 and met.count() == 10
     shared, met = line_dedup._similar_keys(docs(line_dedup.ALL_PAIRS + 1, 3), 0.8)
     assert shared.select("id").distinct().count() == line_dedup.ALL_PAIRS + 1
+
+
+def test_passage_that_many_lines_quote_is_no_key(spark):
+    """Grams that are common themselves come last, however rare their words are."""
+    r = random.Random(5)
+    vocabulary = ["".join(r.choices("abcdefgh", k=9)) for _ in range(60)]
+    passage = [f"passage{i}" for i in range(15)]
+    lines = [" ".join([*r.choices(vocabulary, k=25), *(passage if i % 5 == 0 else [])]) for i in range(500)]
+    shared, _ = line_dedup._similar_keys(spark.createDataFrame([(t,) for t in lines], "text string"), 0.8)
+    assert shared.groupBy("key").count().where("count > 64").count() == 0
+
+
+def test_counts_of_all_documents(spark):
+    """How common symbols are is counted over every row, however many there are."""
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "concat('one two word', id) AS text")
+    lines = line_dedup._read_lines(docs).cache()
+    assert lines.where("at is null").select("doc_id", "line", "id").distinct().count() == 30_000
+    assert lines.where("at < 65536").groupBy().sum("n").first()[0] == 90_000
+    lines.unpersist()
+
+
+def test_family_around_a_line(spark, monkeypatch):
+    """Near copies of one line, few of which are similar to one another, are one group with it."""
+    monkeypatch.setattr(line_dedup, "ALL_PAIRS", 4)
+    monkeypatch.setattr(line_dedup, "PIECE_ROWS", 2)
+    r = random.Random(8)
+    base = ["".join(r.choices("abcdefgh", k=6)) for _ in range(40)]
+    lines = [" ".join(base)]
+    for _ in range(60):
+        words = list(base)
+        for at in r.sample(range(40), r.choice([4, 8, 9, 10])):
+            words[at] = "".join(r.choices("abcdefgh", k=6))
+        lines.append(" ".join(words))
+    rows = [(i, t, "", "") for i, t in enumerate(lines)]
+    want, _ = _want(rows)
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(x.doc_id, i) for x in got for i in x.dropped} == want
